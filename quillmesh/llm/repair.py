@@ -44,7 +44,7 @@ def _frequent(seq: np.ndarray, inner: np.ndarray, most: int, least: int):
     return bucket, same, at[top], top
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = 4, most_rules: int = 15_000, least: int = 6):
+def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = 3, most_rules: int = 15_000, least: int = 6):
     """Symbols, places of the documents' first symbols, rules and expansion lengths.
 
     ids: all documents' tokens, below BASE; counts: tokens of each. Each round replaces up to most_rules / rounds pairs
