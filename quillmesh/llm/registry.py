@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import packing, token_files
+from quillmesh.llm import exact_dedup, mixing, packing, simhash, token_files
 
 QUERIES = {
+    "op2_fuse_exact_dedup": exact_dedup.op2_fuse_exact_dedup,
+    "op3_hash_threshold_mix": mixing.op3_hash_threshold_mix,
     "op4_repair_token_files": token_files.op4_repair_token_files,
+    "op7_simhash_components": simhash.op7_simhash_components,
     "op9_cost_balanced_packing": packing.op9_cost_balanced_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_fuse_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_hash_threshold_mix": mixing.OP3_SQL,
+}
