@@ -102,6 +102,23 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(first), docs.where(~first)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group of equal texts.
+
+    Ids whose rows all go are taken out by an anti-join, so documents are shuffled only if those are many. Only where an id
+    has both kinds of rows (repeated rows) are texts' digests compared too.
+    """
+    found = duplicates(*halves(docs.select("doc_id", "text"))).select("doc_id", "text_sha256", "kept")
+    pairs = common.saved(found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("any"), F.bool_and("kept").alias("all")), "dedup-pairs")
+    ids = common.saved(pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("any").alias("any"), F.bool_and("all").alias("all")), "dedup-ids")
+    out = docs.join(ids.where("not any").select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    if not ids.where("any and not all").isEmpty():
+        gone = pairs.where("not any").select(F.col("doc_id").alias("_id"), "text_sha256")
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256"))
+        out = out.withColumn("_sha", F.sha2(normal().cast("binary"), 256)).join(gone, same, "left_anti").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return out.select(*docs.columns)
+
+
 def op2_fuse_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, one half as the snapshot and one as the batch: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

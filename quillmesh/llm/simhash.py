@@ -171,6 +171,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks:
     return prints.join(every, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the least of its component; ids are taken as unique. Rows are taken
+    out by an anti-join on the ids that go, so documents are shuffled only if those are many."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(common.saved(gone, "simhash-gone"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents: doc_id, fingerprint, component_id."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
