@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import mining_queries, text_queries  # noqa: F401  each module registers its queries
+from quillmesh.plans import mining_queries, rule_queries, text_queries  # noqa: F401  each module registers its queries
 from quillmesh.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
