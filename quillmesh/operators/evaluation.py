@@ -73,15 +73,17 @@ def chronological(rows: DataFrame, order: Sequence[str], parts: Sequence[tuple[s
     """Rows with their split by time. The cuts are exact values of the order column at its shares, found by percentile_disc
     on its values alone, so no global window gathers all rows in one task."""
     first = order[0]
+    kind = dict(rows.dtypes)[first]
+    key = f"unix_micros(cast({first} as timestamp))" if kind.startswith("timestamp") else first
     done, cuts = 0.0, []
     for _, share in parts[:-1]:
         done += share
         cuts.append(done)
-    bounds = rows.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {first})").alias(f"_c{i}") for i, q in enumerate(cuts)])
+    bounds = rows.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {key})").alias(f"_c{i}") for i, q in enumerate(cuts)])
     out = rows.crossJoin(F.broadcast(bounds))  # the bounds are one row
     split = None
     for i, (name, _) in enumerate(parts[:-1]):
-        test = F.col(first) <= F.col(f"_c{i}")
+        test = F.expr(key) <= F.col(f"_c{i}")
         split = F.when(test, name) if split is None else split.when(test, name)
     return out.withColumn("split", split.otherwise(parts[-1][0])).drop(*[f"_c{i}" for i in range(len(cuts))])
 

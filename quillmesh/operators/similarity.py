@@ -31,14 +31,22 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
     ranked = flat.join(rarity, "item").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("sorted"))
     n = F.size("sorted")
     prefix = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
-    ready = ranked.select(key, n.alias("n"), F.transform("sorted", lambda x: F.xxhash64(x["item"])).alias("hashes"), F.explode(F.slice(F.transform("sorted", lambda x: x["item"]), 1, prefix)).alias("item"))
+    ready = ranked.select(key, n.alias("n"), F.explode(F.slice(F.transform("sorted", lambda x: F.xxhash64(x["item"])), 1, prefix)).alias("item"))
     a, b = ready.alias("a"), ready.alias("b")
     near = (F.col("a.item") == F.col("b.item")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
-    pairs = a.join(b, near).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.size(F.array_intersect("a.hashes", "b.hashes")).alias("both"), (F.col("a.n") + F.col("b.n")).alias("sum"))
-    pairs = pairs.where(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both"))).distinct()
+    pairs = a.join(b, near).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    left = sets.select(F.col(key).alias("a"), F.col(items).alias("_left"))
+    right = sets.select(F.col(key).alias("b"), F.col(items).alias("_right"))
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_left", "_right")).alias("both"), (F.size("_left") + F.size("_right")).alias("sum"))
+    pairs = sized.where(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
     return pairs.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint where the session has a folder for them, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, leader): walking ids upwards, one joins the first earlier leader it is similar to, else it leads.
 
@@ -46,20 +54,17 @@ def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 50) -> DataFrame:
     least of them, and one whose smaller neighbours all follow leads. Settled ids are found in rounds of joins; a round
     settles all that can be, so long chains alone need many.
     """
-    spark = ids.sparkSession
-    settled = ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")).checkpoint() if spark.sparkContext.getCheckpointDir() else ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader"))
-    open_ = pairs.select("a", "b")
+    settled = _kept(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
+    open_ = _kept(pairs.select("a", "b"))
     for _ in range(rounds):
         state = open_.join(settled.select(F.col("id").alias("a"), "leader"), "a", "left")
         waiting = F.count_if(F.col("leader").isNull())
         by = state.groupBy("b").agg(F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("follows"), F.min(F.when(F.col("leader").isNull(), F.col("a"))).alias("blocked"), waiting.alias("waiting"))
-        done = by.where("waiting = 0 or follows < blocked").select(F.col("b").alias("id"), F.coalesce("follows", "b").alias("leader"))
+        done = _kept(by.where("waiting = 0 or follows < blocked").select(F.col("b").alias("id"), F.coalesce("follows", "b").alias("leader")))
         if done.isEmpty():
             break
-        settled = settled.unionByName(done)
-        open_ = open_.join(done.select(F.col("id").alias("b")), "b", "left_anti")
-        if spark.sparkContext.getCheckpointDir():
-            settled, open_ = settled.checkpoint(), open_.checkpoint()
+        settled = _kept(settled.unionByName(done))
+        open_ = _kept(open_.join(done.select(F.col("id").alias("b")), "b", "left_anti"))
     return settled
 
 
@@ -95,13 +100,12 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> Dat
     """(id, root): the least id reachable over edges(a, b), by minima of neighbours and pointer jumping."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = nodes.select("id", F.col("id").alias("root"))
-    keep = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
     for _ in range(most_rounds):
         near = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
         next_ = state.join(near, "id", "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("was"))
         jump = next_.select(F.col("id").alias("root"), F.col("root").alias("up"))
         next_ = next_.join(jump, "root").select("id", F.col("up").alias("root"), "was")
-        next_ = next_.checkpoint() if keep else next_.persist()
+        next_ = _kept(next_)
         if next_.where("root <> was").isEmpty():
             return next_.select("id", "root")
         state = next_.select("id", "root")
