@@ -199,7 +199,8 @@ def read(spark: SparkSession, folder: str, files: DataFrame, gzip: bool = True,
 
     shape = spark.createDataFrame([], _CANDIDATES).schema
     ranges = files.select("file", F.col("n_bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("n_bytes") - 1), F.lit(range_bytes).cast("long"))).alias("first"))
-    found = common.saved(ranges.repartition("file", "first").mapInArrow(scan, shape), "warc-candidates", "zstd")
+    tasks = files.agg(F.sum(F.ceil(F.col("n_bytes") / range_bytes))).first()[0] or 1  # a task a range: their rows are too few for AQE to tell
+    found = common.saved(ranges.repartition(min(int(tasks), 100_000), "file", "first").mapInArrow(scan, shape), "warc-candidates", "zstd")
     entries = _reached(files, found, range_bytes)
 
     def walk(own: pa.Table, entry: pa.Table) -> pa.Table:
