@@ -10,7 +10,6 @@ from quillmesh.plans.base import MESSAGES, messages, query, table
 from quillmesh.plans.text_queries import SIGNATURE_SQL
 from quillmesh.sources.messages import new_rows
 
-T = F.col("text")
 _SPAM = f"{MESSAGES}, spam AS (SELECT * FROM messages WHERE is_spam), ham AS (SELECT * FROM messages WHERE NOT is_spam)"
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
 
@@ -26,7 +25,7 @@ def url_counts_topk(spark, sf_dir):
 
 @query(f"WITH {_SPAM}, w AS (SELECT unnest({_WORDS}) AS key FROM spam) SELECT key, count(*) AS cnt FROM w GROUP BY key ORDER BY cnt DESC, key LIMIT 30")
 def keyword_counts_topk(spark, sf_dir):
-    words = F.array_distinct(F.regexp_extract_all(F.lower(T), F.lit("[a-z]+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]+"), F.lit(0)))
     return signals.top(signals.counted(_spam(spark, sf_dir), words, "keyword").select("key", "cnt"), 30)
 
 
@@ -48,13 +47,13 @@ def suspicious_patterns(spark, sf_dir):
 @query(f"WITH {MESSAGES}, k AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key, id FROM messages) SELECT DISTINCT id FROM k WHERE key IN ('trash', 'worthless', 'free')")
 def suspicious_messages(spark, sf_dir):
     needles = spark.createDataFrame([("trash",), ("worthless",), ("free",)], "key string")
-    words = F.regexp_extract_all(F.lower(T), F.lit("[a-z]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]+"), F.lit(0))
     return signals.messages_with(messages(spark, sf_dir), needles, words).select("id")
 
 
 @query(f"WITH {_SPAM}, s AS (SELECT count(*) AS total, count(*) FILTER (contains(lower(text), 'http') OR contains(lower(text), 'trash')) AS stage2 FROM spam) SELECT total, stage2, round(stage2::DOUBLE / total, 6) AS stage2_share, round(1 - stage2::DOUBLE / total, 6) AS savings FROM s")
 def stage2_summary(spark, sf_dir):
-    hit = tx.any_of(F.lower(T), ("http", "trash"))
+    hit = tx.any_of(F.lower(F.col("text")), ("http", "trash"))
     s = _spam(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(hit).alias("stage2"))
     share = F.try_divide(F.col("stage2").cast("double"), F.col("total"))
     return s.select("total", "stage2", F.round(share, 6).alias("stage2_share"), F.round(1 - share, 6).alias("savings"))
@@ -69,7 +68,7 @@ _SAFE_WORD = f"NOT key IN ({_COMMON}) AND length(key) >= 3 AND (ham = 0 OR spam
 
 def _word_counts(spark, sf_dir):
     m = messages(spark, sf_dir).where("is_spam is not null")
-    words = m.select("is_spam", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(T), F.lit("[a-z]+"), F.lit(0)))).alias("key"))
+    words = m.select("is_spam", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]+"), F.lit(0)))).alias("key"))
     counts = words.groupBy("key").agg(F.count_if("is_spam").alias("spam"), F.count_if(~F.col("is_spam")).alias("ham"))
     n = m.agg(F.count_if("is_spam"), F.count_if(~F.col("is_spam"))).first()
     return counts, F.lit(n[0]), F.lit(n[1])
@@ -87,7 +86,7 @@ c AS (SELECT key, count(*) FILTER (is_spam) AS spam, count(*) FILTER (NOT is_spa
 SELECT key, spam, ham FROM c, n WHERE NOT (split_part(key, ' ', 1) IN ({_COMMON}) AND split_part(key, ' ', 2) IN ({_COMMON})) AND (ham = 0 OR spam >= 5 * ham) AND spam / ns >= 0.03""")
 def phrase_safety(spark, sf_dir):
     m = messages(spark, sf_dir).where("is_spam is not null")
-    pairs = m.select("is_spam", F.explode(F.array_distinct(signals.bigrams(T))).alias("key")).groupBy("key").agg(F.count_if("is_spam").alias("spam"), F.count_if(~F.col("is_spam")).alias("ham"))
+    pairs = m.select("is_spam", F.explode(F.array_distinct(signals.bigrams(F.col("text")))).alias("key")).groupBy("key").agg(F.count_if("is_spam").alias("spam"), F.count_if(~F.col("is_spam")).alias("ham"))
     n = m.agg(F.count_if("is_spam"), F.count_if(~F.col("is_spam"))).first()
     return pairs.where(signals.phrase_safe(F.col("key"), F.col("spam"), F.col("ham"), F.lit(n[0]), F.lit(n[1]))).select("key", "spam", "ham")
 
@@ -129,7 +128,7 @@ def safer_phrase(spark, sf_dir):
 k AS (SELECT unnest([CASE WHEN n < 20 THEN 'very_short' END, CASE WHEN n >= 20 AND n < 50 THEN 'short' END, CASE WHEN n > 500 THEN 'very_long' END, CASE WHEN u > 0 THEN 'urls_' || u END, CASE WHEN p > 0 THEN 'phones_' || p END, CASE WHEN c > 0.3 THEN 'high_caps' END, CASE WHEN e > 2 THEN 'many_exclamations' END, CASE WHEN q > 2 THEN 'many_questions' END]) AS key FROM t)
 SELECT key, count(*) AS cnt FROM k WHERE key IS NOT NULL GROUP BY key""")
 def message_buckets(spark, sf_dir):
-    return signals.counted(messages(spark, sf_dir), signals.bucket_tags(T), "bucket").select("key", "cnt")
+    return signals.counted(messages(spark, sf_dir), signals.bucket_tags(F.col("text")), "bucket").select("key", "cnt")
 
 
 @query(f"WITH {MESSAGES} SELECT external_id, id FROM messages WHERE id % 2 <> 0")

@@ -9,7 +9,6 @@ from quillmesh.operators import ops, quality, similarity
 from quillmesh.operators import rules as rl
 from quillmesh.plans.base import MESSAGES, PATTERN_TABLE, RULE_CTES, RULES, as_of, messages, pattern_table, query, r6, rule_table, table
 
-T = F.col("text")
 _HITS = " + ".join(f"contains(lower(text), '{w}')::INT" for w in ("trash", "worthless", "free"))
 _SCORED = f"s AS (SELECT id, is_spam AS label, (30 * ({_HITS}) + length(text) % 30) / 100.0::DOUBLE AS score FROM messages)"
 _GRID = [round(0.20 + 0.05 * i, 2) for i in range(9)]
@@ -20,8 +19,8 @@ m AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0),
 
 
 def _scored(spark, sf_dir):
-    n = sum((F.contains(F.lower(T), F.lit(w)).cast("int") for w in ("trash", "worthless", "free")), F.lit(0))
-    return messages(spark, sf_dir).select("id", F.col("is_spam").alias("label"), ((30 * n + F.length(T) % 30) / F.lit(100.0)).alias("score"))
+    n = sum((F.contains(F.lower(F.col("text")), F.lit(w)).cast("int") for w in ("trash", "worthless", "free")), F.lit(0))
+    return messages(spark, sf_dir).select("id", F.col("is_spam").alias("label"), ((30 * n + F.length(F.col("text")) % 30) / F.lit(100.0)).alias("score"))
 
 
 @query(f"WITH {MESSAGES}, {_SCORED}, {_GRID_SQL}, {_CONFUSION} SELECT threshold, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr, round(accuracy, 6) AS accuracy FROM m")
@@ -121,7 +120,7 @@ p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.ite
 def _sets(spark, sf_dir):
     from quillmesh.functions import text as tx
 
-    n = F.trim(F.regexp_replace(F.lower(T), r"\s+", " "))
+    n = F.trim(F.regexp_replace(F.lower(F.col("text")), r"\s+", " "))
     u = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n")).groupBy("n").agg(F.min("id").alias("id"))
     return u.select("id", F.array_distinct(tx.shingles(F.col("n"))).alias("shingles"))
 
