@@ -37,7 +37,10 @@ class Check:
         """Matches; where a word list's pieces are all absent the pattern isn't tried."""
         found = self._matches(text)
         needles = self.needles()
-        return F.when(tx.any_of(lower, needles), found).otherwise(0) if needles else found
+        chain = F.lit(False)
+        for x in needles:
+            chain = chain | F.contains(lower, F.lit(x))
+        return F.when(chain, found).otherwise(0) if needles else found
 
     def _matches(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(("(?dmU)" if self.cased else "(?diuUm)") + self.pattern))
@@ -107,11 +110,17 @@ def _found(name: str, reason: str, score: Column) -> Column:
 
 def _pack(text: Column, checks, more) -> Column:
     """Array of (name, reason, score) of what matches, in the order of the pack."""
-    tests, lower = [], F.translate(F.lower(text), "ſ", "s")
-    for c in checks:
-        n = c.matches(text, lower)
-        tests.append(F.when(n > 0, _found(c.name, c.reason, c.score(text, n))))
-    return F.filter(F.array(*tests, *more), lambda x: x.isNotNull())
+
+    def run(both: Column) -> Column:
+        t, lower = both["t"], both["l"]
+
+        def test(c: Check) -> Column:
+            return tx.let(c.matches(t, lower), lambda n: F.when(n > 0, _found(c.name, c.reason, c.score(t, n))))
+
+        tests = [test(c) for c in checks]
+        return F.filter(F.array(*tests, *more), lambda x: x.isNotNull())
+
+    return tx.let(F.struct(text.alias("t"), F.translate(F.lower(text), "ſ", "s").alias("l")), run)
 
 
 def commercial(text: Column) -> Column:

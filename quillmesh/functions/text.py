@@ -46,11 +46,15 @@ def let(value: Column, f) -> Column:
 
 
 def any_of(text: Column, needles) -> Column:
-    """Whether the text contains any needle, as a chain of substring tests."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
-    return found
+    """Whether the text contains any needle, as a chain of substring tests of a text that is computed once."""
+
+    def chain(t: Column) -> Column:
+        found = F.lit(False)
+        for needle in needles:
+            found = found | F.contains(t, F.lit(needle))
+        return found
+
+    return let(text, chain) if len(needles) > 3 else chain(text)
 
 
 def count_of(text: Column, needles) -> Column:
