@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4096, block_
 
         size = 0
         for batch in batches:
-            for a, b in common.slices(batch, "text", 8 << 20):
+            for a, b in common.slices(batch, "text", 3 << 20):
                 rows = batch.slice(a, b - a)
                 ids, counts = memo.ids(rows.column("text"))
                 ends = np.cumsum(counts)

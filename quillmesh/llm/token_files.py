@@ -15,17 +15,18 @@ from quillmesh.llm import common, repair, tokens
 _FILES = "part long, shard long, n_docs long, n_tokens long, n_bytes long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000, known_words: int = 600_000) -> DataFrame:
     """Writes grammar shards of docs(doc_id, text) below folder; returns one row a file: part, shard, n_docs, n_tokens, n_bytes.
 
     Null texts are empty and give the end id alone; null ids come first; repeated rows are written each; other columns
     are ignored. Files are named by part and shard in document order, so a repeated task replaces its own files. A
-    document longer than shard_tokens makes a longer shard: memory is bounded by the longest document.
+    document longer than shard_tokens makes a longer shard: memory is bounded by the longest document. known_words: words
+    whose ids a worker keeps.
     """
     place = tokens.installed(tokenizer) if "/" not in tokenizer else tokenizer
 
     def encode(batches):
-        memo, files, part = tokens.memo(place), common.TaskFiles(folder), TaskContext.get().partitionId()
+        memo, files, part = tokens.memo(place, known_words), common.TaskFiles(folder), TaskContext.get().partitionId()
         held: list[tuple] = []
         shard = 0
 
@@ -39,7 +40,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_t
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard - 1], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)], "n_bytes": [len(data)]})
 
         for batch in batches:
-            for a, b in common.slices(batch, "text", 8 << 20):
+            for a, b in common.slices(batch, "text", 6 << 20):
                 rows = batch.slice(a, b - a)
                 ids, counts = memo.ids(rows.column("text"))
                 ends = np.cumsum(counts)

@@ -32,7 +32,7 @@ class WordMemo:
     each time.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 330_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -133,14 +133,14 @@ class WordMemo:
         return ids, np.diff(ends[bounds])
 
 
-_MEMOS: dict[str, WordMemo] = {}
+_MEMOS: dict[tuple[str, int], WordMemo] = {}
 
 
-def memo(path: str) -> WordMemo:
-    """One memo for each worker process and file; workers are used again, and so is what they have met."""
-    if path not in _MEMOS:
-        _MEMOS[path] = WordMemo(path)
-    return _MEMOS[path]
+def memo(path: str, most: int = 330_000) -> WordMemo:
+    """One memo for each worker process, file and size; workers are used again, and so is what they have met."""
+    if (path, most) not in _MEMOS:
+        _MEMOS[path, most] = WordMemo(path, most)
+    return _MEMOS[path, most]
 
 
 def installed(name: str) -> str:
