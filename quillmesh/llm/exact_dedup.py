@@ -111,7 +111,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = duplicates(*halves(docs.select("doc_id", "text"))).select("doc_id", "text_sha256", "kept")
     pairs = common.saved(found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("any"), F.bool_and("kept").alias("all")), "dedup-pairs")
     ids = common.saved(pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("any").alias("any"), F.bool_and("all").alias("all")), "dedup-ids")
-    out = docs.join(ids.where("not any").select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    dropped = common.saved(ids.where("not any").select("_id"), "dedup-gone")  # written alone, so that the planner knows its size
+    out = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if not ids.where("any and not all").isEmpty():
         gone = pairs.where("not any").select(F.col("doc_id").alias("_id"), "text_sha256")
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256"))
