@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,29 +45,65 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint where the session has a folder for them, else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df computed once and cut from its plan: a checkpoint where the session has a folder for them, else a local one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
-def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, leader): walking ids upwards, one joins the first earlier leader it is similar to, else it leads.
+def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int = 1 << 18) -> DataFrame:
+    """(id, leader): walking ids upwards, one joins the first earlier leader it is similar to, else it leads. One row an id.
 
     The walk depends only on pairs: an id without smaller neighbours leads, an id with a leading smaller neighbour follows the
     least of them, and one whose smaller neighbours all follow leads. Settled ids are found in rounds of joins; a round
-    settles all that can be, so long chains alone need many.
+    settles all that can be, the least open id at least. Long chains alone need many, so after `rounds` rounds, and each
+    time that they have doubled, the open components of at most `walk_pairs` pairs are walked in a task each; rounds go on for
+    larger ones until no id is open.
     """
-    settled = _kept(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
-    open_ = _kept(pairs.select("a", "b"))
-    for _ in range(rounds):
-        state = open_.join(settled.select(F.col("id").alias("a"), "leader"), "a", "left")
-        waiting = F.count_if(F.col("leader").isNull())
-        by = state.groupBy("b").agg(F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("follows"), F.min(F.when(F.col("leader").isNull(), F.col("a"))).alias("blocked"), waiting.alias("waiting"))
-        done = _kept(by.where("waiting = 0 or follows < blocked").select(F.col("b").alias("id"), F.coalesce("follows", "b").alias("leader")))
+    settled = [_kept(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))]
+    open_ = _marked(pairs.select("a", "b", F.lit(None).cast("boolean").alias("led")), settled[0])
+    n = 0
+    while True:
+        by = open_.groupBy("b").agg(F.min(F.when(F.col("led"), F.col("a"))).alias("follows"), F.min(F.when(F.col("led").isNull(), F.col("a"))).alias("blocked"))
+        done = _kept(by.where("blocked is null or follows < blocked").select(F.col("b").alias("id"), F.coalesce("follows", "b").alias("leader")))
         if done.isEmpty():
             break
-        settled = _kept(settled.unionByName(done))
-        open_ = _kept(open_.join(done.select(F.col("id").alias("b")), "b", "left_anti"))
-    return settled
+        settled.append(done)
+        open_ = _marked(open_, done)
+        n += 1
+        if n == rounds:
+            rounds *= 2
+            done = _kept(_walked(open_, walk_pairs))
+            settled.append(done)
+            open_ = _marked(open_, done)
+        if len(settled) > 16:
+            settled = [_kept(reduce(DataFrame.unionByName, settled))]
+    if not open_.isEmpty():
+        raise ValueError("pairs must be of ids, the smaller first")
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _marked(open_: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs whose larger id is still open; led says whether the smaller one leads, null while that is open too."""
+    rest = open_.join(done.select(F.col("id").alias("b")), "b", "left_anti")
+    marks = done.select(F.col("id").alias("a"), (F.col("leader") == F.col("id")).alias("now"))
+    return _kept(rest.join(marks, "a", "left").select("a", "b", F.coalesce("led", "now").alias("led")))
+
+
+def _walked(open_: DataFrame, most: int) -> DataFrame:
+    """(id, leader) of the open ids in components of at most `most` open pairs, walked in order."""
+    import pandas as pd
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["b", "a"])
+        own: dict[int, int] = {}
+        for a, b, led in zip(pdf.a.tolist(), pdf.b.tolist(), pdf.led.tolist()):
+            if own.setdefault(b, b) == b and (own[a] == a if led is None else led):
+                own[b] = a
+        return pd.DataFrame({"id": list(own), "leader": list(own.values())})
+
+    root = components(open_.where("led is null"), open_.select(F.col("b").alias("id")).distinct())
+    rooted = open_.join(root.select(F.col("id").alias("b"), "root"), "b")
+    small = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("root")
+    return rooted.join(small, "root", "left_semi").groupBy("root").applyInPandas(walk, "id long, leader long")
 
 
 def cosine_pairs(vectors: DataFrame, least: float, blocks: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -96,20 +134,20 @@ def cosine_pairs(vectors: DataFrame, least: float, blocks: int = 8, key: str = "
     return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
 
 
-def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(id, root): the least id reachable over edges(a, b), by minima of neighbours and pointer jumping."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, root): the least id reachable over edges(a, b), by minima of all neighbours of a root's ids and
+    pointer jumping until no root moves."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = nodes.select("id", F.col("id").alias("root"))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
-        next_ = state.join(near, "id", "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("was"))
-        jump = next_.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        next_ = next_.join(jump, "root").select("id", F.col("up").alias("root"), "was")
+        least = state.join(near, "id", "left").groupBy("root").agg(F.least("root", F.min(F.coalesce("m", "root"))).alias("up"))
+        jump = least.join(least.select(F.col("root").alias("up"), F.col("up").alias("top")), "up").select("root", "top")
+        next_ = state.join(jump, "root").select("id", F.col("top").alias("root"), F.col("root").alias("was"))
         next_ = _kept(next_)
         if next_.where("root <> was").isEmpty():
             return next_.select("id", "root")
         state = next_.select("id", "root")
-    return state
 
 
 def dbscan(pairs: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:

@@ -117,6 +117,36 @@ def test_leaders_walk(spark):
     assert {r.id: r.leader for r in similarity.leaders(pairs, spark.range(1, 8)).collect()} == want
 
 
+@pytest.mark.parametrize("walk_pairs", [1 << 18, 16])
+def test_leaders_of_a_long_path(spark, walk_pairs):
+    """Each id is like the one before only. With few walk_pairs the path is too large to be walked until rounds have cut it."""
+    n = 200 if walk_pairs > 16 else 24
+    pairs = spark.range(1, n).selectExpr("id as a", "id + 1 as b")
+    got = similarity.leaders(pairs, spark.range(1, n + 1), **({} if n == 200 else {"rounds": 4, "walk_pairs": walk_pairs})).collect()
+    assert len(got) == n and {r.id: r.leader for r in got} == {i: i if i % 2 else i - 1 for i in range(1, n + 1)}
+
+
+def test_leaders_walk_of_random_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)})
+    want, led = {}, []
+    for i in range(60):
+        near = [x for x in led if (x, i) in edges]
+        want[i] = near[0] if near else i
+        led += [] if near else [i]
+    got = similarity.leaders(spark.createDataFrame(edges, "a long, b long"), spark.range(60), rounds=2).collect()
+    assert len(got) == 60 and {r.id: r.leader for r in got} == want
+
+
+def test_components_of_a_zigzag_path(spark):
+    """A path whose ids jump up and down: minima of neighbours and jumps alone take 33 rounds."""
+    order = [int(f"{i:06b}"[::-1], 2) for i in range(64)]
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    assert {r.root for r in similarity.components(edges, spark.range(64)).collect()} == {0}
+
+
 def test_dbscan(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (8, 9)], "a long, b long")
     assert {(r.id, r.cluster, r.core) for r in similarity.dbscan(pairs, spark.range(10)).collect()} == {(1, 1, True), (2, 1, True), (3, 1, True), (4, 1, False)}
