@@ -101,10 +101,18 @@ class _Window:
             self.more = bool(part)
             self.data += part
 
+    def upto_blank(self, at: int) -> None:
+        """Until the blank line after `at` is in, however far it is."""
+        self.upto(at + 65536)
+        seen = at
+        while self.data.find(b"\r\n\r\n", max(at, seen - 3)) < 0 and self.more:
+            seen = len(self.data)
+            self.upto(seen + max(1 << 20, seen - at))
+
 
 def _parse(data: bytes, at: int = 0):
     """Fields and the end of the record that would start at `at`; the end is None if there is none."""
-    stop = data.find(b"\r\n\r\n", at, at + 65536)
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0 or not _MAGIC.match(data, at):
         return {}, None, None
     fields = {}
@@ -166,8 +174,8 @@ def candidates(data: _Window, length: int, gzip: bool, payloads: bool = False):
             fields, block, end = _parse(whole)
             if end is not None and len(whole) == end + 4:
                 yield data.start + at, data.start + place - len(unzip.unused_data), _row(fields, whole[block:end], payloads)
-        else:
-            data.upto(at + 65536)
+        elif b"\r\n\r\n".endswith(data.data[max(0, at - 4) : at]):  # a record ends before it; so no header is searched twice
+            data.upto_blank(at)
             fields, block, end = _parse(data.data, at)
             if end is not None:
                 data.upto(end + 4)
@@ -181,7 +189,8 @@ def read(spark: SparkSession, folder: str, files: DataFrame, gzip: bool = True,
     payload_bytes, payload_digest, record_type, refers_to, payload (null unless payloads).
 
     Memory of a task is bounded by its range and the longest record. No files give no rows. Bytes after a break in a file's
-    chain are not reached: what follows a damaged record is left out.
+    chain are not reached: what follows a damaged record is left out, and where files have n_records, a file with another
+    number of records raises ValueError.
     """
 
     def scan(batches):
@@ -204,7 +213,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame, gzip: bool = True,
     entries = _reached(files, found, range_bytes)
 
     def walk(own: pa.Table, entry: pa.Table) -> pa.Table:
-        """The rows of one range that its reached entries lead to, step by step."""
+        """The places in one range that its reached entries lead to, step by step."""
         place = {o: i for i, o in enumerate(own.column("offset").to_pylist())}
         after = own.column("next").to_pylist()
         keep = []
@@ -212,10 +221,16 @@ def read(spark: SparkSession, folder: str, files: DataFrame, gzip: bool = True,
             while at in place:
                 keep.append(place[at])
                 at = after[place[at]]
-        return own.take(pa.array(sorted(set(keep)), pa.int64()))
+        return own.take(pa.array(sorted(set(keep)), pa.int64())).select(["file", "offset"])
 
     ranged = entries.select("file", (F.col("offset") - F.col("offset") % range_bytes).alias("first"), "offset")
-    return found.groupBy("file", "first").cogroup(ranged.groupBy("file", "first")).applyInArrow(walk, shape).drop("first", "next", "leaves")
+    narrow = found.select("file", "first", "offset", "next")
+    records = common.saved(narrow.groupBy("file", "first").cogroup(ranged.groupBy("file", "first")).applyInArrow(walk, "file string, offset long"), "warc-records")
+    if "n_records" in files.columns:
+        counts = files.join(records.groupBy("file").agg(F.count("*").alias("n_read")), "file", "left")
+        if short := counts.where("n_records <> coalesce(n_read, 0)").select("file", "n_records", "n_read").first():
+            raise ValueError(f"{short.file} has {short.n_records} records, {short.n_read or 0} of them could be read")
+    return found.join(records, ["file", "offset"], "left_semi").select(*[f.name for f in shape.fields if f.name not in ("first", "next", "leaves")])
 
 
 def _reached(files: DataFrame, found: DataFrame, range_bytes: int) -> DataFrame:

@@ -46,6 +46,24 @@ def test_warc_round_trip(spark, gzip):
     assert {r.payload.decode() for r in got if r.page_id == 60} == {bait}
 
 
+@pytest.mark.parametrize("gzip", [True, False])
+def test_warc_long_url(spark, gzip):
+    pages = [(0, "http://a/0", "first"), (1, "data:," + "x" * 200_000, "long"), (2, "http://a/" + "\x01" * 70_000, "tripled"), (3, "http://a/3", "third"), (4, "http://a/4", "last")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    folder = common.new_folder(spark, "warc-test")
+    files = warc.write(df, folder, gzip=gzip)
+    got = warc.read(spark, folder, files, gzip=gzip, range_bytes=50_000).collect()
+    assert {(r.page_id, r.url) for r in got} == {(i, u.replace("\x01", "%01")) for i, u, _ in pages} and len(got) == 5
+
+
+def test_warc_missing_records(spark):
+    """An archive that gives fewer records than were written is an error."""
+    folder = common.new_folder(spark, "warc-test")
+    files = warc.write(spark.createDataFrame([(0, "u", "a"), (1, "u", "b")], "page_id long, url string, html string").coalesce(1), folder)
+    with pytest.raises(ValueError, match="has 3 records, 2 of them"):
+        warc.read(spark, folder, files.withColumn("n_records", F.col("n_records") + 1))
+
+
 def test_warc_empty(spark):
     folder = common.new_folder(spark, "warc-test")
     files = warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
