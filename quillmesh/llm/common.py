@@ -43,6 +43,30 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(columns: list[str], name: str) -> str:
+    """A column name that none of columns has in any case: name, with underscores before it as needed."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, with Arrow batches of at most some 8 MB: a task then holds a few batches beside its longest row,
+    whatever the rows' sizes. The session's setting is lowered to that, never raised."""
+    conf = df.sparkSession.conf
+    if _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) > 8 << 20:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(run, schema)
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a setting such as 64m, 1gb or 4096."""
+    digits = size.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(digits[-1:], 0)
+    return int(digits.rstrip("kmgt")) << unit
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

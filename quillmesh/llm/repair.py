@@ -3,13 +3,14 @@
 A shard holds whole documents. Layout, all little-endian:
 
     8 bytes  b"QMREPAIR"
-    6 int64  part, shard, documents, rules, symbols, bytes of a symbol (2 or 4)
+    6 int64  part, shard, documents, rules, symbols, bytes of a symbol (2, 3 or 4)
     int64[documents]      document ids (a null id is the smallest int64)
     int64[documents + 1]  places of the documents' first symbols
     int64[documents]      token counts
     uint32[rules, 2]      the pair that each rule stands for, ids or earlier rules
     uint32[rules]         expansion length of each rule
-    uint16 or uint32      the symbols; from BASE on they are rules
+    uint16[symbols]       the low halves of the symbols; from BASE on symbols are rules
+    uint8 or uint16       the high parts of the symbols, where a symbol has 3 or 4 bytes
 
 Pairs never cross two documents, so a document's symbols expand to its tokens alone.
 """
@@ -22,75 +23,80 @@ MAGIC = b"QMREPAIR"
 #: Ids below are tokens; rule r is symbol BASE + r.
 BASE = 50_400
 NULL_ID = -(1 << 63)
-_BUCKET_BITS = 18
+_SLOT_BITS = 18
 
 
-def _frequent(seq: np.ndarray, inner: np.ndarray, most: int, least: int):
-    """The most frequent pairs, one candidate a hash bucket: bucket of each place, its match, and buckets by count.
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
-    Every bucket's candidate is some pair that falls into it; its count is exact.
-    """
-    left, right = seq[:-1], seq[1:]
-    bucket = ((left.astype(np.uint32) * np.uint32(2654435761)) ^ (right.astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(32 - _BUCKET_BITS)
-    at = np.zeros(1 << _BUCKET_BITS, np.int32)
-    at[bucket] = np.arange(len(bucket), dtype=np.int32)
-    keeper = at[bucket]
-    same = inner & (left[keeper] == left) & (right[keeper] == right)
-    counts = np.bincount(bucket[same], minlength=1 << _BUCKET_BITS)
-    top = np.flatnonzero(counts >= least)
-    if len(top) > most:
-        top = top[np.argpartition(-counts[top], most - 1)[:most]]
-    top = top[np.lexsort((top, -counts[top]))]
-    return bucket, same, at[top], top
-
-
-def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = 3, most_rules: int = 15_000, least: int = 6):
+
+def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The pairs that occur at least `least` times, as keys, the most frequent first; `most` at the most, one a slot. Counts
+    are exact; pairs that share a slot with a more frequent one wait for another round."""
+    ordered = np.sort(keys)
+    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    n = np.diff(np.append(starts, len(ordered)))
+    pairs = ordered[starts]
+    enough = (n >= least) & (pairs >= 0)
+    pairs, n = pairs[enough], n[enough]
+    pairs = pairs[np.lexsort((pairs, -n))[:most]]
+    return pairs[np.sort(np.unique(_slot(pairs), return_index=True)[1])]
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, most: int = 16_384, least: int = 6):
     """Symbols, places of the documents' first symbols, rules and expansion lengths.
 
-    ids: all documents' tokens, below BASE; counts: tokens of each. Each round replaces up to most_rules / rounds pairs
-    that occur at least `least` times, from left to right where they overlap.
+    ids: all documents' tokens, below BASE; counts: tokens of each. Rounds go on until no pair occurs `least` times (a rule
+    takes 12 bytes, so that rarer pairs save nothing); each replaces up to `most` pairs, from left to right where they
+    overlap.
     """
-    seq = ids.astype(np.int32)
+    seq = ids.astype(np.int64)
     if len(seq) and int(seq.max()) >= BASE:
         raise ValueError(f"ids must be below {BASE}")
     last = np.zeros(len(seq), bool)
     ends = np.cumsum(counts)
     last[ends[counts > 0] - 1] = True
-    rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        bucket, same, where, top = _frequent(seq, ~last[:-1], most_rules // rounds, least)
-        if not len(top):
-            break
-        symbol = np.full(1 << _BUCKET_BITS, -1, np.int32)
-        symbol[top] = BASE + len(rules) + np.arange(len(top))
-        pairs = np.stack([seq[where], seq[where + 1]], axis=1)
-        size = lambda s: np.where(s >= BASE, lengths[np.clip(s - BASE, 0, max(len(lengths) - 1, 0))] if len(lengths) else 1, 1)
-        lengths = np.concatenate([lengths, (size(pairs[:, 0]) + size(pairs[:, 1])).astype(np.uint32)])
-        rules = np.concatenate([rules, pairs.astype(np.uint32)])
-        hit = np.flatnonzero(same & (symbol[bucket] >= 0))
-        if not len(hit):
+    rules, lengths, n_rules = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32), 0
+    held, symbol = np.full(1 << _SLOT_BITS, -2, np.int64), np.zeros(1 << _SLOT_BITS, np.int64)
+    while len(seq) > 1:
+        keys = seq[:-1] << 32 | seq[1:]
+        keys[last[:-1]] = -1
+        pairs = _frequent(keys, most, least)
+        if not len(pairs):
             break
+        slots = _slot(pairs)
+        held[slots], symbol[slots] = pairs, BASE + n_rules + np.arange(len(pairs))
+        both = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
+        size = np.ones(both.shape, np.uint32)
+        size[both >= BASE] = lengths[both[both >= BASE] - BASE]
+        lengths = np.concatenate([lengths, size.sum(axis=1, dtype=np.uint32)])
+        rules.append(both.astype(np.uint32))
+        n_rules += len(pairs)
+        place = _slot(keys)
+        hit = np.flatnonzero(held[place] == keys)
         fresh = np.concatenate([[True], np.diff(hit) > 1])  # every second place of a run of overlapping pairs
-        hit = hit[(np.arange(len(hit)) - np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))) % 2 == 0]
-        seq[hit] = symbol[bucket[hit]]
+        order = np.arange(len(hit))
+        hit = hit[(order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0]
+        seq[hit] = symbol[place[hit]]
         last[hit] = last[hit + 1]
+        held[slots] = -2
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, last = seq[keep], last[keep]
     starts = np.zeros(len(counts) + 1, np.int64)
-    held = np.concatenate([[0], np.flatnonzero(last) + 1])
-    starts[1:] = held[np.cumsum(counts > 0)]
-    return seq, starts, rules, lengths
+    firsts = np.concatenate([[0], np.flatnonzero(last) + 1])
+    starts[1:] = firsts[np.cumsum(counts > 0)]
+    return seq, starts, np.concatenate(rules), lengths
 
 
 def pack(part: int, shard: int, doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, **how) -> bytes:
     """The bytes of one shard file."""
     seq, starts, rules, lengths = compress(ids, counts, **how)
-    width = 2 if not len(seq) or int(seq.max()) < 1 << 16 else 4
+    top = int(seq.max()) if len(seq) else 0
+    width = 2 if top < 1 << 16 else 3 if top < 1 << 24 else 4
+    high = {2: b"", 3: (seq >> 16).astype(np.uint8).tobytes(), 4: (seq >> 16).astype(np.uint16).tobytes()}[width]
     head = np.array([part, shard, len(doc_ids), len(rules), len(seq), width], np.int64)
-    return b"".join([MAGIC, *(x.tobytes() for x in (head, doc_ids.astype(np.int64), starts, counts.astype(np.int64), rules.astype(np.uint32), lengths.astype(np.uint32))), seq.astype(np.uint16 if width == 2 else np.uint32).tobytes()])
+    return b"".join([MAGIC, *(x.tobytes() for x in (head, doc_ids.astype(np.int64), starts, counts.astype(np.int64), rules.astype(np.uint32), lengths.astype(np.uint32))), (seq & 0xFFFF).astype(np.uint16).tobytes(), high])
 
 
 class Shard:
@@ -110,7 +116,9 @@ class Shard:
 
         self.doc_ids, self.starts, self.counts = take(np.int64, docs), take(np.int64, docs + 1), take(np.int64, docs)
         self.rules, self.lengths = take(np.uint32, 2 * rules).reshape(-1, 2), take(np.uint32, rules).astype(np.int64)
-        self.symbols = take(np.uint16 if width == 2 else np.uint32, symbols)
+        self.symbols = take(np.uint16, symbols)
+        if width > 2:
+            self.symbols = self.symbols.astype(np.uint32) | take(np.uint8 if width == 3 else np.uint16, symbols).astype(np.uint32) << np.uint32(16)
         self._start = np.cumsum(self.lengths) - self.lengths
         self._full = np.empty(int(self.lengths.sum()), np.uint32)
         done = 0

@@ -15,11 +15,11 @@ from quillmesh.llm import common, repair, tokens
 _FILES = "part long, shard long, n_docs long, n_tokens long, n_bytes long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000, known_words: int = 600_000) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000, known_words: int = 250_000) -> DataFrame:
     """Writes grammar shards of docs(doc_id, text) below folder; returns one row a file: part, shard, n_docs, n_tokens, n_bytes.
 
     Null texts are empty and give the end id alone; null ids come first; repeated rows are written each; other columns
-    are ignored. Files are named by part and shard in document order, so a repeated task replaces its own files. A
+    are ignored. tokenizer: an installed file's name, or a path; any BPE file of at most 50,400 ids. Files are named by part and shard in document order, so a repeated task replaces its own files. A
     document longer than shard_tokens makes a longer shard: memory is bounded by the longest document. known_words: words
     whose ids a worker keeps.
     """
@@ -28,31 +28,33 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_t
     def encode(batches):
         memo, files, part = tokens.memo(place, known_words), common.TaskFiles(folder), TaskContext.get().partitionId()
         held: list[tuple] = []
-        shard = 0
+        shard = tokens_held = 0
 
         def flush():
-            nonlocal shard
+            nonlocal shard, tokens_held
             doc_ids, ids, counts = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            tokens_held = 0
             data = repair.pack(part, shard, doc_ids, ids, counts)
             files.put(f"{part:06d}-{shard:06d}.repair", data)
             shard += 1
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard - 1], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)], "n_bytes": [len(data)]})
 
         for batch in batches:
-            for a, b in common.slices(batch, "text", 6 << 20):
+            for a, b in common.slices(batch, "text", 4 << 20):
                 rows = batch.slice(a, b - a)
                 ids, counts = memo.ids(rows.column("text"))
                 ends = np.cumsum(counts)
                 held.append((rows.column("doc_id").fill_null(repair.NULL_ID).to_numpy(zero_copy_only=False), np.insert(ids, ends, end_id), counts + 1))
-                if sum(len(x[1]) for x in held) >= shard_tokens:
+                tokens_held += len(held[-1][1])
+                if tokens_held >= shard_tokens:
                     yield flush()
         if held:
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.saved(ordered.mapInArrow(encode, _FILES), "token-files")
+    return common.saved(common.map_texts(ordered, encode, _FILES), "token-files")
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:

@@ -149,16 +149,37 @@ def test_mixing(spark, odd):
 
 # ---- 4 ----------------------------------------------------------------------------------------------------------------
 
-TRICKY = ["", " ", "  ", "a  b", "foo\n  bar", " lead", "trail ", "\n", "x   y\t z", "<|endoftext|> a <|startoftext|>b", "it's 'll don't,'x", "a\n\nb c\n\n\nd e.\nF", "a1b, 12,34", "\x1c a\x1cb", "ΑΣ é É ß.", "é ́x", None, "word, " * 300]
+TRICKY = ["", " ", "  ", "a  b", "foo\n  bar", " lead", "trail ", "\n", "x   y\t z", "<|endoftext|> a <|startoftext|>b", "it's 'll don't,'x", "a\n\nb c\n\n\nd e.\nF", "a1b, 12,34", "\x1c a\x1cb", "ΑΣ é É ß.", "é ́x", None, "word, " * 300, "a \x01 b\x01 c", "<|ENDOFTEXT|> K Å", "x\x85y z\x85 w", "end.,! end... ß? 1. a| x%%%"]
+BITS = [" ", " ", "  ", "\n", "a", "B", "é", "'s", "'", "1", ".", "!!", "|", "<|endoftext|>", "\x01", "\xa0", "ß", "\u0301", "日", "Σ"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_word_memo_is_exact(name):
-    memo = tokens.WordMemo(tokens.installed(name))
-    for texts in (TRICKY, TRICKY[::-1], TRICKY[3:4], []):
+@pytest.mark.parametrize("most", [250_000, 40])
+def test_word_memo_is_exact(name, most):
+    memo = tokens.WordMemo(tokens.installed(name), most)
+    assert memo.kind in ("marked", "dropped")
+    rng = random.Random(3)
+    fuzz = ["".join(rng.choice(BITS) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    for texts in (TRICKY, TRICKY[::-1], TRICKY[3:4], [], [None], fuzz, fuzz[::-1]):
         ids, counts = memo.ids(pa.array(texts, pa.string()))
         want = [e.ids for e in memo.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == list(itertools.chain.from_iterable(want))
+    assert len(memo.place) <= most
+
+
+def test_other_rules_are_encoded_whole(tmp_path):
+    """A file whose pattern isn't one of the two known ones: no word is taken out of its text."""
+    import json
+    from pathlib import Path
+
+    rules = json.loads(Path(tokens.installed("byte_bpe_50k.json")).read_text())
+    rules["pre_tokenizer"]["use_regex"] = False  # tokens may cross spaces
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    memo = tokens.WordMemo(str(tmp_path / "t.json"))
+    assert memo.kind == "whole"
+    ids, counts = memo.ids(pa.array(TRICKY, pa.string()))
+    want = [e.ids for e in memo.tok.encode_batch([t or "" for t in TRICKY], add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == list(itertools.chain.from_iterable(want))
 
 
 def test_repair_round_trip():
@@ -176,6 +197,18 @@ def test_repair_round_trip():
     assert len(repair.Shard(repair.pack(0, 0, np.array([1]), np.zeros(0, int), np.array([0]))).all()) == 0
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.tile(rng.integers(0, 50_000, 64), 4000), rng.integers(0, 50_000, 300_000)])
+    counts = np.array([64 * 4000, 300_000])
+    seq, starts, rules, lengths = repair.compress(ids, counts)
+    assert starts[1] < 80  # 64 ids repeated 4,000 times; the rounds of pairs don't stop early
+    pairs = [p for a, b in zip(starts[:-1], starts[1:]) for p in zip(seq[a:b][:-1].tolist(), seq[a:b][1:].tolist())]
+    assert max(np.unique(pairs, axis=0, return_counts=True)[1]) < 6
+    wide = repair.Shard(repair.pack(0, 0, np.arange(2), np.concatenate([ids, np.repeat(rng.integers(0, 50_000, (40_000, 2)), 6, axis=0).ravel()]), np.array([64 * 4000, 300_000 + 480_000])))
+    assert wide.symbols.dtype == np.uint32 and len(wide.rules) > 16_000 and wide.counts.sum() == len(wide.all())
+
+
 def test_token_files(spark, odd):
     folder = common.new_folder(spark, "repair-test")
     files = token_files.write(odd, folder, "byte_bpe_50k.json", shard_tokens=1000)
@@ -308,19 +341,34 @@ def test_links_lose_nothing(spark, most):
 def test_packing(spark, odd, sf):
     docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
     tok = tokens.WordMemo(tokens.installed("word_bpe_49k.json")).tok
+    texts = docs.collect()
     rows = packing.pack(docs, "word_bpe_49k.json", 2, block_tokens=20_000).collect()
-    total = sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
-    assert sum(r.length for r in rows) == total
-    lines = defaultdict(list)
+    lines, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         lines[r.sequence_id].append(r)
+        pieces[r.row].append(r)
     for own in lines.values():
         own.sort(key=lambda r: r.offset)
         assert [r.offset for r in own] == [0, *itertools.accumulate(r.length for r in own)][:-1]
         assert sum(r.length for r in own) in {1 << k for k in range(13)}
-    one = sorted((r for r in rows if r.doc_id == 107), key=lambda r: r.start)
-    ids = tok.encode(docs.where("doc_id = 107").first().text, add_special_tokens=False).ids + [2]
-    assert [zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in one] == [r.ids_crc32 for r in one]
+    assert sum(sum(r.length for r in own) < 4096 for own in lines.values()) <= 12 * (1 + sum(r.length for r in rows) // 20_000)
+    # Every row's pieces cover its ids once, and their crc32 is that of the library's ids.
+    got, want = [], []
+    for own in pieces.values():
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == [0, *itertools.accumulate(r.length for r in own)][:-1]
+        assert {r.doc_tokens for r in own} == {sum(r.length for r in own)} and len({r.doc_id for r in own}) == 1
+        got.append((str(own[0].doc_id), tuple((r.start, r.length, r.ids_crc32) for r in own)))
+    by = defaultdict(list)
+    for i, spans in got:
+        by[i].append(spans)
+    for t in texts:
+        ids = np.array(tok.encode(t.text or "", add_special_tokens=False).ids + [2], "<u4")
+        fits = [s for s in by[str(t.doc_id)] if s[-1][0] + s[-1][1] == len(ids) and all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in s)]
+        assert fits
+        by[str(t.doc_id)].remove(fits[0])
+        want.append(t)
+    assert len(got) == len(want) == len(texts)
     assert packing.pack(docs.limit(0), "word_bpe_49k.json", 2).count() == 0
 
 
