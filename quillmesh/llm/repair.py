@@ -30,17 +30,18 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
-def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
+def _frequent(keys: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that occur at least `least` times, as keys, the most frequent first; `most` at the most, one a slot. Counts
-    are exact; pairs that share a slot with a more frequent one wait for another round."""
+    are exact; pairs that share a slot with a more frequent one wait for another round. Then all frequent pairs."""
     ordered = np.sort(keys)
     starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
     n = np.diff(np.append(starts, len(ordered)))
-    pairs = ordered[starts]
-    enough = (n >= least) & (pairs >= 0)
-    pairs, n = pairs[enough], n[enough]
-    pairs = pairs[np.lexsort((pairs, -n))[:most]]
-    return pairs[np.sort(np.unique(_slot(pairs), return_index=True)[1])]
+    pairs = ordered[starts[n >= least]] if len(ordered) else ordered
+    n = n[n >= least]
+    pairs, n = pairs[pairs >= 0], n[pairs >= 0]
+    chosen = pairs[np.lexsort((pairs, -n))[:most]]
+    chosen = chosen[np.sort(np.unique(_slot(chosen), return_index=True)[1])]
+    return chosen, pairs
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, most: int = 16_384, least: int = 6):
@@ -58,13 +59,20 @@ def compress(ids: np.ndarray, counts: np.ndarray, most: int = 16_384, least: int
     last[ends[counts > 0] - 1] = True
     rules, lengths, n_rules = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32), 0
     held, symbol = np.full(1 << _SLOT_BITS, -2, np.int64), np.zeros(1 << _SLOT_BITS, np.int64)
+    marked, new = None, 0
     while len(seq) > 1:
         keys = seq[:-1] << 32 | seq[1:]
         keys[last[:-1]] = -1
-        pairs = _frequent(keys, most, least)
+        at = np.arange(len(keys))
+        if marked is not None:  # others are no more frequent than before: pairs of new symbols, and those that were frequent
+            made = seq >= BASE + n_rules - new
+            at = np.flatnonzero(made[:-1] | made[1:] | marked[_slot(keys)])
+        pairs, frequent = _frequent(keys[at], most, least)
         if not len(pairs):
             break
-        slots = _slot(pairs)
+        slots, new = _slot(pairs), len(pairs)
+        marked = np.zeros(1 << _SLOT_BITS, bool)
+        marked[_slot(frequent)] = True
         held[slots], symbol[slots] = pairs, BASE + n_rules + np.arange(len(pairs))
         both = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
         size = np.ones(both.shape, np.uint32)
@@ -72,17 +80,19 @@ def compress(ids: np.ndarray, counts: np.ndarray, most: int = 16_384, least: int
         lengths = np.concatenate([lengths, size.sum(axis=1, dtype=np.uint32)])
         rules.append(both.astype(np.uint32))
         n_rules += len(pairs)
-        place = _slot(keys)
-        hit = np.flatnonzero(held[place] == keys)
+        place = _slot(keys[at])
+        same = held[place] == keys[at]
+        hit, place = at[same], place[same]
         fresh = np.concatenate([[True], np.diff(hit) > 1])  # every second place of a run of overlapping pairs
         order = np.arange(len(hit))
-        hit = hit[(order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0]
-        seq[hit] = symbol[place[hit]]
+        taken = (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0
+        hit = hit[taken]
+        seq[hit] = symbol[place[taken]]
         last[hit] = last[hit + 1]
-        held[slots] = -2
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, last = seq[keep], last[keep]
+        held[slots] = -2
     starts = np.zeros(len(counts) + 1, np.int64)
     firsts = np.concatenate([[0], np.flatnonzero(last) + 1])
     starts[1:] = firsts[np.cumsum(counts > 0)]
