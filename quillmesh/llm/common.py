@@ -51,6 +51,25 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, by: list[str], most: int = 1000) -> DataFrame:
+    """rows with the columns of groups(key, size, ...) beside them, null where there is no group: a left join in which no key
+    is hot. groups has one row a key; size is the key's number of rows.
+
+    Fewer than `most` keys can hold more than a `most`-th of all grouped rows each: the groups of those alone are broadcast.
+    Their rows then take part in the join of the others under keys that match nothing, dealt by a hash of the columns `by`.
+    """
+    others = [c for c in groups.columns if c != key]
+    hot, cold, own = (free([*rows.columns, *others], x) for x in ("_hot", "_cold", "_own"))
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    frequent = groups.where(F.col(size) * most > total).select(key, F.struct(*others).alias(hot))
+    rare = groups.where(F.col(size) * most <= total).select(F.col(key).cast("string").alias(own), F.struct(*others).alias(cold))
+    out = rows.join(F.broadcast(frequent), key, "left")
+    spread = F.concat(F.lit("#"), F.xxhash64(*by).cast("string"))
+    out = out.withColumn(own, F.when(F.col(hot).isNull(), F.col(key).cast("string")).otherwise(spread)).join(rare, own, "left")
+    group = F.coalesce(hot, cold)
+    return out.select(*rows.columns, *[group[c].alias(c) for c in others])
+
+
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with Arrow batches of at most some 8 MB: a task then holds a few batches beside its longest row,
     whatever the rows' sizes. The session's setting is lowered to that, never raised."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm import common, fuse
 
 SPACES = r"[\x20\x09-\x0D]+"
-_FILTERS = "bucket int, seed long, segment long, segments long, prints binary"
+_FILTERS = "bucket int, seed long, segment long, segments long, prints binary, buckets int, n_keys long"
+_FEW = 100_000  # digests that are broadcast, some 10 MB at the most
 
 
 def normal():
@@ -27,21 +28,31 @@ def _bucket(buckets: int):
     return F.pmod(F.conv(F.substring("sha", 57, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
-def build_filters(digests: DataFrame, bucket_keys: int = 500_000, least: int = 256) -> tuple[DataFrame, int]:
-    """A snapshot's filters, one a bucket of about bucket_keys digests(sha), written once; and the number of buckets."""
+def build_filters(digests: DataFrame, folder: str | None = None, bucket_keys: int = 500_000, least: int = 256) -> DataFrame:
+    """A snapshot's filters, one a bucket of about bucket_keys digests(sha), written once to folder (a new one if None)."""
     buckets = max(least, -(-digests.count() // bucket_keys))
 
     def make(table: pa.Table) -> pa.Table:
-        seed, segment, segments, data = fuse.build(table.column("key").to_numpy())
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "seed": [seed], "segment": [segment], "segments": [segments], "prints": pa.array([data], pa.binary())})
+        keys = table.column("key").to_numpy()
+        seed, segment, segments, data = fuse.build(keys)
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "seed": [seed], "segment": [segment], "segments": [segments], "prints": pa.array([data], pa.binary()), "buckets": pa.array([buckets], pa.int32()), "n_keys": [len(keys)]})
 
     keyed = digests.select(_bucket(buckets).alias("bucket"), _key().alias("key"))
-    return common.saved(keyed.groupBy("bucket").applyInArrow(make, _FILTERS), "dedup-filters"), buckets
+    made = keyed.groupBy("bucket").applyInArrow(make, _FILTERS)
+    if folder is None:
+        return common.saved(made, "dedup-filters")
+    made.write.parquet(folder)
+    return open_filters(digests.sparkSession, folder)
 
 
-def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
+def open_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The filters that build_filters() wrote to folder, for another batch against the same snapshot."""
+    return spark.read.schema(_FILTERS).parquet(folder)
+
+
+def screen(digests: DataFrame, filters: DataFrame) -> DataFrame:
     """The rows of digests(sha, ...) that the snapshot may hold: all that it holds, and about 1 in 256 others."""
-    fields = digests.columns
+    fields, buckets = digests.columns, filters.agg(F.max("buckets")).first()[0] or 1
 
     def pick(rows: pa.Table, made: pa.Table) -> pa.Table:
         if not made.num_rows or not rows.num_rows:
@@ -61,27 +72,38 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def _collisions(texts: DataFrame, doubtful: DataFrame) -> DataFrame:
-    """Digests of doubtful(sha) that stand for different normalised texts in texts(sha, normal): byte checks, every row."""
-    held = common.saved(texts.join(doubtful, "sha", "left_semi"), "dedup-bytes")
-    return held.groupBy("sha", "normal").agg(F.lit(1).alias("one")).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
+    """Digests that stand for different normalised texts in texts(sha, normal): a comparison by bytes of every row whose
+    digest is in doubtful(sha).
+
+    Equal texts are made one inside each task first, so that no group of copies meets whole. Few digests are broadcast;
+    beyond that all texts take part, for a join by digest would move as much.
+    """
+    if doubtful.limit(_FEW + 1).count() <= _FEW:
+        texts = texts.join(F.broadcast(doubtful), "sha", "left_semi")
+    return texts.groupBy("sha", "normal").count().groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def duplicates(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+def duplicates(snapshot: DataFrame, batch: DataFrame, filters: DataFrame | None = None) -> DataFrame:
     """One row for every row of both, of (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, in_snapshot.
 
     Texts are equal when identical without white space; null counts as empty. Digests of the snapshot go into static
-    filters; the batch's duplicates are grouped by themselves, and each distinct digest of the batch is screened by the
-    filters; those that pass join the snapshot's exact groups. Texts of every digest that stands for more than one row are
-    then compared byte by byte; if digests ever collided, grouping would be done by the texts themselves. Exactly one row
-    of a group is kept, of repeated rows the first; a null id stays only if all of its group's longest texts have null ids.
+    filters, or are in those of an earlier batch: filters, from open_filters(). The batch's duplicates are grouped by
+    themselves, and each distinct digest of the batch is screened by the filters; those that pass join the snapshot's exact
+    groups. Texts of every digest that stands for more than one row are then compared byte by byte; if digests ever
+    collided, grouping would be done by the texts themselves. Exactly one row of a group is kept, of repeated rows the
+    first; a null id stays only if all of its group's longest texts have null ids. Empty tables give no rows; other columns
+    are ignored. Filters of another snapshot raise ValueError where the numbers of digests differ.
     """
     sides = snapshot.select("doc_id", "text", F.lit(True).alias("old")).unionByName(batch.select("doc_id", "text", F.lit(False).alias("old")))
     texts = sides.withColumn("normal", normal()).withColumn("sha", F.sha2(F.col("normal").cast("binary"), 256))
     row = F.monotonically_increasing_id()
     rows = common.saved(texts.select("doc_id", "sha", F.length(common.text_or_empty()).alias("length"), "old", row.alias("row")), "dedup-rows")
     old, new = common.saved(_groups(rows.where("old")), "dedup-old"), common.saved(_groups(rows.where("not old")), "dedup-new")
-    filters, buckets = build_filters(old.select("sha"))
-    passed = common.saved(screen(new.select("sha"), filters, buckets), "dedup-passed")
+    if filters is None:
+        filters = build_filters(old.select("sha"))
+    elif (held := filters.agg(F.sum("n_keys")).first()[0] or 0) != (n := old.count()):
+        raise ValueError(f"the filters hold {held} digests, the snapshot has {n}")
+    passed = common.saved(screen(new.select("sha"), filters), "dedup-passed")
     other = old.select("sha", F.col("size").alias("old_size"), F.col("best").alias("old_best"))
     met = common.saved(new.join(passed, "sha", "left_semi").join(other, "sha"), "dedup-met")
     merged = met.select("sha", (F.col("size") + F.col("old_size")).alias("size"), F.greatest("best", "old_best").alias("best"))
@@ -93,7 +115,8 @@ def duplicates(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
         own = rows.select(F.col("normal").alias("sha"), "doc_id", "length", "row")
         groups, key = common.saved(_groups(own).withColumnRenamed("sha", "normal"), "dedup-groups"), "normal"
     best = groups.select(key, F.col("size").alias("group_size"), F.bitwise_not("best.id").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"))
-    return rows.join(best, key).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("old").alias("in_snapshot"))
+    joined = common.join_groups(rows, best, key, "group_size", ["row"])
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("old").alias("in_snapshot"))
 
 
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,17 +129,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each group of equal texts.
 
     Ids whose rows all go are taken out by an anti-join, so documents are shuffled only if those are many. Only where an id
-    has both kinds of rows (repeated rows) are texts' digests compared too.
+    has both kinds of rows (repeated rows) are texts' digests compared too. Null texts are empty; null ids are one id.
     """
+    key, sha = common.free(docs.columns, "_id"), common.free(docs.columns, "_sha")
     found = duplicates(*halves(docs.select("doc_id", "text"))).select("doc_id", "text_sha256", "kept")
     pairs = common.saved(found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("any"), F.bool_and("kept").alias("all")), "dedup-pairs")
-    ids = common.saved(pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("any").alias("any"), F.bool_and("all").alias("all")), "dedup-ids")
-    dropped = common.saved(ids.where("not any").select("_id"), "dedup-gone")  # written alone, so that the planner knows its size
-    out = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    ids = common.saved(pairs.groupBy(F.col("doc_id").alias(key)).agg(F.bool_or("any").alias("any"), F.bool_and("all").alias("all")), "dedup-ids")
+    dropped = common.saved(ids.where("not any").select(key), "dedup-gone")  # written alone, so that the planner knows its size
+    out = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
     if not ids.where("any and not all").isEmpty():
-        gone = pairs.where("not any").select(F.col("doc_id").alias("_id"), "text_sha256")
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256"))
-        out = out.withColumn("_sha", F.sha2(normal().cast("binary"), 256)).join(gone, same, "left_anti").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+        gone = pairs.where("not any").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha + "_gone"))
+        out = out.withColumn(sha, F.sha2(normal().cast("binary"), 256))
+        same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(sha + "_gone"))
+        out = out.join(gone, same, "left_anti").dropDuplicates(["doc_id", sha])
     return out.select(*docs.columns)
 
 

@@ -187,8 +187,9 @@ def sniff(df: DataFrame, media: str = "media", declared: str = "declared") -> Da
         return pd.DataFrame(rows, columns=["media_type", "confirmed", "corrected", "trailing", "embedded"])
 
     names = ("media_type", "confirmed", "corrected", "trailing", "embedded")
-    out = df.withColumn("_sniffed", run(F.col(media), F.col(declared).cast("string")))
-    return out.withColumns({n: F.col(f"_sniffed.{n}") for n in names}).drop("_sniffed")
+    seen = common.free(df.columns, "_sniffed")
+    out = df.withColumn(seen, run(F.col(media), F.col(declared).cast("string")))
+    return out.withColumns({n: F.col(seen)[n] for n in names}).drop(seen)
 
 
 def carve(df: DataFrame, key: str, media: str = "media") -> DataFrame:
@@ -228,7 +229,7 @@ def store(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(map(len, raw), pa.int64()), "declared": [UNKNOWN] * len(raw), "media": pa.array(media, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    return common.saved(rows.mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary"), "media", "zstd")
+    return common.saved(common.map_texts(rows, run, "doc_id long, n_bytes long, declared string, media binary"), "media", "zstd")
 
 
 _FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, n_embedded long"
@@ -253,7 +254,7 @@ def describe(stored: DataFrame) -> DataFrame:
             names = [x.strip().split(" ")[0] for x in _FIELDS.split(",")]
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.bool_() if n == "corrected" else pa.string() if n in ("payload_sha256", "media_sha256", "feature", "media_type") else pa.int64()) for i, n in enumerate(names)})
 
-    return stored.mapInArrow(run, _FIELDS)
+    return common.map_texts(stored, run, _FIELDS)
 
 
 def op6_signature_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmesh.llm import common
 from quillmesh.llm.components import components
@@ -43,15 +44,12 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            known: dict[bytes, int] = {}
-            out = np.empty(len(texts), np.uint64)
-            for i, x in enumerate(texts):
-                t = x.as_py()
-                out[i] = known[t] if t in known else known.setdefault(t, fingerprint(t, words))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": out.view(np.int64)})
+            coded = batch.column("text").cast(pa.large_binary()).dictionary_encode()  # a text that repeats is hashed once
+            own = np.fromiter((fingerprint(x.as_py(), words) for x in coded.dictionary), np.uint64, len(coded.dictionary))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": own.view(np.int64)[coded.indices.to_numpy()]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    return common.map_texts(texts, run, "doc_id long, fp long")
 
 
 def _masks(distance: int, blocks: int) -> list[int]:
@@ -153,30 +151,55 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 7, most: int = 409
     return edges
 
 
+def _components(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(fp, n, component_id, root) of every distinct fingerprint of prints(doc_id, fp): rows with it, the least id of its
+    component (null if all are), and the component itself."""
+    distinct = common.saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
+    member = common.saved(components(links(distinct.select("fp"), distance, blocks), "simhash-star"), "simhash-members")
+    joined = common.saved(member.join(distinct, member.node == distinct.fp).select("node", "root", "rep"), "simhash-joined")
+    named = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+    linked = common.join_groups(joined, common.saved(named, "simhash-named"), "root", "size", ["node"]).select(F.col("node").alias("fp"), "component_id", "root")
+    every = distinct.join(linked, "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return common.saved(every, "simhash-every")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
     component_id: the smallest doc_id reachable over links of at most `distance` differing bits, itself included.
     Texts without words have fingerprint zero and link like others. Null ids take part but never name a component unless
-    all of its ids are null. Repeated rows come out repeated; other columns are ignored.
+    all of its ids are null. Repeated rows come out repeated; an empty table gives no rows; other columns are ignored.
     """
     prints = common.saved(fingerprints(docs, words), "simhash-prints")
-    distinct = common.saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    member = common.saved(components(links(distinct.select("fp"), distance, blocks), "simhash-star"), "simhash-members")
-    joined = common.saved(member.join(distinct, member.node == distinct.fp).select("node", "root", "rep"), "simhash-joined")
-    named = common.saved(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-named")
-    linked = joined.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    every = common.saved(every, "simhash-every")
-    return prints.join(every, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = common.join_groups(prints, _components(prints, distance, blocks), "fp", "n", ["doc_id"])
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the least of its component; ids are taken as unique. Rows are taken
-    out by an anti-join on the ids that go, so documents are shuffled only if those are many."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(common.saved(gone, "simhash-gone"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    out by an anti-join on the ids that go, so documents are shuffled only if those are many.
+
+    Rows of a null id go where their component has an id; of a component of null ids alone one row stays.
+    """
+    key = common.free(docs.columns, "_id")
+    prints = common.saved(fingerprints(docs.select("doc_id", "text")), "simhash-prints")
+    every = _components(prints, 4, 7)
+    found = common.join_groups(prints.where("doc_id is not null"), every, "fp", "n", ["doc_id"])
+    gone = common.saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "simhash-gone")
+    out = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return out
+    fp, root = common.free(docs.columns, "_fp"), common.free(docs.columns, "_root")
+
+    def run(batches):
+        for batch in batches:
+            own = [fingerprint((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield batch.append_column(fp, pa.array(np.array(own, np.uint64).view(np.int64)))
+
+    known = every.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
+    rows = common.map_texts(nameless, run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    return out.unionByName(rows.join(known, fp).dropDuplicates([root]).select(*docs.columns))
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,18 +46,22 @@ def decide(pages: DataFrame) -> DataFrame:
     """pages with payload, digest, revisit and refers_to: of equal payloads of at least LEAST_REVISIT bytes the smallest
     page_id is stored and the others revisit it. Repeated rows of that page_id are stored each. Rows with a null page_id
     revisit if any row of their group has an id. Only groups with copies are joined, so pages are shuffled only where
-    those are many."""
+    those are many, and a payload that is on many pages is no hot key."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     long_ = F.octet_length("payload") >= LEAST_REVISIT
-    groups = rows.where(long_).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
-    rows = rows.join(common.saved(groups, "warc-copies"), "digest", "left")
+    groups = rows.where(long_).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rows = common.join_groups(rows, common.saved(groups, "warc-copies"), "digest", "n", ["page_id", "url"])
     revisit = long_ & F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
     return rows.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("least")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, gzip: bool = True, file_bytes: int = 64 << 20) -> DataFrame:
-    """Writes pages(page_id, url, html) as archives below folder, one or more a task; a row a file: file, n_records, n_bytes."""
+    """Writes pages(page_id, url, html) as archives below folder, one or more a task; a row a file: file, n_records, n_bytes.
+
+    Null html is an empty payload, a null url has no header, a null page_id no number; repeated rows are written each; an
+    empty table writes no file; other columns are ignored. A task holds one file of file_bytes and its longest page.
+    """
 
     def run(batches):
         files, part = common.TaskFiles(folder), TaskContext.get().partitionId()
@@ -84,7 +88,7 @@ def write(pages: DataFrame, folder: str, gzip: bool = True, file_bytes: int = 64
         if held:
             yield flush()
 
-    return common.saved(decide(pages).mapInArrow(run, _FILES), "warc-files")
+    return common.saved(common.map_texts(decide(pages), run, _FILES), "warc-files")
 
 
 class _Window:
