@@ -28,7 +28,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, limit: flo
     """(skey, source_size, target) of sizes(skey, size): weights repeat over the sources in order; each target is
     level * weight, or limit * source_size where that is less, at the level whose targets sum to share * all sizes.
 
-    The level is found in one pass over the sources in the order of limit * size / weight, those that stop first first.
+    The level is found in one pass over the sources in the order of limit * size / weight, those that stop first first. That
+    is one task over one row a source, after their sizes have been summed: right for sources that a person can weigh, some
+    hundred thousand at the most.
     """
     per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy("skey")) - 1
@@ -73,7 +75,9 @@ def thresholds(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), share: fl
         open_ = crossing.where("low < high").select("skey", "budget", F.col("bucket").alias("prefix"), "before")
         if open_.isEmpty():
             break
-    out = source.join(closed, "skey", "left").select("skey", "source_size", "target", "copies", F.coalesce("threshold", F.lit((1 << HASH_BITS) - 1)).alias("threshold"))
+    # Nothing is left of a target that whole copies reach: not even documents without words are taken once more.
+    threshold = F.when((F.col("copies") > 0) & (F.col("budget") <= 0), F.lit(-1)).otherwise(F.coalesce("threshold", F.lit((1 << HASH_BITS) - 1)))
+    out = source.join(closed, "skey", "left").select("skey", "source_size", "target", "copies", threshold.alias("threshold"))
     return common.saved(out, "mix-thresholds")
 
 
@@ -95,12 +99,17 @@ def plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: float = 1.0, limit: float = 3.0) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with the columns of docs."""
-    chosen = thresholds(common.saved(_sized(docs), "mix-sizes"), weights, share, limit).select(F.col("skey").alias("_skey"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold"))
-    rows = docs.withColumn("_skey", _source_key()).join(chosen, "_skey")
-    times = (F.col("_copies") + F.when(_hash() <= F.col("_threshold"), 1).otherwise(0)).cast("int")
-    rows = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*docs.columns)
+    """The rows of docs(doc_id, text, source, ...) that the mix takes, each as often as it is taken, with the columns of docs.
+
+    A row comes out `limit` times at the most. Null and empty texts have no words: they are taken as often as the whole of
+    their source, once if it has no word at all. A null source is the last; null ids share one hash; repeated rows are
+    taken alike; an empty table gives none.
+    """
+    skey, copies, threshold, copy = (common.free(docs.columns, x) for x in ("_skey", "_copies", "_threshold", "_copy"))
+    chosen = thresholds(common.saved(_sized(docs), "mix-sizes"), weights, share, limit).select(F.col("skey").alias(skey), F.col("copies").alias(copies), F.col("threshold").alias(threshold))
+    rows = docs.withColumn(skey, _source_key()).join(chosen, skey)
+    times = (F.col(copies) + F.when(_hash() <= F.col(threshold), 1).otherwise(0)).cast("int")
+    return rows.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op3_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +139,7 @@ s AS (
          sum(d.size) OVER (PARTITION BY d.skey ORDER BY d.h) AS upto, sum(d.size) OVER (PARTITION BY d.skey, d.h) AS tied
   FROM d JOIN c USING (skey))
 SELECT doc_id, size, source_size, target,
-       (size * (n + CASE WHEN upto <= budget OR (upto - tied) + tied / 2.0 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken,
-       (n + CASE WHEN upto <= budget OR (upto - tied) + tied / 2.0 <= budget THEN 1 ELSE 0 END)::BIGINT AS copies
+       (size * (n + CASE WHEN n > 0 AND budget <= 0 THEN 0 WHEN upto <= budget OR (upto - tied) + tied / 2.0 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken,
+       (n + CASE WHEN n > 0 AND budget <= 0 THEN 0 WHEN upto <= budget OR (upto - tied) + tied / 2.0 <= budget THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM s
 """
