@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import common, labelled
@@ -105,11 +105,10 @@ def _start(docs: list[np.ndarray], y: np.ndarray) -> Network:
     return net
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str], prior: float, epochs: int = 8, batch: int = 32, rate: float = 0.02) -> Network:
-    """A network trained on four fifths of docs (rows of their words), by Adagrad on the log loss weighted to `prior`.
+def fit(docs: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 8, batch: int = 32, rate: float = 0.02) -> Network:
+    """A network trained on docs (rows of their words), by Adagrad on the log loss weighted to `prior`.
 
-    The last fifth finds the shift that makes CUT the score of best F1, and for each language the threshold of best F1 (CUT
-    where a language has too few documents). langs is used for those thresholds only. One class alone gives a constant.
+    One class alone gives a constant. Cuts are chosen by calibrate(), on other documents.
     """
     net = _start(docs, y)
     if not len(y) or y.min() == y.max():
@@ -117,8 +116,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str], prior: float, e
         net.out[-1] = 4 if len(y) and y[0] else -4
         return net
     rng = np.random.default_rng(11)
-    order = rng.permutation(len(docs))
-    valid, learn = order[: len(docs) // 5], order[len(docs) // 5 :]
+    learn = np.arange(len(docs))
     share = y.mean()
     weight = np.where(y == 1, max(prior, 0.15) / share, (1 - max(prior, 0.15)) / (1 - share))
     memory = {"table": np.full(net.table.shape[:2], 1e-2, np.float32), "out": np.full_like(net.out, 1e-2)}
@@ -159,75 +157,111 @@ def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str], prior: float, e
                 np.add.at(grad, inverse, slopes[:, half * HALF : (half + 1) * HALF])
                 memory["table"][half, row] += (grad * grad).sum(1)
                 net.table[half, row] -= rate * grad / np.sqrt(memory["table"][half, row])[:, None]
-    if not len(valid):
-        return net
-    rows, bounds = _joined([docs[i] for i in valid])
-    z = net.logits(rows, bounds).astype(np.float64)
-    best = _best_cut(z, y[valid], weight[valid])
-    net.shift = math.log(CUT / (1 - CUT)) - best
-    for lang in {x for x in langs if x is not None}:
-        own = np.array([langs[i] == lang for i in valid])
-        if y[valid][own].sum() >= 5 and (1 - y[valid][own]).sum() >= 5:
-            cut = _best_cut(z[own], y[valid][own], weight[valid][own]) + net.shift
-            net.thresholds[lang] = float(1 / (1 + math.exp(-cut)))
     return net
 
 
+STEP = 0.05  # width of a bin of logits
+
+
+def calibrate(net: Network, seen: list[tuple], prior: float, least: int = 20) -> None:
+    """The shift that makes CUT the score of best F1, and each language's own threshold of best F1.
+
+    seen: (lang, label, bin, n) of documents that were not trained on, n of them with logits in STEP times [bin, bin + 1).
+    prior: the share of label 1 among all. A language with fewer than `least` documents of either label has no own threshold:
+    CUT counts there. Without both labels nothing is moved.
+    """
+    total = {k: sum(n for _, label, _, n in seen if label == k) for k in (0, 1)}
+    if not total[0] or not total[1]:
+        return
+    weight = {1: prior / total[1], 0: (1 - prior) / total[0]}
+
+    def best(rows: list[tuple]) -> float:
+        z = np.array([STEP * (b + 0.5) for _, _, b, _ in rows])
+        y = np.array([label for _, label, _, _ in rows], np.float64)
+        return _best_cut(z, y, np.array([n * weight[label] for _, label, _, n in rows]))
+
+    net.shift = math.log(CUT / (1 - CUT)) - best(seen)
+    for lang in sorted({x[0] for x in seen if x[0] is not None}):
+        own = [x for x in seen if x[0] == lang]
+        if all(sum(n for _, label, _, n in own if label == k) >= least for k in (0, 1)):
+            net.thresholds[lang] = float(1 / (1 + math.exp(-(best(own) + net.shift))))
+
+
 def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """The middle of the widest run of cuts with the best weighted F1."""
+    """The middle of the cuts whose weighted F1 is within 0.01 of the best."""
     order = np.argsort(-z)
     z, y, w = z[order], y[order], w[order]
-    hit, all_ = np.cumsum(y * w), np.cumsum(w)
+    ends = np.flatnonzero(np.append(z[1:] != z[:-1], True))
+    hit, all_ = np.cumsum(y * w)[ends], np.cumsum(w)[ends]
     f1 = 2 * hit / (all_ + (y * w).sum())
-    k = int(np.argmax(f1))
-    return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
+    good = np.flatnonzero(f1 >= f1.max() - 0.01)
+    return float((z[ends[good[0]]] + z[ends[min(good[-1] + 1, len(ends) - 1)]]) / 2)
 
 
 def held_out():
     return F.pmod(common.crc_of_id(), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 3000) -> Network:
-    """A network from at most about per_class whole documents of each class, whose word rows reach the driver."""
-    if "lang" not in docs.columns:
-        docs = docs.withColumn("lang", F.lit(None).cast("string"))
-    rows, counts = labelled.sample(docs.select("doc_id", "text", "lang"), labels, "toxic", usable, per_class)
+def train(docs: DataFrame, known: DataFrame, per_class: int = 5000, most_words: int = 2500) -> tuple[Network, Column, float]:
+    """A network from at most about per_class documents of each label of known(doc_id, label), of up to most_words words: at
+    most 2 * per_class * most_words * 8 bytes of word rows, 200 MB, reach the driver. A fifth of all ids is never trained on.
 
-    def run(batches):
+    Also the condition on (doc_id, label) of what was trained on, and the share of label 1, 0.15 at least.
+    """
+    counts = labelled.class_counts(known)
+    prior = max(0.15, counts.get(1, 0) / max(1, sum(counts.values())))
+    trained = labelled.chosen(counts, per_class) & ~labelled.checked()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known.where(trained)), "doc_id")
+
+    def words(batches):
         for batch in batches:
             for a, b in common.slices(batch, "text", 8 << 20):
                 part = batch.slice(a, b - a)
                 r, bounds = word_rows(part.column("text"))
-                packed = r.astype("<i4").tobytes()
-                yield pa.RecordBatch.from_pydict({"label": part.column("label"), "lang": part.column("lang"), "rows": pa.array([packed[8 * i : 8 * j] for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())})
+                packed, short = r.astype("<i4").tobytes(), np.diff(bounds) <= most_words
+                yield pa.RecordBatch.from_pydict({"label": part.column("label").filter(pa.array(short)), "rows": pa.array([packed[8 * i : 8 * j] for i, j, s in zip(bounds[:-1], bounds[1:], short) if s], pa.binary())})
 
-    got = rows.select("label", "lang", "text").mapInArrow(run, "label int, lang string, rows binary").toPandas()
-    return fit([np.frombuffer(x, "<i4").reshape(-1, 2) for x in got.rows], got.label.to_numpy().astype(np.int64), got.lang.tolist(), counts.get(1, 0) / max(1, sum(counts.values())))
+    got = common.map_texts(rows.select("label", "text"), words, "label int, rows binary").toPandas()
+    return fit([np.frombuffer(x, "<i4").reshape(-1, 2) for x in got.rows], got.label.to_numpy().astype(np.int64), prior), trained, prior
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, threshold, flagged) for every row of docs(doc_id, text[, lang]).
-
-    predicted is score >= CUT; flagged is score >= threshold, the one calibrated for the row's language (CUT for others).
-    Labels of documents whose crc32 of the id leaves 2 by 4 are never learned from. Null texts score as empty ones,
-    repeated rows alike; whole texts are scored. Without usable labels nothing is predicted toxic.
-    """
-    model = train(docs, labels, ~held_out())
+def logits(docs: DataFrame, net: Network) -> DataFrame:
+    """(doc_id, lang, logit) of every row of docs(doc_id, text[, lang])."""
 
     def run(batches):
         for batch in batches:
             for a, b in common.slices(batch, "text", 4 << 20):
                 part = batch.slice(a, b - a)
-                cut = [model.thresholds.get(x, CUT) for x in part.column("lang").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": model.score(part.column("text")), "threshold": cut})
+                z = net.logits(*word_rows(part.column("text"))).astype(np.float64)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "logit": z})
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).mapInArrow(run, "doc_id long, score double, threshold double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"))
+    return common.map_texts(texts, run, "doc_id long, lang string, logit double")
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, threshold, flagged) for every row of docs(doc_id, text[, lang]).
+
+    predicted is score >= CUT; flagged is score >= threshold, the one calibrated for the row's language (CUT for others).
+    Labels of documents whose crc32 of the id leaves 2 by 4 are never learned from. The network is trained on a bounded
+    sample; the cuts come from all other usable labels, as counts by language, label and bin of the logit. Null texts score
+    as empty ones, repeated rows alike; whole texts are scored. Without usable labels nothing is predicted toxic; an empty
+    table gives no rows; other columns are ignored.
+    """
+    known = labelled.usable_labels(labels, "toxic", ~held_out())
+    net, trained, prior = train(docs, known)
+    rows = common.saved(logits(docs, net), "toxicity-logits")
+    others = rows.select("doc_id", "lang", F.floor(F.col("logit") / STEP).alias("bin")).join(known.where(~trained), "doc_id")
+    calibrate(net, [tuple(r) for r in others.groupBy("lang", "label", "bin").count().collect()], prior)
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit") + net.shift))))
+    own = F.create_map(*[F.lit(x) for pair in net.thresholds.items() for x in pair])[F.col("lang")] if net.thresholds else F.lit(None)
+    rows = rows.select("doc_id", held_out().alias("held_out"), score.alias("score"), F.coalesce(own, F.lit(CUT)).alias("threshold"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
 
 
 def op5_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
