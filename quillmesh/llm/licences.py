@@ -5,35 +5,15 @@ Only DataFrame functions: canonical text by replacements, SHA-256, and a hash jo
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import common
 
-#: Published licence texts and notices, by SPDX identifier. Copyright lines are left out of all texts.
-KNOWN: list[tuple[str, str]] = [
-    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
-    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
-    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
-    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution."""),
+#: Notices that name a licence, by SPDX identifier. Whole texts are files of licence_texts.
+NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -45,19 +25,47 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
 ]
 
+#: Titles that stand above these texts; both forms are known.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT-0 License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+}
+
 #: Spellings that count as the same, applied to whole canonical words.
 SPELLINGS = (("licences?|licenses|licence", "license"), ("licenced", "licensed"), ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("http", "https"))
-_COPYRIGHT = r"(?im)^[^\S\n]*(?:(?:copyright|\(c\)|©)[^\n]*(?:\d{4}|\(c\)|©|all rights reserved)[^\n]*|all rights reserved\.?[^\S\n]*)$"
+#: Lines that give a year, a sign or a placeholder after the word, or the word and capitalised names alone.
+_COPYRIGHT = r"(?m)^[^\S\n]*(?:(?i:(?:copyright|\(c\)|©)[^\n]*(?:\d{4}|\(c\)|©|[\[<{](?:yyyy|year)|all rights reserved)[^\n]*|all rights reserved\.?[^\S\n]*)|Copyright(?: by)?(?:[^\S\n]+[A-Z][\w.,&-]*){1,6}[^\S\n]*)$"
+_RARE = "(?:" + "|".join(f"(?:{variant})" for variant, _ in SPELLINGS) + ")"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the registry: the files of licence_texts, with and without their titles, and NOTICES."""
+    texts = [(p.name.removesuffix(".txt"), p.read_text()) for p in sorted(resources.files("quillmesh.llm").joinpath("licence_texts").iterdir(), key=lambda p: p.name)]
+    titled = [(i, f"{title}\n\n{t}") for i, t in texts for title in TITLES.get(i, ())]
+    return texts + titled + NOTICES
 
 
-def canonical(text: Column) -> Column:
-    """Canonical lines of a text: lower case, without copyright lines, runs of punctuation and space as one space, equivalent
-    spellings made one. Lines stay apart; empty ones go."""
+def _plain(text: Column) -> Column:
     out = F.lower(F.regexp_replace(text, F.lit(_COPYRIGHT), F.lit("")))
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " "), r" *\n[ \n]*", "\n"), F.lit(" \n"))
+
+
+def canonical(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """rows with the canonical lines of a text as column `name`: lower case, without copyright lines, runs of punctuation and
+    space as one space, equivalent spellings made one. Lines stay apart; empty ones go.
+
+    The spellings are replaced only in texts that hold one.
+    """
+    out = F.col(name)
     for variant, one in SPELLINGS:
         out = F.regexp_replace(out, rf"\b(?:{variant})\b", one)
-    return F.trim(F.regexp_replace(out, r" *\n[ \n]*", "\n"), F.lit(" \n"))
+    return rows.withColumn(name, _plain(text)).withColumn(name, F.when(F.col(name).rlike(_RARE), out).otherwise(F.col(name)))
 
 
 def digest(lines: Column) -> Column:
@@ -67,11 +75,12 @@ def digest(lines: Column) -> Column:
 
 def digests(known: DataFrame) -> DataFrame:
     """(digest, license_id) of known(license_id, text); of licences with one digest the least id counts."""
-    return known.select(digest(canonical(F.col("text"))).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    lines = canonical(known.select("license_id", "text"), F.col("text"), "text")
+    return lines.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame(known_texts(), "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -83,7 +92,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """
     table = common.saved(digests(known), "licence-digests")
     empty = digest(F.lit(""))
-    lines = docs.select("doc_id", canonical(common.text_or_empty()).alias("lines"))
+    lines = canonical(docs.select("doc_id", common.text_or_empty().alias("lines")), F.col("lines"), "lines")
     every = lines.select("doc_id", digest(F.col("lines")).alias("text_digest"), F.array_distinct(F.transform(F.split("lines", "\n"), lambda x: F.unhex(digest(x)))).alias("line_digests"))
     every = common.saved(every.withColumn("row", F.monotonically_increasing_id()), "licence-lines", "zstd")
     lines = every.select("row", F.explode("line_digests").alias("one")).select("row", F.lower(F.hex("one")).alias("digest"))
@@ -99,12 +108,12 @@ def op10_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    quoted = ", ".join(f"""('{i}', '{t.replace("'", "''")}')""" for i, t in KNOWN)
+    quoted = ", ".join(f"""('{i}', '{t.replace("'", "''")}')""" for i, t in known_texts())
     text = f"""lower(regexp_replace(coalesce(text, ''), '{_COPYRIGHT}', '', 'g'))"""
     text = rf"regexp_replace({text}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    text = f"trim(regexp_replace({text}, ' *\n[ \n]*', '\n', 'g'), ' \n')"
     for variant, one in SPELLINGS:
         text = rf"regexp_replace({text}, '\b(?:{variant})\b', '{one}', 'g')"
-    text = f"trim(regexp_replace({text}, ' *\n[ \n]*', '\n', 'g'), ' \n')"
     return f"""
 WITH known(license_id, text) AS (VALUES {quoted}),
 k AS (SELECT sha256(replace({text}, '\n', ' ')) AS digest, min(license_id) AS license_id FROM known GROUP BY 1),

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -12,18 +13,25 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.llm import common, exact_dedup, fuse, licences, media, mixing, packing, quality, repair, simhash, token_files, tokens, toxicity, warc
+from quillmesh.llm import common, exact_dedup, fuse, labelled, licences, media, mixing, packing, quality, repair, simhash, token_files, tokens, toxicity, warc
 from quillmesh.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "Hello  wörld\n"), (5, "Hello wörld"), (5, "Hello wörld"), (None, "a b c"), (7, "x " * 5000), (8, "日本語 テキスト 'quote' 12,34 <|endoftext|>")]
 
+CLASHING = ["_id", "_sha", "_skey", "_copies", "_threshold", "_times", "_copy", "_fp", "_root", "_hot", "_cold", "_own", "_sniffed", "size", "n", "row", "key", "lines", "checked", "rows", "media", "logit", "bucket"]
+
+
+def whole(rows):
+    """Every clashing column still has the user's value."""
+    return all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, a null id, and columns whose names the operators use inside."""
     rows = [(i, t, None if i == 2 else "s", "en", k, "z") for k, (i, t) in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, label int, sha string")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, label int, sha string").withColumns({c: F.lit(f"own {c}") for c in CLASHING})
 
 
 # ---- 1 ----------------------------------------------------------------------------------------------------------------
@@ -85,7 +93,7 @@ def test_fuse_filter(n):
 def test_exact_duplicates(spark, odd):
     rng = random.Random(1)
     more = [(100 + i, rng.choice(["aa b", "a ab", "c", "aab ", "d\te", " de"])) for i in range(60)]
-    docs = odd.select("doc_id", "text", "sha").unionByName(spark.createDataFrame([(i, t, "q") for i, t in more], "doc_id long, text string, sha string"))
+    docs = odd.unionByName(spark.createDataFrame([(i, t, "q") for i, t in more], "doc_id long, text string, sha string").withColumns({c: F.lit(f"own {c}") for c in CLASHING}), allowMissingColumns=True)
     groups = defaultdict(list)
     for i, t in [*ODD, *more]:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), 1 << 62 if i is None else i))
@@ -97,7 +105,7 @@ def test_exact_duplicates(spark, odd):
         best = min(rows)[1]
         assert (r.group_size, r.keep_id) == (len(rows), None if best == 1 << 62 else best)
     kept = exact_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert kept.columns == docs.columns and kept.count() == len(groups) and whole(kept.collect())
     assert exact_dedup.keep_one(docs.limit(0)).count() == 0
 
 
@@ -144,9 +152,22 @@ def test_mixing(spark, odd):
     assert sorted(map(str, again)) == sorted(map(str, got))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+    again = mixing.mix(odd)
+    assert again.columns == odd.columns and whole(again.collect())
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_takes_no_document_too_often(spark):
+    """A capped source whose first documents have no words: three copies of each, never four."""
+    rows = [(i, "" if i < 40 else "w w", "small") for i in range(60)] + [(100 + i, "w " * 50, "zlarge") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        times[r.doc_id] += 1
+    assert {times[i] for i in range(60)} == {3} and max(times.values()) <= 3
+    assert {r.copies for r in mixing.plan(docs).where("doc_id < 100").collect()} == {3}
+
+
 # ---- 4 ----------------------------------------------------------------------------------------------------------------
 
 TRICKY = ["", " ", "  ", "a  b", "foo\n  bar", " lead", "trail ", "\n", "x   y\t z", "<|endoftext|> a <|startoftext|>b", "it's 'll don't,'x", "a\n\nb c\n\n\nd e.\nF", "a1b, 12,34", "\x1c a\x1cb", "ΑΣ é É ß.", "é ́x", None, "word, " * 300, "a \x01 b\x01 c", "<|ENDOFTEXT|> K Å", "x\x85y z\x85 w", "end.,! end... ß? 1. a| x%%%"]
@@ -248,6 +269,50 @@ def test_classifier_edges(spark, odd, module, label):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_toxicity_scores_by_brute_force(spark, sf):
+    """Scores against a forward pass of one document at a time, window by window, in plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = labelled.usable_labels(labels, "toxic", ~toxicity.held_out())
+    net, trained, _ = toxicity.train(docs, known)
+    assert known.where(trained).where(toxicity.held_out() | labelled.checked()).isEmpty()
+    sample = [*docs.limit(40).collect(), *spark.createDataFrame([(None, "", None), (None, "one", None), (None, "a b", None)], "doc_id long, text string, lang string").collect()]
+    got = toxicity.logits(spark.createDataFrame([(i, r.text) for i, r in enumerate(sample)], "doc_id long, text string"), net).collect()
+    for r in got:
+        rows, _ = toxicity.word_rows(pa.array([sample[r.doc_id].text]))
+        x = [np.concatenate([net.table[0][a], net.table[1][b]]).astype(float) for a, b in rows]
+        hidden = []
+        for k in toxicity.WIDTHS:
+            best = np.zeros(toxicity.FILTERS)
+            if x:
+                best = np.max([sum(x[i + j] @ net.kernels[k][j] for j in range(k) if i + j < len(x)) for i in range(len(x))], axis=0)
+            hidden += list(np.maximum(best + net.biases[k], 0))
+        assert r.logit == pytest.approx(float(np.dot(hidden, net.out[:-1]) + net.out[-1]), abs=1e-3)
+
+
+def test_quality_scores_by_brute_force(spark, sf):
+    """Scores against features counted word by word and byte by byte, and a plain sum."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels, ~quality.held_out())
+    texts = {i: r.text for i, r in enumerate(docs.limit(40).collect())} | {900: "", 901: None, 902: "One", 903: "a\na\nb | b B!"}
+    got = quality.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()
+    for r in got:
+        t = texts[r.doc_id] or ""
+        raw, words, x = t.encode(), t.split(), [0.0] * quality.WIDTH
+        if raw:
+            n, count = len(raw), max(1, len(words))
+            letters = max(1, len(re.findall("[A-Za-z]", t)))
+            lines = t.split("\n")
+            rate = lambda chars, of: math.sqrt(sum(t.count(c) for c in chars) / of)
+            x[:10] = [rate("|", count), rate("!", count), rate("#$%&*@^~+=<>\\_{}[]", count), math.sqrt(len(re.findall("[A-Z]", t)) / letters), math.sqrt(len(re.findall("[0-9]", t)) / n), math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / count), math.sqrt(1 - len(set(lines)) / len(lines)), rate(".,", count), min(4.0, n / count / 8), math.log1p(len(words)) / 8]
+            for w in words:
+                x[10 + zlib.crc32(w.lower().encode()) % quality.WORDS] += 1 / count
+            for a, b, c in zip(raw, raw[1:], raw[2:]):
+                x[10 + quality.WORDS + ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % (1 << 32) >> 24)] += 1 / (n - 2)
+            x[10:] = [math.sqrt(v) for v in x[10:]]
+        strength = sum(min(8, max(-8, (v - m) / s)) * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(strength - model.threshold + math.log(0.3 / 0.7)))), abs=1e-4)
+
+
 # ---- 6 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -319,6 +384,29 @@ def test_near_duplicates(spark, odd, sf):
     for own in groups.values():
         assert {r.component_id for r in own} == {min((r.doc_id for r in own if r.doc_id is not None), default=None)}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and whole(kept.collect())
+    assert {r.doc_id for r in kept.collect()} == {1, 4, None, 7, 8}
+    nameless = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (None, "f g h i j k"), (5, "f g h i j k"), (6, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(nameless).collect()) == [("5", "f g h i j k"), ("6", None), ("None", "a b c d e")]
+
+
+def test_join_groups_splits_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)], "row long, key string")
+    groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("first")).where("size > 1 or key < 'k2'")
+    got = common.join_groups(rows, groups, "key", "size", ["row"], most=10).collect()
+    want = {r.key: r for r in groups.collect()}
+    assert len(got) == 3000 and all((r.size, r.first) == ((want[r.key].size, want[r.key].first) if r.key in want else (None, None)) for r in got)
+
+
+def test_filters_are_kept_for_the_next_batch(spark, tmp_path):
+    snapshot, batch = (spark.createDataFrame([(i, f"text {i % n}") for i in range(a, a + 40)], "doc_id long, text string") for a, n in ((0, 30), (100, 50)))
+    digests = snapshot.select(F.sha2(exact_dedup.normal().cast("binary"), 256).alias("sha")).distinct()
+    exact_dedup.build_filters(digests, f"file://{tmp_path}/filters")
+    kept = exact_dedup.open_filters(spark, f"file://{tmp_path}/filters")
+    assert sorted(map(str, exact_dedup.duplicates(snapshot, batch, kept).collect())) == sorted(map(str, exact_dedup.duplicates(snapshot, batch).collect()))
+    with pytest.raises(ValueError, match="the filters hold"):
+        exact_dedup.duplicates(batch, snapshot, kept)
 
 
 @pytest.mark.parametrize("most", [4096, 16])
@@ -388,11 +476,16 @@ def test_plan_balances_cost():
 
 
 def test_licences(spark, odd):
-    mit, isc = licences.KNOWN[0][1], licences.KNOWN[1][1]
-    rows = [(1, "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper()), (2, isc.replace(",", " ;")), (3, mit[:-9]), (4, "Prose here.\nReleased under the MIT Licence!\nMore."), (5, None), (6, ""), (7, mit), (7, mit)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x"))
+    texts = dict(licences.known_texts()[: len(licences.known_texts()) - len(licences.NOTICES)])
+    plain = {i: t for i, t in reversed(licences.known_texts()) if (i, t) not in licences.NOTICES}
+    assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-3-Clause", "CC0-1.0", "Unlicense"} <= set(texts)
+    mit, isc = plain["MIT"], plain["ISC"]
+    rows = [(1, "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + mit.upper()), (2, isc.replace(",", " ;")), (3, mit[:-9]), (4, "Prose here.\nReleased under the MIT Licence!\nMore."), (5, None), (6, ""), (7, mit), (7, mit), (8, "MIT License\n\nCopyright Jane Q. Doe\n\n" + mit), (9, plain["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 The Authors").replace("License", "Licence"))]
+    rows += [(100 + k, re.sub(r"[ \t]+", " \t", t).replace("\n", "\r\n").upper()) for k, t in enumerate(plain.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).withColumn("lines", F.lit(1))
     got = sorted(licences.scan(docs, licences.known_licences(spark)).collect(), key=lambda r: r.doc_id)
-    assert [r.license_id for r in got] == ["MIT", "ISC", None, None, None, None, "MIT", "MIT"]
+    assert [r.license_id for r in got[:10]] == ["MIT", "ISC", None, None, None, None, "MIT", "MIT", "MIT", "Apache-2.0"]
+    assert [r.license_id for r in got[10:]] == list(plain)
     assert got[3].notices == "MIT" and got[2].notices is None or got[2].notices == ""
     assert got[0].text_digest == got[6].text_digest and got[4].text_digest == got[5].text_digest
     assert licences.scan(docs.limit(0), licences.known_licences(spark)).count() == 0
