@@ -76,7 +76,41 @@ def map_texts(df: DataFrame, run, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) > 8 << 20:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return df.mapInArrow(run, schema)
+    owner = uuid.uuid4().hex
+
+    def bounded(batches):
+        claim(owner)
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(bounded, schema)
+
+
+#: What this worker process keeps between tasks, and the call of map_texts whose tasks have put it here.
+KEPT: dict = {}
+_OWNER: list[str] = []
+
+
+def claim(owner: str) -> None:
+    """Workers are used again, by later stages too: drops what another stage's tasks have kept."""
+    if _OWNER != [owner]:
+        KEPT.clear()
+        _OWNER[:] = [owner]
+        trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system, where the C library can: a worker may idle long between stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
 
 
 def _bytes(size: str) -> int:

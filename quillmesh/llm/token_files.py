@@ -15,7 +15,7 @@ from quillmesh.llm import common, repair, tokens
 _FILES = "part long, shard long, n_docs long, n_tokens long, n_bytes long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000, known_words: int = 250_000) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 2_000_000, known_words: int = 160_000) -> DataFrame:
     """Writes grammar shards of docs(doc_id, text) below folder; returns one row a file: part, shard, n_docs, n_tokens, n_bytes.
 
     Null texts are empty and give the end id alone; null ids come first; repeated rows are written each; other columns

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillmesh.llm import common
+
 #: The rules of the two kinds of files, as they stand in them.
 _MARKED = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _FOLDING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -51,11 +53,11 @@ def kind(rules: dict) -> str:
 class WordMemo:
     """ids(texts) gives what Tokenizer.encode(text, add_special_tokens=False) gives for each text.
 
-    path: a tokenizers JSON file with at most 65,536 ids. most: words kept, none above _LONGEST characters, so some 60 MB in
+    path: a tokenizers JSON file with at most 65,536 ids. most: words kept, none above _LONGEST characters, so some 40 MB in
     all at the most; half of the places are for words that occur twice in one call of ids(). Others are encoded each time.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 160_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,7 +66,8 @@ class WordMemo:
         self.tok, self.most = Tokenizer.from_file(path), most
         if self.tok.get_vocab_size() > 65536:
             raise ValueError("a vocabulary of at most 65,536 ids is supported")
-        rules = json.loads(self.tok.to_str())
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
         self.kind = kind(rules)
         if self.kind == "marked":
             self.opens = np.zeros(1 << 16, bool)
@@ -221,15 +224,11 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-_MEMOS: dict[tuple[str, int], WordMemo] = {}
-
-
-def memo(path: str, most: int = 250_000) -> WordMemo:
-    """One memo for each worker process, file and size; workers are used again, and so is what they have met."""
-    if (path, most) not in _MEMOS:
-        _MEMOS.clear()  # a worker serves one file at a time
-        _MEMOS[path, most] = WordMemo(path, most)
-    return _MEMOS[path, most]
+def memo(path: str, most: int = 160_000) -> WordMemo:
+    """One memo for each worker process while it serves tasks of one stage, and so what they have met."""
+    if ("memo", path, most) not in common.KEPT:
+        common.KEPT["memo", path, most] = WordMemo(path, most)
+    return common.KEPT["memo", path, most]
 
 
 def installed(name: str) -> str:

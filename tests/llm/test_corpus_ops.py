@@ -175,7 +175,7 @@ BITS = [" ", " ", "  ", "\n", "a", "B", "é", "'s", "'", "1", ".", "!!", "|", "<
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-@pytest.mark.parametrize("most", [250_000, 40])
+@pytest.mark.parametrize("most", [160_000, 40])
 def test_word_memo_is_exact(name, most):
     memo = tokens.WordMemo(tokens.installed(name), most)
     assert memo.kind in ("marked", "dropped")
