@@ -152,3 +152,15 @@ def static_quality(rules: DataFrame) -> DataFrame:
     shortest = F.array_min(F.transform(needles, F.length))
     risk = F.when((shortest < 4) | (ors > 5), "high").when((shortest < 6) | (ors > 2), "medium").otherwise("low")
     return rules.select("rule_id", F.size(needles).alias("literals"), ors.alias("alternatives"), shortest.alias("shortest"), risk.alias("fp_risk"))
+
+
+#: The profiles that take in rules of a tier.
+PROFILES_OF = {"safe_auto": ("Conservative", "Balanced", "Aggressive"), "review_only": ("Balanced", "Aggressive"), "feature_only": ("Aggressive",)}
+
+
+def profiles_of(tier: Column) -> Column:
+    """The names of the profiles that use a rule of this tier; none for other tiers."""
+    out = F.array().cast("array<string>")
+    for name, profiles in PROFILES_OF.items():
+        out = F.when(tier == name, F.array(*[F.lit(p) for p in profiles])).otherwise(out)
+    return out

@@ -57,17 +57,13 @@ def signals(spam: DataFrame) -> DataFrame:
 def signature_clusters(spam: DataFrame, least: int = 5, examples: int = 5) -> DataFrame:
     """Messages with one signature, from `least` on: signature, cnt and the texts (of 200 characters) of the first ids.
 
-    Examples come from a bounded top-k of each group, not from the whole group.
+    One scan: each row has its place among those of its signature, of which Spark keeps the first few a task before it
+    shuffles; sizes are counted on the map side. No group is gathered.
     """
     rows = spam.select("id", F.substring("text", 1, 200).alias("example"), tx.signature(F.col("text")).alias("signature"))
     counts = rows.groupBy("signature").agg(F.count("*").alias("cnt"), F.min("id").alias("first_id")).where(F.col("cnt") >= least)
-    firsts = rows.join(counts.select("signature"), "signature").groupBy("signature").agg(first_k("example", "id", examples).alias("examples"))
-    return counts.join(firsts, "signature")
-
-
-def first_k(value: str, order: str, k: int) -> Column:
-    """The k values of least order in a group of any size: a running aggregate that never holds more than k + 1."""
-    return F.expr(f"slice(array_sort(collect_list(struct({order}, {value}))), 1, {k}).{value}")
+    firsts = examples_of(rows, "signature", "id", examples).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("place", "example"))).alias("e"))
+    return counts.join(firsts.select("signature", F.col("e.example").alias("examples")), "signature")
 
 
 def suspicious(counts: DataFrame, total_spam: Column, threshold: float, minimum: int = 1) -> DataFrame:

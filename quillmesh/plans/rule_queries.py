@@ -56,34 +56,6 @@ def rule_flat_or_replay(spark, sf_dir):
     return rl.flat_or(messages(spark, sf_dir), needles)
 
 
-_SHORT = "length(text) < 15"
-
-
-@query(f"""WITH {MESSAGES} SELECT id, floor((length(text) - length(replace(text, 'http', ''))) / 4) >= 2 AS urls, regexp_matches(text, '\\b\\d{{3}}[-.\\s]?\\d{{3}}[-.\\s]?\\d{{4}}\\b') OR (contains(text, '+') AND regexp_matches(text, '\\+\\d{{1,3}}')) AS phone,
-contains(lower(text), 'buy') OR contains(lower(text), 'sell') AS trade, contains(lower(text), 'job') OR contains(lower(text), 'hiring') AS job, contains(lower(text), 'discount') OR contains(lower(text), 'promotion') OR contains(lower(text), 'sale') AS promotion, {_SHORT} AND contains(lower(text), 'write') AS short_text FROM messages""")
-def blocking_rules(spark, sf_dir):
-    """The blocking set, each part a column, over all messages."""
-    parts = {
-        "urls": "(length(text) - length(replace(text, 'http', ''))) DIV 4 >= 2", "phone": rf"{rl.matches(r'\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b', True)} OR (contains(text, '+') AND {rl.matches(r'\+\d{1,3}', True)})",
-        "trade": rl.any_keyword(["buy", "sell"]), "job": rl.any_keyword(["job", "hiring"]), "promotion": rl.any_keyword(["discount", "promotion", "sale"]), "short_text": f"length(text) < 15 AND {rl.contains('write')}",
-    }
-    return messages(spark, sf_dir).select("id", *[F.expr(p).alias(k) for k, p in parts.items()])
-
-
-_WEIGHTED = """CASE WHEN (contains(n, 'buy') OR contains(n, 'sell')) AND length(text) < 100 AND NOT contains(n, 'lunch') THEN 0.25 ELSE 0 END
-+ CASE WHEN contains(n, 'job') AND length(n) < 50 THEN 0.25 WHEN contains(n, 'hiring') AND length(n) < 50 THEN 0.3 ELSE 0 END
-+ CASE WHEN (length(n) - length(replace(n, 'http', ''))) / 4 >= 3 THEN 0.5 WHEN contains(n, 'http://') OR contains(n, 'https://') OR contains(n, 'www.') OR contains(n, 't.me/') THEN 0.2 WHEN contains(n, 't.me') THEN 0.3 ELSE 0 END
-+ CASE WHEN contains(n, 'discount') AND length(n) < 60 THEN 0.25 ELSE 0 END
-+ CASE WHEN unbanned THEN 0.15 ELSE 0 END + CASE WHEN tas_action = 'blocked' THEN 0.10 ELSE 0 END + CASE WHEN length(text) > 300 THEN -0.10 ELSE 0 END"""
-
-
-@query(f"WITH {MESSAGES}, pre AS (SELECT *, lower(replace(text, 'ё', 'е')) AS n FROM messages), s AS (SELECT id, round(({_WEIGHTED})::DOUBLE, 6) AS spam_score, length(n) AS size FROM pre) SELECT id, spam_score FROM s WHERE size >= 30 AND size < 800 AND spam_score > 0.05")
-def weighted_sql_score(spark, sf_dir):
-    n = F.lower(F.replace(F.col("text"), F.lit("ё"), F.lit("е")))
-    s = messages(spark, sf_dir).withColumn("n", n).select("id", F.round(F.expr(_WEIGHTED).cast("double"), 6).alias("spam_score"), F.length("n").alias("size"))
-    return s.where("size >= 30 and size < 800 and spam_score > 0.05").select("id", "spam_score")
-
-
 @query(f"WITH {RULE_CTES}, {EVALUATIONS} SELECT rule_id, created_at, hits_total, spam_hits, ham_hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coverage, 6) AS coverage FROM evaluations")
 def rule_daily_evaluations(spark, sf_dir):
     return evaluations(messages(spark, sf_dir)).select("rule_id", "created_at", "hits_total", "spam_hits", "ham_hits", r6("precision"), r6("recall"), r6("coverage"))

@@ -146,6 +146,19 @@ def recent(rows: DataFrame, as_of, days: int, limit: int | None = None, is_spam:
     return out if limit is None else out.limit(limit)
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """The row of the greatest id."""
+    return rows.orderBy(F.desc("id")).limit(1)
+
+
+def by_id(rows: DataFrame, id_: int) -> DataFrame:
+    return rows.where(F.col("id") == id_)
+
+
+def by_external_id(rows: DataFrame, external_id: str) -> DataFrame:
+    return rows.where(F.col("external_id") == external_id)
+
+
 def new_rows(batch: DataFrame, stored: DataFrame, key: str = "external_id") -> DataFrame:
     """The rows of a batch that the stored table lacks, one for each key (rows without a key all)."""
     keyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).join(stored.select(key), key, "left_anti")

@@ -38,15 +38,19 @@ def test_many_rules_agree(spark):
         ("SELECT id, is_spam FROM messages WHERE lower(text) LIKE '%call; drop%'", True), ("SELECT id FROM messages WHERE text RLIKE 'update'", True), ("WITH m AS (SELECT id, text FROM messages) SELECT id FROM m WHERE text LIKE '%a%'", True),
         ("SELECT id FROM messages", False), ("SELECT id FROM messages WHERE text LIKE '%a%' OR 1=1", False), ("DELETE FROM messages WHERE id = 1", False), ("SELECT id FROM users WHERE text LIKE '%a%'", False),
         ("SELECT id FROM messages WHERE secret LIKE '%a%'", False), ("SELECT id FROM messages WHERE id IN (SELECT id FROM messages)", False), ("SELECT id FROM messages WHERE text LIKE '%a%' UNION SELECT id FROM messages", False), ("SELECT * FRO", False),
+        ("SELECT id, 'Filter' AS is_spam FROM messages WHERE 1=1", False), ("SELECT id, is_spam FROM messages WHERE text LIKE '%%'", False), ("SELECT id FROM messages WHERE text IS NOT NULL", False), ("SELECT id FROM messages WHERE length(text) >= 0", False),
+        ("SELECT id FROM messages WHERE text = 'deleted from posts where'", True), ("SELECT id FROM messages WHERE EXISTS (SELECT 1 FROM messages)", False), ("SELECT m.id FROM messages m JOIN messages n ON m.id = n.id WHERE m.text LIKE '%a%'", False), ("WITH m AS (SELECT id, text FROM secrets) SELECT id FROM m WHERE text LIKE '%a%'", False),
     ],
 )
 def test_validation(spark, sql, ok):
     assert (rl.problem(spark, sql) is None) == ok
 
 
-def test_retarget():
-    assert rl.retarget("SELECT id WHERE text LIKE '%a%';") == "SELECT id FROM messages WHERE text LIKE '%a%'"
-    assert rl.retarget("SELECT id FROM posts WHERE x") == "SELECT id FROM messages WHERE x"
+def test_retarget(spark):
+    assert rl.retarget(spark, "SELECT id WHERE text LIKE '%a%';") == "SELECT id FROM messages WHERE text LIKE '%a%'"
+    assert rl.retarget(spark, "SELECT id FROM posts WHERE x") == "SELECT id FROM messages WHERE x"
+    assert rl.retarget(spark, "SELECT id FROM a.posts p WHERE text LIKE '%it''s from here where%'") == "SELECT id FROM messages p WHERE text LIKE '%it''s from here where%'"
+    assert rl.retarget(spark, "SELECT id, 'from x' AS y WHERE text = 'where'") == "SELECT id, 'from x' AS y FROM messages WHERE text = 'where'"
 
 
 def test_compile(spark):
