@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def has_literal(sql: Column) -> Column:
+    """Whether a rule's SQL looks for anything: a quoted literal of more than wildcards."""
+    return F.exists(F.regexp_extract_all(sql, F.lit("'([^']*)'"), F.lit(1)), lambda x: F.translate(x, "%_ ", "") != "")
+
+
 def sql_script(rules: DataFrame) -> DataFrame:
     """One row a rule, in order: its statement with a comment; rules with no literal part are commented out."""
-    body = F.concat(F.col("sql_expression"), F.lit(";"))
+    own = F.concat(F.col("sql_expression"), F.lit(";"))
+    body = F.when(has_literal(F.col("sql_expression")), own).otherwise(F.concat(F.lit("-- "), F.replace(own, F.lit("\n"), F.lit("\n-- "))))
     text = F.concat(F.lit("-- Rule "), F.col("rule_id").cast("string"), F.lit(" ("), F.col("status"), F.lit(")\n"), body)
     return rules.select("rule_id", text.alias("statement"))
 
@@ -36,10 +42,18 @@ def training_rows(patterns: DataFrame, rules: DataFrame, evaluations: DataFrame)
 
 
 def write_package(rules: DataFrame, folder: str) -> None:
-    """A deployment package: the statements as text files by Spark, entries as JSON lines, and a rollback list."""
-    sql_script(rules).orderBy("rule_id").select(F.col("statement").alias("value")).write.mode("overwrite").text(f"{folder}/rules_sql")
-    ruleset(rules).select("entry").write.mode("overwrite").text(f"{folder}/ruleset")
-    rules.select(F.concat(F.lit("-- disable rule "), F.col("rule_id").cast("string")).alias("value")).write.mode("overwrite").text(f"{folder}/rollback")
+    """A deployment package as text files by Spark: statements of safe rules, statements of those that look for nothing apart
+    and commented out, entries as JSON lines, statements that take the rules back, and one line of metadata (rules by status).
+    """
+    put = lambda rows, name: rows.write.mode("overwrite").text(f"{folder}/{name}")
+    safe = has_literal(F.col("sql_expression"))
+    for name, own in (("rules_sql", rules.where(safe)), ("unsafe_sql", rules.where(~F.coalesce(safe, F.lit(False))))):
+        put(sql_script(own).orderBy("rule_id").select(F.col("statement").alias("value")), name)
+    put(ruleset(rules).select("entry"), "ruleset")
+    put(rules.select(F.format_string("UPDATE rules SET status = 'deprecated' WHERE rule_id = %d;", "rule_id").alias("value")), "rollback")
+    counts = rules.groupBy("status").agg(F.count("*").alias("n"))
+    by_status = F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n"))))
+    put(counts.agg(F.to_json(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("rules"), by_status.alias("by_status"))).alias("value")), "metadata")
 
 
 def report(counts: dict) -> str:

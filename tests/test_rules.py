@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.operators import evaluation as ev
-from quillmesh.operators import lifecycle, quality, signals, similarity
+from quillmesh.operators import exports, lifecycle, quality, signals, similarity
 from quillmesh.operators import rules as rl
 
 
@@ -154,3 +154,20 @@ def test_components_of_a_zigzag_path(spark):
 def test_dbscan(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (8, 9)], "a long, b long")
     assert {(r.id, r.cluster, r.core) for r in similarity.dbscan(pairs, spark.range(10)).collect()} == {(1, 1, True), (2, 1, True), (3, 1, True), (4, 1, False)}
+
+
+def test_package(spark, tmp_path):
+    import json
+
+    rows = [(1, "active", "SELECT id FROM messages WHERE text LIKE '%free%'"), (2, "shadow", "SELECT id FROM messages\nWHERE text LIKE '%%' OR id > 0")]
+    rules = rl_table(spark, rows)
+    exports.write_package(rules, f"file://{tmp_path}/p")
+    text = lambda name: "\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/p/{name}").collect())
+    assert "WHERE text LIKE '%free%';" in text("rules_sql") and "LIKE '%%'" not in text("rules_sql")
+    assert all(x.startswith("--") for x in text("unsafe_sql").split("\n")) and "LIKE '%%'" in text("unsafe_sql")
+    assert json.loads(text("metadata")) == {"rules": 2, "by_status": {"active": 1, "shadow": 1}}
+    assert sorted(text("rollback").split("\n"))[0] == "UPDATE rules SET status = 'deprecated' WHERE rule_id = 1;"
+
+
+def rl_table(spark, rows):
+    return spark.createDataFrame([(*r, 10, "manual", "2024-01-01", 0.9, 0.5, 0.1) for r in rows], "rule_id long, status string, sql_expression string, pattern_id long, origin string, created_at string, precision double, recall double, coverage double")
