@@ -45,15 +45,40 @@ def index_percentiles(rows: DataFrame, group: Sequence[str], value: str, order:
     return ranked.groupBy(*group).agg(*[at(q).alias(f"p{round(q * 100)}") for q in points], F.avg(value).alias("mean"), F.max(value).alias("max"), F.count("*").alias("n"))
 
 
+def _around(rows: DataFrame, group: Sequence[str], value: str, q: float, accuracy: int = 20_000) -> DataFrame:
+    """Runs of equal values around the quantile q of each group: (group, _n, _v, _after, _upto), for the values that hold the
+    places from _after + 1 to _upto of the _n sorted ones. Values must not be null.
+
+    Spark's percentile sketch is off by at most n / accuracy places, so the quantile lies between the sketch's values a little
+    below and above q; only distinct values between them are ranked by a window, and what lies below is counted. Groups of
+    fewer than ten times accuracy rows are ranked whole.
+    """
+    at = lambda p: F.percentile_approx(value, F.lit(min(max(p, 0.0), 1.0)), F.lit(accuracy))
+    small = F.count("*") < 10 * accuracy
+    ends = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.when(small, F.min(value)).otherwise(at(q - 2 / accuracy)).alias("_lo"), F.when(small, F.max(value)).otherwise(at(q + 2 / accuracy)).alias("_hi"))
+    near = rows.select(*group, F.col(value).alias("_v"))
+    if group:
+        ends = ends.withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(group)})
+        same = F.lit(True)
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        near = near.join(ends, same)
+    else:
+        near = near.crossJoin(F.broadcast(ends))  # one row
+    runs = near.where("_v <= _hi").groupBy(*group, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v")))
+    return runs.select(*group, "_n", "_v", (upto - F.col("_c")).alias("_after"), upto.alias("_upto"))
+
+
 def exclusive_quantile(rows: DataFrame, group: Sequence[str], value: str, q: float, name: str) -> DataFrame:
-    """The quantile at place (n + 1) q of the sorted values, between neighbours, within the ends."""
-    w = Window.partitionBy(*group)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    """The quantile at place (n + 1) q of the sorted values, between neighbours, within the ends; nulls don't count, and groups
+    of one value have none."""
+    runs = _around(rows.where(F.col(value).isNotNull()), group, value, q)
     place = (F.col("_n") + 1) * F.lit(q)
     low = F.least(F.greatest(F.floor(place), F.lit(1)), F.col("_n") - 1)
-    ranked = ranked.withColumn("_low", low).withColumn("_part", place - low)
-    at = lambda k: F.max(F.when(F.col("_r") == k, F.col(value)))
-    out = ranked.where("_n > 1").groupBy(*group).agg(at(F.col("_low")).alias("_a"), at(F.col("_low") + 1).alias("_b"), F.max("_part").alias("_p"))
+    runs = runs.withColumn("_low", low).withColumn("_part", place - low)
+    at = lambda k: F.max(F.when((F.col("_after") < k) & (k <= F.col("_upto")), F.col("_v")))
+    out = runs.where("_n > 1").groupBy(*group).agg(at(F.col("_low")).alias("_a"), at(F.col("_low") + 1).alias("_b"), F.max("_part").alias("_p"))
     return out.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_p")).alias(name))
 
 
@@ -70,22 +95,23 @@ def scenario(rows: DataFrame, n: int, spam_share: float) -> DataFrame:
 
 
 def chronological(rows: DataFrame, order: Sequence[str], parts: Sequence[tuple[str, float]] = (("train", 0.6), ("validation", 0.2), ("test", 0.2))) -> DataFrame:
-    """Rows with their split by time. The cuts are exact values of the order column at its shares, found by percentile_disc
-    on its values alone, so no global window gathers all rows in one task."""
+    """Rows with their split by time. The cuts are exact values of the order column at its shares; see _around for how they are
+    found without all values in one task. A null time is in the last part."""
     first = order[0]
     kind = dict(rows.dtypes)[first]
     key = f"unix_micros(cast({first} as timestamp))" if kind.startswith("timestamp") else first
-    done, cuts = 0.0, []
-    for _, share in parts[:-1]:
+    done, out = 0.0, rows
+    keys = rows.select(F.expr(key).alias("_k")).where("_k is not null")
+    for i, (_, share) in enumerate(parts[:-1]):
         done += share
-        cuts.append(done)
-    bounds = rows.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {key})").alias(f"_c{i}") for i, q in enumerate(cuts)])
-    out = rows.crossJoin(F.broadcast(bounds))  # the bounds are one row
+        place = F.greatest(F.ceil(F.col("_n") * F.lit(done) - 1e-9), F.lit(1))
+        cut = _around(keys, (), "_k", done).agg(F.max(F.when((F.col("_after") < place) & (place <= F.col("_upto")), F.col("_v"))).alias(f"_c{i}"))
+        out = out.crossJoin(F.broadcast(cut))  # one row
     split = None
     for i, (name, _) in enumerate(parts[:-1]):
         test = F.expr(key) <= F.col(f"_c{i}")
         split = F.when(test, name) if split is None else split.when(test, name)
-    return out.withColumn("split", split.otherwise(parts[-1][0])).drop(*[f"_c{i}" for i in range(len(cuts))])
+    return out.withColumn("split", split.otherwise(parts[-1][0])).drop(*[f"_c{i}" for i in range(len(parts) - 1)])
 
 
 def harness(per_rule: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
@@ -44,9 +46,18 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
     return pairs.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its plan: a checkpoint where the session has a folder for them, else a local one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its plan by a checkpoint in the folder of spark.checkpoint.dir, which all executors share.
+
+    Only a local master may leave the setting out (as tests do); a folder is then made for the session.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if place is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="quillmesh-"))
+    return df.checkpoint()
 
 
 def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int = 1 << 18) -> DataFrame:
@@ -58,12 +69,12 @@ def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int =
     time that they have doubled, the open components of at most `walk_pairs` pairs are walked in a task each; rounds go on for
     larger ones until no id is open.
     """
-    settled = [_kept(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))]
+    settled = [kept(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))]
     open_ = _marked(pairs.select("a", "b", F.lit(None).cast("boolean").alias("led")), settled[0])
     n = 0
     while True:
         by = open_.groupBy("b").agg(F.min(F.when(F.col("led"), F.col("a"))).alias("follows"), F.min(F.when(F.col("led").isNull(), F.col("a"))).alias("blocked"))
-        done = _kept(by.where("blocked is null or follows < blocked").select(F.col("b").alias("id"), F.coalesce("follows", "b").alias("leader")))
+        done = kept(by.where("blocked is null or follows < blocked").select(F.col("b").alias("id"), F.coalesce("follows", "b").alias("leader")))
         if done.isEmpty():
             break
         settled.append(done)
@@ -71,11 +82,11 @@ def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int =
         n += 1
         if n == rounds:
             rounds *= 2
-            done = _kept(_walked(open_, walk_pairs))
+            done = kept(_walked(open_, walk_pairs))
             settled.append(done)
             open_ = _marked(open_, done)
         if len(settled) > 16:
-            settled = [_kept(reduce(DataFrame.unionByName, settled))]
+            settled = [kept(reduce(DataFrame.unionByName, settled))]
     if not open_.isEmpty():
         raise ValueError("pairs must be of ids, the smaller first")
     return reduce(DataFrame.unionByName, settled)
@@ -85,7 +96,7 @@ def _marked(open_: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs whose larger id is still open; led says whether the smaller one leads, null while that is open too."""
     rest = open_.join(done.select(F.col("id").alias("b")), "b", "left_anti")
     marks = done.select(F.col("id").alias("a"), (F.col("leader") == F.col("id")).alias("now"))
-    return _kept(rest.join(marks, "a", "left").select("a", "b", F.coalesce("led", "now").alias("led")))
+    return kept(rest.join(marks, "a", "left").select("a", "b", F.coalesce("led", "now").alias("led")))
 
 
 def _walked(open_: DataFrame, most: int) -> DataFrame:
@@ -106,12 +117,15 @@ def _walked(open_: DataFrame, most: int) -> DataFrame:
     return rooted.join(small, "root", "left_semi").groupBy("root").applyInPandas(walk, "id long, leader long")
 
 
-def cosine_pairs(vectors: DataFrame, least: float, blocks: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, cosine) of pairs at or above `least`, a < b. Exact: vectors are dealt into blocks, and each pair of blocks is
-    compared as two matrices, so rows move to `blocks` tasks and no pair below the limit leaves one."""
+def cosine_pairs(vectors: DataFrame, least: float, block_rows: int = 10_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, cosine) of pairs at or above `least`, a < b. Exact: vectors are dealt by a hash of their ids into blocks of some
+    `block_rows` rows, however many those are, and each pair of blocks is compared as two matrices, so a task holds two blocks
+    and no pair below the limit leaves one. All pairs are compared: the work is quadratic in the vectors, its memory is not."""
     import numpy as np
     import pandas as pd
 
+    blocks = max(4, -(-vectors.count() // block_rows))
+
     part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     mine = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), part.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = mine.select("id", "v", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -144,7 +158,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         least = state.join(near, "id", "left").groupBy("root").agg(F.least("root", F.min(F.coalesce("m", "root"))).alias("up"))
         jump = least.join(least.select(F.col("root").alias("up"), F.col("up").alias("top")), "up").select("root", "top")
         next_ = state.join(jump, "root").select("id", F.col("top").alias("root"), F.col("root").alias("was"))
-        next_ = _kept(next_)
+        next_ = kept(next_)
         if next_.where("root <> was").isEmpty():
             return next_.select("id", "root")
         state = next_.select("id", "root")
@@ -175,8 +189,9 @@ def cluster_quality(clusters: DataFrame, vectors: DataFrame, key: str = "vec_id"
 
 
 def centroid_clusters(vectors: DataFrame, block: Column, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(block, id, cluster): in each block, in the order of ids, a vector joins the first running mean it is close to, else it
-    starts one. The order makes this sequential: blocks are its unit of work, to be kept small by their choice."""
+    """(block, id, cluster): in each block, in the order of ids, a vector joins the running mean it is closest to, if that is
+    close enough, else it starts one. The order makes this sequential: blocks are its unit of work, to be kept small by their
+    choice, and like vectors of two blocks never join."""
     import numpy as np
     import pandas as pd
 
@@ -186,24 +201,58 @@ def centroid_clusters(vectors: DataFrame, block: Column, least: float, key: str
         for v in pdf.v:
             v = np.asarray(v, float)
             sims = [float(v @ m / (np.linalg.norm(v) * np.linalg.norm(m) or 1.0)) for m in means]
-            k = next((i for i, s in enumerate(sims) if s >= least), None)
-            if k is None:
+            k = int(np.argmax(sims)) if sims else 0
+            if sims and sims[k] >= least:
+                means[k] = (means[k] * sizes[k] + v) / (sizes[k] + 1)
+                sizes[k] += 1
+            else:
                 means.append(v)
                 sizes.append(1)
                 k = len(means) - 1
-            else:
-                means[k] = (means[k] * sizes[k] + v) / (sizes[k] + 1)
-                sizes[k] += 1
             own.append(k)
         return pd.DataFrame({"block": pdf.block, "id": pdf.id, "cluster": own})
 
     return vectors.select(block.cast("long").alias("block"), F.col(key).alias("id"), F.col(vector).alias("v")).groupBy("block").applyInPandas(walk, "block long, id long, cluster long")
 
 
-def nearest(rows: DataFrame, others: DataFrame, k: int = 3) -> DataFrame:
-    """The k rows most like any of the others by token sets: (id, similarity). Pairs come from shared tokens only."""
-    a = rows.select("id", tx.token_set(F.col("text")).alias("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
-    b = others.select(F.col("id").alias("other"), tx.token_set(F.col("text")).alias("s")).select("other", F.size("s").alias("m"), F.explode("s").alias("t"))
-    both = a.join(b, "t").groupBy("id", "other", "n", "m").agg(F.count("*").alias("c"))
-    sims = both.select("id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity")).groupBy("id").agg(F.max("similarity").alias("similarity"))
-    return sims.orderBy(F.desc("similarity"), "id").limit(k)
+def nearest(rows: DataFrame, others: DataFrame, k: int = 3, steps: tuple[float, ...] = (0.9, 0.7, 0.5, 0.3)) -> DataFrame:
+    """The k rows most like any of the others by token sets: (id, similarity). Exact.
+
+    As k rows at or above a similarity settle the answer, the steps are tried from the highest: at each, only sets that share
+    one of their rarest tokens (as many as that similarity requires, see jaccard_pairs) meet. Where no step finds k rows, all
+    sets that share a token do, frequent ones included.
+    """
+    sets = rows.select("id", tx.token_set(F.col("text")).alias("s")).where(F.size("s") > 0)
+    other = others.select(tx.token_set(F.col("text")).alias("s")).where(F.size("s") > 0).distinct()
+    key = F.md5(F.array_join("s", " ").cast("binary")).alias("key")
+    place = F.row_number().over(Window.partitionBy("s").orderBy("id"))
+    sets = sets.withColumn("place", place).where(F.col("place") <= k)
+    a = kept(_rarest_first(sets.groupBy("s").agg(F.collect_list("id").alias("ids")).select(key, "s", "ids"), other))
+    b = kept(_rarest_first(other.select(key, "s"), other))
+    for least in (*steps, 0.0):
+        found = kept(_best(a, b, least).join(a.select("key", "ids"), "key").select(F.explode("ids").alias("id"), "similarity").orderBy(F.desc("similarity"), "id").limit(k))
+        if found.count() == k:
+            break
+    return found.orderBy(F.desc("similarity"), "id")
+
+
+def _rarest_first(sets: DataFrame, counted: DataFrame) -> DataFrame:
+    """sets with their tokens' hashes, those that are rarest in `counted` first."""
+    rarity = counted.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    flat = sets.select("key", F.explode("s").alias("t")).join(rarity, "t", "left").select("key", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t").alias("x"))
+    ordered = flat.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.xxhash64(x["t"])).alias("tokens"))
+    return sets.drop("s").join(ordered, "key")
+
+
+def _best(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(key, similarity): of each set of a that is at least so like one of b, the greatest similarity."""
+    n = F.size("tokens")
+    prefix = F.slice("tokens", 1, (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int")) if least else F.col("tokens")
+    left = a.select("key", n.alias("n"), F.explode(prefix).alias("t"))
+    right = b.select(F.col("key").alias("other"), n.alias("m"), F.explode(prefix).alias("t"))
+    sized = (F.col("n") >= F.lit(least) * F.col("m")) & (F.col("m") >= F.lit(least) * F.col("n"))
+    pairs = left.join(right, "t").where(sized).select("key", "other").distinct()
+    both = pairs.join(a.select("key", F.col("tokens").alias("x")), "key").join(b.select(F.col("key").alias("other"), F.col("tokens").alias("y")), "other")
+    c = F.size(F.array_intersect("x", "y"))
+    sims = both.select("key", (c / (F.size("x") + F.size("y") - c)).alias("similarity"))
+    return sims.where(F.col("similarity") >= least).groupBy("key").agg(F.max("similarity").alias("similarity"))

@@ -128,13 +128,13 @@ def _sets(spark, sf_dir):
 @query(f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.7")
 def jaccard_pairs(spark, sf_dir):
     """Pairs of distinct texts of all documents whose word shingles agree."""
-    return similarity.jaccard_pairs(_sets(spark, sf_dir).persist(), 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.jaccard_pairs(similarity.kept(_sets(spark, sf_dir)), 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def leader_clusters(spark, sf_dir):
     """Each distinct text joins the first leader it is like; a walk in order of ids."""
-    s = _sets(spark, sf_dir).persist()
+    s = similarity.kept(_sets(spark, sf_dir))
     return similarity.leaders(similarity.jaccard_pairs(s, 0.7).select("a", "b"), s.select("id"))
 
 
