@@ -117,3 +117,25 @@ def chronological(rows: DataFrame, order: Sequence[str], parts: Sequence[tuple[s
 def harness(per_rule: DataFrame) -> DataFrame:
     """By pattern type and overall: rules, mean precision and coverage, hits."""
     return per_rule.rollup("pattern_type").agg(F.count("*").alias("rules"), F.avg("precision").alias("avg_precision"), F.avg("coverage").alias("avg_coverage"), F.sum("hits_total").alias("hits")).withColumn("pattern_type", F.coalesce("pattern_type", F.lit("overall")))
+
+
+def extended(scored: DataFrame, threshold: float) -> DataFrame:
+    """One row: the confusion and its metrics at a threshold, with latencies and languages, of rows (score, label, latency_ms,
+    language). The 95th percentile is the exclusive one from 20 rows on, below that the mean."""
+    at = confusion_at(scored, [threshold])
+    known = scored.where("latency_ms is not null")
+    counts = scored.agg(F.count("*").alias("processed"), F.count_if(F.col("latency_ms") > 200).alias("_slow"), F.count_if(F.coalesce(F.col("language"), F.lit("unknown")) == "unknown").alias("unknown_languages"), F.avg("latency_ms").alias("avg_latency_ms"), F.count("latency_ms").alias("_timed"))
+    out = at.crossJoin(F.broadcast(counts))  # one row each
+    for q, name in ((0.5, "_p50"), (0.95, "_p95")):
+        out = out.join(F.broadcast(exclusive_quantile(known, (), "latency_ms", q, name)), F.lit(True), "left")  # at most one row
+    p95 = F.when(F.col("_timed") >= 20, F.col("_p95")).otherwise(F.col("avg_latency_ms"))
+    share = lambda c: ratio(F.col(c), F.col("processed"))
+    return out.select(*at.columns, "processed", "avg_latency_ms", F.coalesce("_p50", "avg_latency_ms").alias("p50_latency_ms"), p95.alias("p95_latency_ms"), (100 * share("_slow")).alias("pct_over_200ms"), "unknown_languages", share("unknown_languages").alias("unknown_lang_rate"))
+
+
+def error_samples(scored: DataFrame, threshold: float, most: int = 50, width: int = 500) -> DataFrame:
+    """(kind, place, id, example): the first false positives and false negatives by id, texts cut for show."""
+    hit, yes = F.col("score") >= threshold, F.col("label")
+    wrong = scored.where(yes.isNotNull() & (hit != yes)).select(F.when(hit, "fp").otherwise("fn").alias("kind"), "id", F.substring("text", 1, width).alias("example"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
+    return wrong.withColumn("place", place).where(F.col("place") <= most)

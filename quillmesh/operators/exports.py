@@ -63,4 +63,56 @@ def report(counts: dict) -> str:
 
 
 def audit_write(entries: DataFrame, folder: str) -> None:
-    entries.write.mode("append").json(folder)
+    """Appends audit entries (ts, action, ...) as JSON lines in a folder a day, so that retention drops whole folders."""
+    entries.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(folder)
+
+
+def audit_read(spark, folder: str, schema: str, since=None, action: str | None = None) -> DataFrame:
+    """Audit entries from a time on and of an action; the day folders are pruned by the scan."""
+    out = spark.read.schema(f"{schema}, day date").json(folder)
+    if since is not None:
+        out = out.where((F.col("day") >= F.to_date(F.lit(since))) & (F.col("ts") >= F.lit(since)))
+    return (out if action is None else out.where(F.col("action") == action)).drop("day")
+
+
+def audit_keep(spark, folder: str, schema: str, into: str, since) -> None:
+    """Retention: the entries from a time on, written as a new audit folder."""
+    audit_write(audit_read(spark, folder, schema, since), into)
+
+
+def discovery_rows(patterns: DataFrame, rules: DataFrame, hits: DataFrame, messages: DataFrame, most: int = 50, width: int = 500) -> DataFrame:
+    """Patterns with the first messages that their rules match, for training: (pattern_id, pattern_type, description, messages).
+
+    hits: (rule_id, id). `most` messages a pattern are kept by a rank window, so no pattern's matches are gathered."""
+    from pyspark.sql import Window
+
+    found = hits.join(rules.select("rule_id", "pattern_id"), "rule_id").select("pattern_id", "id").distinct()
+    place = F.row_number().over(Window.partitionBy("pattern_id").orderBy("id"))
+    few = found.withColumn("place", place).where(F.col("place") <= most)
+    shown = few.join(messages.select("id", F.substring("text", 1, width).alias("text"), "external_id", "timestamp"), "id")
+    one = F.struct("place", "external_id", "text", "timestamp")
+    return patterns.select("pattern_id", "pattern_type", "description").join(shown.groupBy("pattern_id").agg(F.array_sort(F.collect_list(one)).alias("messages")), "pattern_id")
+
+
+def explanation_rows(patterns: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules with an explanation, their pattern's description or the start of their SQL: (rule_id, sql_rule, explanation)."""
+    joined = rules.join(patterns.select("pattern_id", "pattern_type", "description"), "pattern_id", "left")
+    own = F.format_string("Rule %d: %s...", F.col("rule_id"), F.substring("sql_expression", 1, 100))
+    return joined.select("rule_id", "pattern_id", F.col("sql_expression").alias("sql_rule"), F.col("description").alias("pattern_description"), F.coalesce("description", own).alias("explanation"))
+
+
+def pending(suggestions: DataFrame) -> DataFrame:
+    """Suggestions (batch_at, kind, at, validated, ...) that nobody has validated, numbered by kind in the order they came."""
+    from pyspark.sql import Window
+
+    open_ = suggestions.where(~F.coalesce("validated", F.lit(False)))
+    return open_.withColumn("number", F.row_number().over(Window.partitionBy("kind").orderBy("batch_at", "at")) - 1)
+
+
+def validate_suggestion(suggestions: DataFrame, kind: str, number: int, validator: str, at, implemented: bool = False) -> DataFrame:
+    """suggestions with the pending one of this kind and number marked; unchanged if there is none."""
+    one = pending(suggestions).where((F.col("kind") == kind) & (F.col("number") == number)).select("kind", "batch_at", "at", F.lit(True).alias("_hit"))
+    out = suggestions.join(one, ["kind", "batch_at", "at"], "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    marks = {"validated": F.lit(True), "validated_by": F.lit(validator), "validated_at": F.lit(at), "implemented": F.lit(implemented)}
+    return out.withColumns({c: F.when(hit, v).otherwise(F.col(c) if c in suggestions.columns else F.lit(None)) for c, v in marks.items()}).drop("_hit")

@@ -51,3 +51,8 @@ def checkpoint(state: DataFrame, done: DataFrame) -> DataFrame:
     """The state table (stage, last_id, cnt) advanced by what was processed (stage, id)."""
     new = done.groupBy("stage").agg(F.max("id").alias("last_id"), F.count("*").alias("cnt"))
     return state.unionByName(new).groupBy("stage").agg(F.max("last_id").alias("last_id"), F.sum("cnt").alias("cnt"))
+
+
+def unprocessed(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """Resume: the rows (stage, id, ...) past their stage's last processed id; all of a stage without a checkpoint."""
+    return rows.join(state.select("stage", "last_id"), "stage", "left").where("last_id is null or id > last_id").drop("last_id")

@@ -101,3 +101,30 @@ def zombies(patterns: DataFrame) -> DataFrame:
     place = F.row_number().over(W.partitionBy("description").orderBy(F.desc("matches"), "pattern_id"))
     out = patterns.withColumn("place", place)
     return out.select("pattern_id", F.when(F.col("matches") == 0, "zombie").when(F.col("place") > 1, "duplicate").otherwise("keep").alias("verdict"))
+
+
+def usage_cube(events: DataFrame, start, end, provider: Column, model: Column) -> DataFrame:
+    """Calls and cost of a closed range of dates, by provider, by model, and in all: (provider, model, calls, cost), null for all."""
+    e = events.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))).select(provider.alias("provider"), model.alias("model"), "value")
+    return e.groupingSets([["provider"], ["model"], []], "provider", "model").agg(F.count("*").alias("calls"), F.sum("value").alias("cost"))
+
+
+def bucket_quantile(windows: DataFrame, bounds: list[float], q: float, name: str) -> DataFrame:
+    """windows (with cumulative counts b0, b1, ... up to each bound and the total n) and their quantile, between the ends of the
+    first bucket that reaches it by straight line, from 0 for the first; what lies above the last bound counts as that."""
+    place, out = F.lit(q) * F.col("n"), None
+    for i, hi in enumerate(bounds):
+        lo, below = (bounds[i - 1], F.col(f"b{i - 1}")) if i else (0.0, F.lit(0))
+        value = F.lit(lo) + F.lit(hi - lo) * F.try_divide(place - below, (F.col(f"b{i}") - below).cast("double"))
+        test = F.col(f"b{i}") >= place
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return windows.withColumn(name, F.when(F.col("n") > 0, out.otherwise(F.lit(float(bounds[-1])))))
+
+
+def alert_windows(events: DataFrame, width: str, bounds: list[float], hit: Column) -> DataFrame:
+    """By window: events, failures (their increase), the 95th percentile from a histogram, and the percent of cache hits."""
+    w = F.window(F.col("ts").cast("timestamp"), width)
+    counts = [F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    out = events.groupBy(w.alias("w")).agg(F.count("value").alias("n"), F.count_if(F.col("event_type") == "error").alias("increase"), (100.0 * F.count_if(hit) / F.count("*")).alias("hit_rate"), *counts)
+    out = bucket_quantile(out, bounds, 0.95, "p95").select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "increase", "p95", "hit_rate")
+    return out

@@ -164,3 +164,46 @@ def profiles_of(tier: Column) -> Column:
     for name, profiles in PROFILES_OF.items():
         out = F.when(tier == name, F.array(*[F.lit(p) for p in profiles])).otherwise(out)
     return out
+
+
+def profile_safety(messages: DataFrame, rules: dict[str, list[rl.Rule]], limits: dict[str, dict[str, float]]) -> DataFrame:
+    """Of each profile's rules: recall and ham rate of the distinct messages, precision of the summed matches, and which of the
+    profile's limits (ham_hit_rate_max, spam_recall_min, spam_recall_max, precision_min) are broken. One scan for all profiles."""
+    spam, ham = F.coalesce("is_spam", F.lit(False)), F.coalesce(~F.col("is_spam"), F.lit(False))
+    counted = messages.select(spam.alias("spam"), ham.alias("ham"), *[sum((F.when(r.column(), 1).otherwise(0) for r in own), F.lit(0)).alias(f"n{i}") for i, own in enumerate(rules.values())])
+    aggs, rows = [F.count_if("spam").alias("ts"), F.count_if("ham").alias("th")], []
+    for i, (name, own) in enumerate(rules.items()):
+        for kind in ("spam", "ham"):
+            aggs += [F.count_if(F.col(kind) & (F.col(f"n{i}") > 0)).alias(f"u{kind}{i}"), F.coalesce(F.sum(F.when(F.col(kind), F.col(f"n{i}"))), F.lit(0)).alias(f"s{kind}{i}")]
+        bounds = [F.lit(limits.get(name, {}).get(k)).cast("double").alias(k) for k in ("ham_hit_rate_max", "spam_recall_min", "spam_recall_max", "precision_min")]
+        rows.append(F.struct(F.lit(name).alias("profile"), F.lit(len(own)).cast("long").alias("patterns"), *[F.col(f"{c}{i}").alias(a) for c, a in (("uspam", "unique_spam_hits"), ("uham", "unique_ham_hits"), ("sspam", "spam_matches"), ("sham", "ham_matches"))], *bounds))
+    rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    c = F.col
+    out = counted.agg(*aggs).select(F.explode(F.array(*rows)).alias("r"), "ts", "th").select("r.*", "ts", "th")
+    out = out.withColumns({"spam_recall": rate(c("unique_spam_hits"), c("ts")), "ham_hit_rate": rate(c("unique_ham_hits"), c("th")), "precision": rate(c("spam_matches"), c("spam_matches") + c("ham_matches"))})
+    broken = {"ham_hit_rate_max": c("ham_hit_rate") > c("ham_hit_rate_max"), "spam_recall_min": c("spam_recall") < c("spam_recall_min"), "spam_recall_max": c("spam_recall") > c("spam_recall_max"), "precision_min": c("precision") < c("precision_min")}
+    found = F.filter(F.array(*[F.when(test, k) for k, test in broken.items()]), lambda x: x.isNotNull())
+    return out.withColumn("violations", found).withColumn("safe", F.size(found) == 0).drop("ts", "th", *broken)
+
+
+#: What a proposed pattern may say.
+PROPOSED_TIERS, CONFIDENCES = ("SAFE_AUTO", "REVIEW_ONLY", "DANGEROUS", "INSIGHT_ONLY"), ("HIGH", "MEDIUM", "LOW")
+
+
+def proposal_problem(p: Column) -> Column:
+    """Why a proposed pattern (a struct of type, description, tier, risk_level and confidence_level) can't be used, or null:
+    the first missing field, else an unknown tier, a risk outside 0 to 100, or an unknown confidence."""
+    out = F.when(p.isNull(), "missing type")
+    for name in ("type", "description", "tier", "risk_level", "confidence_level"):
+        out = out.when(p[name].isNull(), f"missing {name}")
+    return out.when(~F.upper(p["tier"]).isin(*PROPOSED_TIERS), "invalid tier").when(~p["risk_level"].between(0, 100), "risk out of range").when(~F.upper(p["confidence_level"]).isin(*CONFIDENCES), "invalid confidence")
+
+
+def validated(responses: DataFrame, patterns: str = "patterns") -> DataFrame:
+    """Responses with their first problem (null where valid), the place of the pattern that has it, and the share of patterns
+    that are more than insights; a response without patterns is not valid."""
+    each = F.transform(F.coalesce(patterns, F.array().cast(responses.schema[patterns].dataType)), lambda p, i: F.struct(i.cast("long").alias("at"), proposal_problem(p).alias("problem"), (F.upper(p["tier"]) != "INSIGHT_ONLY").alias("rule")))
+    out = responses.withColumn("_each", each).withColumn("_bad", F.get(F.filter("_each", lambda x: x["problem"].isNotNull()), F.lit(0)))
+    rules = F.size(F.filter("_each", lambda x: F.coalesce(x["rule"], F.lit(True))))
+    problem = F.when(F.size("_each") == 0, "no patterns").otherwise(F.col("_bad.problem"))
+    return out.withColumn("problem", problem).withColumn("problem_at", F.col("_bad.at")).withColumn("conversion_rate", F.coalesce(F.try_divide(rules.cast("double"), F.size("_each")), F.lit(0.0))).drop("_each", "_bad")

@@ -283,6 +283,18 @@ def filtered(rules: DataFrame, evaluations: DataFrame, min_precision: float | No
     return out if status is None else out.where(F.col("status") == status)
 
 
+def by_metric(rules: DataFrame, evaluations: DataFrame, metric: str = "coverage") -> DataFrame:
+    """Rules by their last precision or coverage, best first; those never evaluated count as 0."""
+    joined = rules.join(latest(evaluations).select("rule_id", metric), "rule_id", "left")
+    return joined.withColumn(metric, F.coalesce(metric, F.lit(0.0))).orderBy(F.desc(metric), "rule_id")
+
+
+def in_states(rules: DataFrame, states: Sequence[str] = ("candidate", "shadow", "active")) -> DataFrame:
+    """The rules of some states, one state after the other."""
+    place = F.array_position(F.array(*[F.lit(s) for s in states]), F.col("status"))
+    return rules.where(F.col("status").isin(*states)).withColumn("place", place)
+
+
 # ---- samples ----------------------------------------------------------------------------------------------------------
 
 

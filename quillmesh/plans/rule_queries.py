@@ -107,12 +107,6 @@ def pattern_stats(spark, sf_dir):
     return g.withColumn("bot_likelihood", quality.bot_likelihood(F.lit("url"), F.col("group_size"), F.col("senders"), F.col("sources")).cast("double"))
 
 
-@query(f"WITH {MESSAGES}, {RULE_TABLE}, {PATTERN_TABLE} SELECT r.rule_id, r.pattern_id, p.pattern_type, p.description, (SELECT count(*) FROM messages) AS messages FROM rules r LEFT JOIN patterns p USING (pattern_id)")
-def rules_with_pattern(spark, sf_dir):
-    n = messages(spark, sf_dir).agg(F.count("*").alias("messages"))
-    return rl.with_patterns(rule_table(spark), pattern_table(spark)).select("rule_id", "pattern_id", "pattern_type", "description").crossJoin(F.broadcast(n))  # one row
-
-
 @query(f"WITH {RULE_CTES}, {EVALUATIONS}, {_DRIFT}, {_LATEST}, {RULE_TABLE} SELECT t.rule_id, coalesce(l.precision, 0.5) IS NOT NULL AS ranked, round(coalesce(l.precision, 0.5), 6) AS rank_precision FROM rules t LEFT JOIN l USING (rule_id) WHERE t.status = 'shadow' ORDER BY coalesce(l.precision, 0.5) DESC, t.rule_id LIMIT 2")
 def rules_best_shadow(spark, sf_dir):
     return rl.best_shadow(rule_table(spark), evaluations(messages(spark, sf_dir)), 2).select("rule_id", F.lit(True).alias("ranked"), r6("rank_precision"))

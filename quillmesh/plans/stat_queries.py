@@ -76,11 +76,6 @@ def honest_report(spark, sf_dir):
     return per.select("family", "spam", "ham", F.round(F.col("spam") / n[0], 6).alias("recall"), F.round(F.col("ham") / n[1], 6).alias("ham_rate"), (F.col("ham") / n[1] > 0.05).alias("too_broad"))
 
 
-@query(f"WITH {PATTERN_TABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY matches DESC, pattern_id) AS k FROM patterns), n AS (SELECT count(*) AS documents FROM documents) SELECT pattern_id, CASE WHEN matches = 0 THEN 'zombie' WHEN k > 1 THEN 'duplicate' ELSE 'keep' END AS verdict, documents FROM r, n")
-def zombie_patterns(spark, sf_dir):
-    return ops.zombies(pattern_table(spark)).crossJoin(F.broadcast(table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"))))  # one row
-
-
 # ---- similarity -------------------------------------------------------------------------------------------------------
 
 _COSINE = "p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
@@ -221,11 +216,3 @@ def retention_cleanup(spark, sf_dir):
 def training_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("namespace"))
     return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("namespace", F.col("toxic").cast("long").alias("label")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {PATTERN_TABLE}, r(status) AS (VALUES ('shadow'), ('active'), ('shadow'), ('active'), ('candidate'), ('deprecated'), ('shadow')) SELECT 'pattern' AS kind, pattern_type AS key, count(*) AS n, (SELECT count(*) FROM labels WHERE toxic = 1) AS spam FROM patterns GROUP BY 2 UNION ALL SELECT 'rule', status, count(*), (SELECT count(*) FROM labels WHERE toxic = 1) FROM r GROUP BY 2")
-def report_counts(spark, sf_dir):
-    p = pattern_table(spark).groupBy(F.col("pattern_type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("pattern").alias("kind"), "key", "n")
-    r = rule_table(spark).groupBy(F.col("status").alias("key")).agg(F.count("*").alias("n")).select(F.lit("rule").alias("kind"), "key", "n")
-    spam = table(spark, sf_dir, "labels").agg(F.count_if(F.col("toxic") == 1).alias("spam"))
-    return p.unionByName(r).crossJoin(F.broadcast(spam))  # one row

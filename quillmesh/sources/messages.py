@@ -99,6 +99,8 @@ def read_storage(spark: SparkSession, folder: str, as_of, since=None) -> DataFra
         files = spark._jvm.org.apache.hadoop.fs.Path(path)
         if files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files):
             parts.append(normalised(read(spark, path), as_of, since))
+    if not parts:
+        raise ValueError(f"no .json, .jsonl or .csv files in {folder}")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
@@ -163,3 +165,13 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: str = "external_id") -> D
     """The rows of a batch that the stored table lacks, one for each key (rows without a key all)."""
     keyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).join(stored.select(key), key, "left_anti")
     return keyed.unionByName(batch.where(F.col(key).isNull()))
+
+
+def training_set(rows: DataFrame, namespace: Column, text_columns=("text", "message", "content", "body"), label_column: str = "label") -> DataFrame:
+    """Rows as training examples (namespace, text, label, accepted), trimmed; those without a text or a label aren't accepted."""
+    names = [c for c in text_columns if c in rows.columns][:1]
+    if not names or label_column not in rows.columns:
+        raise ValueError(f"no text or label column among {rows.columns}")
+    text, word = F.trim(F.col(names[0])), F.trim(F.col(label_column).cast("string"))
+    filled = (F.coalesce(text, F.lit("")) != "") & (F.coalesce(word, F.lit("")) != "")
+    return rows.select(namespace.alias("namespace"), text.alias("text"), word.alias("label"), filled.alias("accepted"))
