@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import exact_dedup, licences, media, mixing, packing, quality, simhash, token_files, toxicity, warc
+from quillmesh.llm import exact_dedup, licences, line_dedup, media, mixing, packing, quality, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc_boundary_chains": warc.op1_warc_boundary_chains,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bradley_terry_quality": quality.op8_bradley_terry_quality,
     "op9_cost_balanced_packing": packing.op9_cost_balanced_packing,
     "op10_licence_digests": licences.op10_licence_digests,
+    "op11_bloom_line_dedup": line_dedup.op11_bloom_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op2_fuse_exact_dedup": exact_dedup.OP2_SQL,
     "op3_hash_threshold_mix": mixing.OP3_SQL,
     "op10_licence_digests": licences.OP10_SQL,
+    "op11_bloom_line_dedup": line_dedup.OP11_SQL,
 }
