@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import exact_dedup, licences, line_dedup, media, mixing, packing, quality, simhash, token_files, toxicity, warc
+from quillmesh.llm import exact_dedup, licences, line_dedup, media, mixing, packing, quality, simhash, spellings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc_boundary_chains": warc.op1_warc_boundary_chains,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_cost_balanced_packing": packing.op9_cost_balanced_packing,
     "op10_licence_digests": licences.op10_licence_digests,
     "op11_bloom_line_dedup": line_dedup.op11_bloom_line_dedup,
+    "op12_tiled_spellings": spellings.op12_tiled_spellings,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op3_hash_threshold_mix": mixing.OP3_SQL,
     "op10_licence_digests": licences.OP10_SQL,
     "op11_bloom_line_dedup": line_dedup.OP11_SQL,
+    "op12_tiled_spellings": spellings.OP12_SQL,
 }
