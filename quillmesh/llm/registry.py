@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import exact_dedup, licences, line_dedup, media, mixing, packing, quality, simhash, spellings, token_files, toxicity, warc
+from quillmesh.llm import exact_dedup, licences, line_dedup, media, mixing, packing, quality, ranking, simhash, spellings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc_boundary_chains": warc.op1_warc_boundary_chains,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_licence_digests": licences.op10_licence_digests,
     "op11_bloom_line_dedup": line_dedup.op11_bloom_line_dedup,
     "op12_tiled_spellings": spellings.op12_tiled_spellings,
+    "op13_blocked_ranking": ranking.op13_blocked_ranking,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op10_licence_digests": licences.OP10_SQL,
     "op11_bloom_line_dedup": line_dedup.OP11_SQL,
     "op12_tiled_spellings": spellings.OP12_SQL,
+    "op13_blocked_ranking": ranking.OP13_SQL,
 }
