@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
+from quillmesh.session import dropped, kept
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,40 +23,58 @@ def shingle_table(rows: DataFrame, n: int = 3) -> DataFrame:
     return s.select("id", F.md5(F.col("norm").cast("binary")).alias("signature"), F.array_distinct(tx.shingles(F.col("norm"), n)).alias("shingles"))
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles") -> DataFrame:
-    """(a, b, similarity) of all pairs of sets at or above threshold, a < b. Exact.
+#: Items in this share of all sets' places, or in more, are told apart from rare ones: there are fewer of them than its inverse.
+_FREQUENT = 1 / 50_000
+
 
-    Prefix filtering: with items in a common order, rarest first, two sets that are similar enough share an item among
-    the first n - ceil(threshold * n) + 1 of each, so only those are joined, and frequent items rarely are.
+def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles") -> DataFrame:
+    """(a, b, similarity) of all pairs of sets at or above threshold, a < b, in sets(id, items). Keys are distinct longs; empty
+    and null sets are like none.
+
+    Items stand for their 64-bit hashes, so of two different items with one hash a set counts one. Prefix filtering: with items
+    in a common order, two sets that are similar enough share an item among the first n - ceil(threshold * n) + 1 of each.
+    Rare items come first, in the order of their hashes; the frequent ones, fewer than 50,000 and so broadcast, follow by
+    their counts. Only prefixes are joined, by item; a pair goes on only if it can still share enough after its places in
+    both, and where the item is the first that both prefixes hold.
     """
-    flat = sets.select(key, F.explode(items).alias("item"))
-    rarity = flat.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = flat.join(rarity, "item").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("sorted"))
-    n = F.size("sorted")
-    prefix = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
-    ready = ranked.select(key, n.alias("n"), F.explode(F.slice(F.transform("sorted", lambda x: F.xxhash64(x["item"])), 1, prefix)).alias("item"))
+    import numpy as np
+    import pyarrow as pa
+
+    spark = sets.sparkSession
+    hashed = kept(sets.select(F.col(key).cast("long").alias("id"), F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))).alias("items")).where(F.size("items") > 0), "jaccard-sets")
+    total = hashed.agg(F.sum(F.size("items"))).first()[0] or 0
+    counts = hashed.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
+    frequent = counts.where((F.col("df") > total * _FREQUENT) & (F.col("df") > 1)).orderBy("df", "item").select("item").collect()
+    held = spark.sparkContext.broadcast(np.array([r.item for r in frequent], np.int64))
+
+    def ordered(batches):
+        own = held.value
+        by_item = np.argsort(own)
+        known = own[by_item]
+        for batch in batches:
+            flat = batch.column("items").flatten().to_numpy()
+            sizes = np.diff(batch.column("items").offsets.to_numpy())
+            rank = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                rank = np.where(known[at] == flat, by_item[at] + 1, 0)
+            order = np.lexsort((flat, rank, np.repeat(np.arange(len(sizes)), sizes)))
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "items": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[order]))})
+
+    ranked = kept(hashed.mapInArrow(ordered, "id long, items array<bigint>"), "jaccard-ranked")
+    n = F.size("items")
+    most = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
+    ready = ranked.select("id", n.alias("n"), F.posexplode(F.slice("items", 1, most)).alias("place", "item"))
     a, b = ready.alias("a"), ready.alias("b")
-    near = (F.col("a.item") == F.col("b.item")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
-    pairs = a.join(b, near).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    left = sets.select(F.col(key).alias("a"), F.col(items).alias("_left"))
-    right = sets.select(F.col(key).alias("b"), F.col(items).alias("_right"))
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    can = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) - 1 >= least
+    near = (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & can
+    pairs = kept(a.join(b, near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "jaccard-candidates")
+    left, right = ranked.select(F.col("id").alias("a"), F.col("items").alias("_left")), ranked.select(F.col("id").alias("b"), F.col("items").alias("_right"))
     sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_left", "_right")).alias("both"), (F.size("_left") + F.size("_right")).alias("sum"))
-    pairs = sized.where(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
-    return pairs.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its plan by a checkpoint in the folder of spark.checkpoint.dir, which all executors share.
-
-    Only a local master may leave the setting out (as tests do); a folder is then made for the session.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if place is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="quillmesh-"))
-    return df.checkpoint()
+    found = sized.where(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
+    return found.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
 
 
 def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int = 1 << 18) -> DataFrame:
@@ -69,6 +86,7 @@ def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int =
     time that they have doubled, the open components of at most `walk_pairs` pairs are walked in a task each; rounds go on for
     larger ones until no id is open.
     """
+    pairs = kept(pairs.select("a", "b"), "leader-pairs")
     settled = [kept(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))]
     open_ = _marked(pairs.select("a", "b", F.lit(None).cast("boolean").alias("led")), settled[0])
     n = 0
@@ -78,25 +96,31 @@ def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int =
         if done.isEmpty():
             break
         settled.append(done)
-        open_ = _marked(open_, done)
+        open_ = _replaced(open_, _marked(open_, done))
         n += 1
         if n == rounds:
             rounds *= 2
             done = kept(_walked(open_, walk_pairs))
             settled.append(done)
-            open_ = _marked(open_, done)
+            open_ = _replaced(open_, _marked(open_, done))
         if len(settled) > 16:
-            settled = [kept(reduce(DataFrame.unionByName, settled))]
+            settled = [_replaced(*settled, kept(reduce(DataFrame.unionByName, settled), "leader-settled"))]
     if not open_.isEmpty():
         raise ValueError("pairs must be of ids, the smaller first")
     return reduce(DataFrame.unionByName, settled)
 
 
+def _replaced(*frames: DataFrame) -> DataFrame:
+    """The last of the tables, whose making was the last use of the others."""
+    dropped(*frames[:-1])
+    return frames[-1]
+
+
 def _marked(open_: DataFrame, done: DataFrame) -> DataFrame:
     """Pairs whose larger id is still open; led says whether the smaller one leads, null while that is open too."""
     rest = open_.join(done.select(F.col("id").alias("b")), "b", "left_anti")
     marks = done.select(F.col("id").alias("a"), (F.col("leader") == F.col("id")).alias("now"))
-    return kept(rest.join(marks, "a", "left").select("a", "b", F.coalesce("led", "now").alias("led")))
+    return kept(rest.join(marks, "a", "left").select("a", "b", F.coalesce("led", "now").alias("led")), "leader-open")
 
 
 def _walked(open_: DataFrame, most: int) -> DataFrame:
@@ -117,61 +141,151 @@ def _walked(open_: DataFrame, most: int) -> DataFrame:
     return rooted.join(small, "root", "left_semi").groupBy("root").applyInPandas(walk, "id long, leader long")
 
 
-def cosine_pairs(vectors: DataFrame, least: float, block_rows: int = 10_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, cosine) of pairs at or above `least`, a < b. Exact: vectors are dealt by a hash of their ids into blocks of some
-    `block_rows` rows, however many those are, and each pair of blocks is compared as two matrices, so a task holds two blocks
-    and no pair below the limit leaves one. All pairs are compared: the work is quadratic in the vectors, its memory is not."""
+def _units(vectors):
+    """Vectors of an Arrow array as unit rows of float64; those of length zero stay zero."""
+    import numpy as np
+
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _spread(sample, n: int):
+    """n of the sample's vectors, as unit rows: the first, then always the one farthest from all taken; fewer if it has no more."""
     import numpy as np
-    import pandas as pd
 
-    blocks = max(4, -(-vectors.count() // block_rows))
+    m = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    taken, closest = [0], m @ m[0]
+    while len(taken) < n and (far := int(closest.argmin())) not in taken and closest[far] < 1 - 1e-9:
+        taken.append(far)
+        closest = np.maximum(closest, m @ m[far])
+    return m[taken]
 
-    part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    mine = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), part.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = mine.select("id", "v", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        left, right = pdf[pdf.mine == i], pdf[pdf.mine == j]
-        out = []
-        if len(left) and len(right):
-            norm = lambda p: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(p.v.to_numpy()).astype(np.float64))
-            l_ids, r_ids, r_m = left.id.to_numpy(), right.id.to_numpy(), norm(right)
-            for at in range(0, len(left), 1024):
-                sims = norm(left.iloc[at : at + 1024]) @ r_m.T
-                x, y = np.nonzero(sims >= least)
-                a, b, c = l_ids[at + x], r_ids[y], sims[x, y]
-                keep = a < b if i == j else a != b
-                out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": c[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cosine": []})
+def cells(vectors: DataFrame, least: float, cell_rows: int = 2_000, most: int = 1_024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, v, cell, home): every vector in the cell of its nearest pivot (home), and as a guest in each later cell that may hold
+    one of at least that cosine with it.
 
-    return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, cosine double")
+    Pivots are taken among the vectors of smallest hashed ids, each as far as can be from those before, one for some
+    `cell_rows` vectors and `most` at the most; they are broadcast.
+    Two unit vectors of that cosine are at most r = sqrt(2 - 2 least) apart. Whoever lives in cell j is on j's side of the plane
+    midway between the pivots i and j, so a vector of cell i that is farther than r from that plane has no partner in j.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    wanted = min(most, max(8, -(-rows.count() // cell_rows)))
+    chosen = rows.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(4 * wanted).collect()  # at most 4,096 vectors
+    pivots = _spread(np.array([r.v for r in chosen], np.float64), wanted) if chosen else np.zeros((1, 1))
+    held = vectors.sparkSession.sparkContext.broadcast(pivots)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+
+    def deal(batches):
+        own = held.value
+        gaps = np.maximum(np.sqrt(np.maximum(0.0, 2 - 2 * own @ own.T)), 1e-300)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                sims = _units(part.column("v")) @ own.T
+                home = sims.argmax(axis=1)
+                each = np.arange(len(home))
+                guest = (sims[each, home][:, None] - sims) <= reach * gaps[home]
+                guest &= np.arange(sims.shape[1]) > home[:, None]
+                row, cell = np.nonzero(guest)
+                take = np.concatenate([each, row])
+                yield pa.RecordBatch.from_pydict({"id": part.column("id").take(pa.array(take)), "v": part.column("v").take(pa.array(take)), "cell": np.concatenate([home, cell]).astype(np.int32), "home": np.arange(len(take)) < len(home)})
+
+    return rows.mapInArrow(deal, "id long, v array<double>, cell int, home boolean")
+
+
+def cosine_pairs(vectors: DataFrame, least: float, cell_rows: int = 2_000, guest_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, cosine) of pairs at or above `least`, a < b. Exact; ids are distinct longs, null vectors are left out, and all
+    vectors are of one length.
+
+    Each vector meets those of its own pivot's cell and of the cells in reach (see cells). A cell above `cell_rows` is cut into
+    blocks of that size, and what comes to a block into runs of `guest_rows`, each a task's work: it holds the block as
+    a matrix and streams the others past it. How much the cells save depends on the data: close pairs of clustered vectors
+    meet in few cells; where `least` is low and vectors point everywhere, each must meet nearly all others.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    dealt = kept(cells(vectors, least, cell_rows, key=key, vector=vector), "cosine-cells")
+    count = dealt.groupBy("cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests"))
+    parts = kept(count.select("cell", F.greatest(F.lit(1), F.ceil(F.col("own") / cell_rows)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil((F.col("own") + F.col("guests")) / guest_rows)).cast("int").alias("runs")), "cosine-parts")
+    mine = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
+    place = lambda block, run, role: F.struct(block.alias("block"), run.alias("run"), F.lit(role).alias("role"))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), n), f)
+    block, run = mine("block", "blocks"), mine("run", "runs")
+    stays = every(F.col("runs") - 1, lambda r: place(block, r, 0))
+    earlier = F.when(block > 0, every(F.greatest(block - 1, F.lit(0)), lambda b: place(b, run, 1))).otherwise(F.array().cast("array<struct<block:int,run:int,role:int>>"))
+    visits = every(F.col("blocks") - 1, lambda b: place(b, run, 1))
+    placed = dealt.join(F.broadcast(parts), "cell")  # a row a cell, of which there are at most 1,024
+    units = placed.select("cell", "id", "v", F.explode(F.when(F.col("home"), F.concat(stays, earlier)).otherwise(visits)).alias("p")).select("cell", "p.block", "p.run", "p.role", "id", "v")
+
+    def close(a_ids, a, b_ids, b, inside):
+        for at in range(0, len(b), 1024):
+            sims = a @ b[at : at + 1024].T
+            x, y = np.nonzero(sims >= least)
+            p, q, c = a_ids[x], b_ids[at + y], sims[x, y]
+            keep = p < q if inside else p != q
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "cosine": c[keep]})
+
+    def compare(batches):
+        at, ids, block, ready = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block", "run", "role")], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                unit, role, m, own = tuple(keys[s][:3].tolist()), int(keys[s][3]), _units(batch.column("v").slice(s, e - s)), batch.column("id").slice(s, e - s).to_numpy()
+                if unit != at:
+                    at, ids, block, ready = unit, [], [], None
+                if role == 0:
+                    if unit[2] == 0:
+                        for earlier_ids, earlier_m in zip(ids, block):
+                            yield from close(earlier_ids, earlier_m, own, m, False)
+                        yield from close(own, m, own, m, True)
+                    ids.append(own)
+                    block.append(m)
+                elif ids:
+                    if ready is None:
+                        ready = np.concatenate(ids), np.concatenate(block)
+                    yield from close(*ready, own, m, False)
+
+    sort = ("cell", "block", "run")
+    return units.repartition(*sort).sortWithinPartitions(*sort, "role").mapInArrow(compare, "a long, b long, cosine double")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): the least id reachable over edges(a, b), by minima of all neighbours of a root's ids and
-    pointer jumping until no root moves."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pointer jumping until no root moves. Edges are written once, and a round's table goes when the next one is written."""
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "component-edges")
     state = nodes.select("id", F.col("id").alias("root"))
+    last = None
     while True:
         near = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
         least = state.join(near, "id", "left").groupBy("root").agg(F.least("root", F.min(F.coalesce("m", "root"))).alias("up"))
         jump = least.join(least.select(F.col("root").alias("up"), F.col("up").alias("top")), "up").select("root", "top")
-        next_ = state.join(jump, "root").select("id", F.col("top").alias("root"), F.col("root").alias("was"))
-        next_ = kept(next_)
-        if next_.where("root <> was").isEmpty():
-            return next_.select("id", "root")
-        state = next_.select("id", "root")
+        now = kept(state.join(jump, "root").select("id", F.col("top").alias("root"), F.col("root").alias("was")), "components")
+        if last is not None:
+            dropped(last)
+        if now.where("root <> was").isEmpty():
+            dropped(both)
+            return now.select("id", "root")
+        last, state = now, now.select("id", "root")
 
 
 def dbscan(pairs: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
     """(id, cluster, core) of pairs (a, b) within reach: ids with `least` neighbours, itself included, are cores; cores that
-    reach each other are one cluster, named by its least core; others join the least cluster they reach; noise is left out."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    reach each other are one cluster, named by its least core; others join the least cluster they reach; noise is left out.
+    Pairs are computed once and written."""
+    pairs = kept(pairs.select("a", "b"), "dbscan-pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("id")).agg((F.count("*") + 1).alias("degree"))
-    cores = degree.where(F.col("degree") >= least).select("id")
-    if least <= 1:
-        cores = nodes.select("id")
+    cores = kept(nodes.select("id") if least <= 1 else degree.where(F.col("degree") >= least).select("id"), "dbscan-cores")
     ca, cb = cores.withColumnRenamed("id", "a"), cores.withColumnRenamed("id", "b")
     found = components(pairs.join(ca, "a", "left_semi").join(cb, "b", "left_semi"), cores)
     border = both.join(ca, "a", "left_anti").join(found.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("cluster"))
@@ -219,8 +333,9 @@ def nearest(rows: DataFrame, others: DataFrame, k: int = 3, steps: tuple[float,
     """The k rows most like any of the others by token sets: (id, similarity). Exact.
 
     As k rows at or above a similarity settle the answer, the steps are tried from the highest: at each, only sets that share
-    one of their rarest tokens (as many as that similarity requires, see jaccard_pairs) meet. Where no step finds k rows, all
-    sets that share a token do, frequent ones included.
+    one of their rarest tokens (as many as that similarity requires, see jaccard_pairs) meet. Where no step finds k rows, the
+    limit is halved until one does, or until it is below what sets of the largest sizes have that share one token. Rows
+    that share no token with any of the others are never near.
     """
     sets = rows.select("id", tx.token_set(F.col("text")).alias("s")).where(F.size("s") > 0)
     other = others.select(tx.token_set(F.col("text")).alias("s")).where(F.size("s") > 0).distinct()
@@ -229,10 +344,14 @@ def nearest(rows: DataFrame, others: DataFrame, k: int = 3, steps: tuple[float,
     sets = sets.withColumn("place", place).where(F.col("place") <= k)
     a = kept(_rarest_first(sets.groupBy("s").agg(F.collect_list("id").alias("ids")).select(key, "s", "ids"), other))
     b = kept(_rarest_first(other.select(key, "s"), other))
-    for least in (*steps, 0.0):
+    most = sum(x.agg(F.max(F.size("tokens"))).first()[0] or 0 for x in (a, b))
+    steps = list(steps)
+    for least in steps:
         found = kept(_best(a, b, least).join(a.select("key", "ids"), "key").select(F.explode("ids").alias("id"), "similarity").orderBy(F.desc("similarity"), "id").limit(k))
-        if found.count() == k:
+        if found.count() == k or least * most < 1:
             break
+        if least == steps[-1]:
+            steps.append(least / 2)
     return found.orderBy(F.desc("similarity"), "id")
 
 

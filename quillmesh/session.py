@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -20,3 +24,39 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local master may leave the setting out (as tests do); a folder is then made for the session.
+    """
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if place is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
+        context.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df computed once: written as Parquet to the shared folder and read back, so that its plan is cut and lost executors do
+    no harm."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of tables that kept() gave, once nothing reads them any more; other tables are left alone."""
+    for df in frames:
+        path = getattr(df, "_kept_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
