@@ -53,7 +53,7 @@ class Engine:
                 self.patterns.append({"pattern_id": pattern_id, "pattern_type": kind, "description": f"{'URL pattern' if kind == 'url' else 'Keyword' if kind == 'keyword' else 'Signature cluster'}: {r.key} found in {r.cnt} spam messages"})
                 words = [r.key] if kind == "url" else advice.regex_keywords(patterns.get(r.key, ""))
                 if kind != "signature" and (words or r.key in rl.REGEX_RULES):
-                    rule = rl.Rule(len(self.rules) + len(found) + 1, rl.compile_pattern("url" if kind == "url" else r.key, words), pattern_id)
+                    rule = rl.compile_rule(len(self.rules) + len(found) + 1, "url" if kind == "url" else r.key, words, pattern_id=pattern_id)
                     if not advice.insight_only("", rule.sql):
                         found.append(rule)
         self.rules += found

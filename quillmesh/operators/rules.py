@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
+from quillmesh.operators import replay
 
 COLUMNS = ("id", "external_id", "timestamp", "text", "language", "source", "sender", "is_spam", "tas_action", "user_complaint", "unbanned", "meta", "created_at")
 STATUSES = ("candidate", "shadow", "active", "deprecated")
@@ -26,6 +27,14 @@ class Rule:
     origin: str = "pattern_mining"
     created_at: str | None = None
     extra: dict = field(default_factory=dict, compare=False)
+    #: Of a rule of literals alone: parts that must all be met, each by any of its needles.
+    parts: tuple[tuple[str, ...], ...] = ()
+
+    @classmethod
+    def literal(cls, rule_id: int, *parts: Iterable[str], **fields) -> Rule:
+        """The rule that every part has a needle in the text."""
+        held = tuple(tuple(dict.fromkeys(p)) for p in parts)
+        return cls(rule_id, " AND ".join(any_keyword(p, len(p)) for p in held), parts=held, **fields)
 
     @property
     def sql(self) -> str:
@@ -66,6 +75,15 @@ REGEX_RULES = {
 EXTRA_CONTEXT = {"group_invite": ("https", "t.me"), "job_offer": ("money", "usd", "руб", "зарплат", "деньги")}
 
 
+def compile_rule(rule_id: int, name: str, keywords: Sequence[str] = (), **fields) -> Rule:
+    """The rule of a mined pattern (see compile_pattern); one of literals alone can be replayed with thousands of others."""
+    if name in REGEX_RULES:
+        return Rule(rule_id, compile_pattern(name, keywords), **fields)
+    own = list(dict.fromkeys(keywords))[:10]
+    context = [tuple(dict.fromkeys([*tx.COMMERCIAL_CONTEXT, *EXTRA_CONTEXT[name]]))] if name in EXTRA_CONTEXT else []
+    return Rule.literal(rule_id, own, *context, **fields)
+
+
 def compile_pattern(name: str, keywords: Sequence[str] = ()) -> str:
     """The predicate of a mined pattern: a regex where one is known, else its keywords; broad ones need a second, commercial
     word besides."""
@@ -169,15 +187,28 @@ def estimated_bytes(df: DataFrame) -> int:
 # ---- replay -----------------------------------------------------------------------------------------------------------
 
 
+#: So many rules of literals are tested one by one, in the scan's own code; more go through one automaton.
+_ONE_BY_ONE = 64
+
+
+def matches_of(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(id, is_spam, rule_ids) of every message, with the ids of the rules that match it."""
+    literals = [r for r in rules if r.parts]
+    if len(literals) <= _ONE_BY_ONE:
+        literals = []
+    tests = [F.when(r.column(), F.lit(r.rule_id).cast("long")) for r in rules if not literals or not r.parts]
+    found = F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<bigint>")
+    return replay.matched(messages, literals, found) if literals else messages.select("id", "is_spam", found.alias("rule_ids"))
+
+
 def hits(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(rule_id, id, is_spam) of every match: the rules are tested side by side in one scan, and only matches come out."""
-    found = F.filter(F.array(*[F.when(r.column(), F.lit(r.rule_id).cast("long")) for r in rules]), lambda x: x.isNotNull())
-    return messages.select("id", "is_spam", F.explode(found).alias("rule_id"))
+    return matches_of(messages, rules).select("id", "is_spam", F.explode("rule_ids").alias("rule_id"))
 
 
 def _counts(messages: DataFrame, rules: Sequence[Rule], batch: int = 100) -> DataFrame:
     """One row a rule: rule_id, hits_total, spam_hits, ham_hits, total, total_spam. Up to `batch` rules are one aggregate
-    that is turned into rows; more are exploded matches, still in one scan for all."""
+    that is turned into rows; more are exploded matches, counted before they are shuffled."""
     if len(rules) <= batch:
         aggs = [F.count("*").alias("total"), F.count_if("is_spam").alias("total_spam")]
         for i, r in enumerate(rules):
@@ -209,7 +240,10 @@ def too_broad(messages: DataFrame, rules: Sequence[Rule], most: float = 0.80) ->
 
 def union_metrics(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Of a set of rules: recall and ham rate of the distinct messages they match, precision of the summed matches."""
-    per = messages.select("is_spam", sum((F.when(r.column(), 1).otherwise(0) for r in rules), F.lit(0)).alias("n"))
+    if len(rules) > _ONE_BY_ONE:
+        per = matches_of(messages, rules).select("is_spam", F.size("rule_ids").alias("n"))
+    else:
+        per = messages.select("is_spam", sum((F.when(r.column(), 1).otherwise(0) for r in rules), F.lit(0)).alias("n"))
     spam, ham, hit = F.coalesce(F.col("is_spam"), F.lit(False)), ~F.coalesce(F.col("is_spam"), F.lit(True)), F.col("n") > 0
     out = per.agg(
         F.count_if(spam & hit).alias("unique_spam_hits"), F.count_if(ham & hit).alias("unique_ham_hits"), F.sum(F.when(spam, F.col("n")).otherwise(0)).alias("summed_spam_hits"),
@@ -220,12 +254,21 @@ def union_metrics(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def flat_or(messages: DataFrame, needles: DataFrame) -> DataFrame:
-    """Distinct (rule_id, id, is_spam) where any needle of a rule is in the text, whatever the rule's structure: needles
-    (rule_id, needle) are a control table of rules, so they are compiled into one expression."""
-    by_rule: dict[int, list[str]] = {}
-    for r in needles.collect():
-        by_rule.setdefault(r.rule_id, []).append(r.needle)
-    rules = [Rule(k, "(" + " OR ".join(contains(n) for n in v) + ")") for k, v in sorted(by_rule.items())]
+    """Distinct (rule_id, id, is_spam) where any needle of a rule is in the text, whatever the rule's structure.
+
+    needles (rule_id, needle) is a control table of rules. Where it has a column kind, needles of the kind 'regexp' are regular
+    expressions, tried without regard to case; all others are literals. Null needles count nowhere.
+    """
+    by_rule: dict[int, tuple[list[str], list[str]]] = {}
+    kind = F.col("kind") if "kind" in needles.columns else F.lit("like")
+    for r in needles.where("needle is not null").select("rule_id", "needle", (F.coalesce(kind, F.lit("like")) == "regexp").alias("regexp")).collect():
+        by_rule.setdefault(r.rule_id, ([], []))[r.regexp].append(r.needle)
+    rules = []
+    for k, (likes, patterns) in sorted(by_rule.items()):
+        if patterns:
+            rules.append(Rule(k, "(" + " OR ".join([*map(contains, likes), *map(matches, patterns)]) + ")"))
+        else:
+            rules.append(Rule.literal(k, likes))
     return hits(messages, rules).select("rule_id", "id", "is_spam")
 
 

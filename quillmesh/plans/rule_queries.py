@@ -56,6 +56,34 @@ def rule_flat_or_replay(spark, sf_dir):
     return rl.flat_or(messages(spark, sf_dir), needles)
 
 
+_THOUSAND = """k AS (SELECT key, row_number() OVER (ORDER BY count(*) DESC, key) - 1 AS place FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key FROM messages) WHERE length(key) >= 4 GROUP BY key QUALIFY place < 1000),
+n AS (SELECT count(*) AS n FROM k), x AS (SELECT k.place AS rule_id, k.key AS a, b.key AS b, CASE WHEN k.place % 2 = 1 THEN c.key ELSE '' END AS c FROM k, n JOIN k b ON b.place = k.place * 7 % n.n JOIN k c ON c.place = (k.place * 13 + 5) % n.n)"""
+
+
+def _thousand_rules(rows):
+    """A rule for each of the thousand most widespread words: that word or another; every second one needs a third besides."""
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("key")).where(F.length("key") >= 4)
+    k = [r.key for r in words.groupBy("key").count().orderBy(F.desc("count"), "key").limit(1000).collect()]
+    return [rl.Rule.literal(i, [k[i], k[i * 7 % len(k)]], *([[k[(i * 13 + 5) % len(k)]]] if i % 2 else [])) for i in range(len(k))]
+
+
+@query(f"""WITH {MESSAGES}, {_THOUSAND}, t AS MATERIALIZED (SELECT id, is_spam, lower(text) AS l FROM messages)
+SELECT x.rule_id, count(*) AS hits_total, count(*) FILTER (is_spam) AS spam_hits, count(*) FILTER (NOT is_spam) AS ham_hits FROM x JOIN t ON (contains(l, a) OR contains(l, b)) AND contains(l, c) GROUP BY x.rule_id""")
+def replay_of_a_thousand_rules(spark, sf_dir):
+    """A thousand rules of the messages' own words by one automaton."""
+    m = messages(spark, sf_dir)
+    e = rl.evaluate(m, _thousand_rules(m))
+    return e.select("rule_id", "hits_total", "spam_hits", "ham_hits").where("hits_total > 0")
+
+
+@query(f"""WITH {MESSAGES} SELECT 1::BIGINT AS rule_id, id, is_spam FROM messages WHERE contains(lower(text), 'trash') OR regexp_matches(text, '(?i)wor[a-z]+ss\\b')
+UNION ALL SELECT 2, id, is_spam FROM messages WHERE contains(lower(text), 'free')""")
+def rule_flat_or_regexp(spark, sf_dir):
+    """Literals and regular expressions of a rule, each enough by itself."""
+    needles = spark.createDataFrame([(1, "trash", "like"), (1, r"wor[a-z]+ss\y", "regexp"), (2, "free", None)], "rule_id long, needle string, kind string")
+    return rl.flat_or(messages(spark, sf_dir), needles)
+
+
 @query(f"WITH {RULE_CTES}, {EVALUATIONS} SELECT rule_id, created_at, hits_total, spam_hits, ham_hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coverage, 6) AS coverage FROM evaluations")
 def rule_daily_evaluations(spark, sf_dir):
     return evaluations(messages(spark, sf_dir)).select("rule_id", "created_at", "hits_total", "spam_hits", "ham_hits", r6("precision"), r6("recall"), r6("coverage"))
