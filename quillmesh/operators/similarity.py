@@ -23,31 +23,36 @@ def shingle_table(rows: DataFrame, n: int = 3) -> DataFrame:
     return s.select("id", F.md5(F.col("norm").cast("binary")).alias("signature"), F.array_distinct(tx.shingles(F.col("norm"), n)).alias("shingles"))
 
 
-#: Items in this share of all sets' places, or in more, are told apart from rare ones: there are fewer of them than its inverse.
+#: Items in this share of a sample's places, or in more, are told apart from rare ones: there are fewer of them than its inverse.
 _FREQUENT = 1 / 50_000
+_SAMPLE_ITEMS = 2_000_000  # items of the sets whose frequent items are counted
+_BLOCK_SETS = 2_000  # sets of a unit that a task holds at once, twice over
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles") -> DataFrame:
     """(a, b, similarity) of all pairs of sets at or above threshold, a < b, in sets(id, items). Keys are distinct longs; empty
     and null sets are like none.
 
-    Items stand for their 64-bit hashes, so of two different items with one hash a set counts one. Prefix filtering: with items
-    in a common order, two sets that are similar enough share an item among the first n - ceil(threshold * n) + 1 of each.
-    Rare items come first, in the order of their hashes; the frequent ones, fewer than 50,000 and so broadcast, follow by
-    their counts. Only prefixes are joined, by item; a pair goes on only if it can still share enough after its places in
-    both, and where the item is the first that both prefixes hold.
+    Items stand for their 64-bit hashes (longs for themselves), so of different items with one hash a set counts one. Prefix
+    filtering: with items in a common order, two sets that are similar enough share an item among the first
+    n - ceil(threshold * n) + 1 of each. Rare items come first, in the order of their hashes, then the frequent ones by their
+    counts: those are fewer than 50,000, so broadcast, and counted on a sample of sets, on which only the speed depends.
+    Prefixes are joined by item; a pair goes on only if it can still share enough after the item's places in both. Sets meet
+    for verification in units (see _verified), so that a group of copies moves as often as it has blocks, not pairs.
     """
     import numpy as np
     import pyarrow as pa
 
     spark = sets.sparkSession
-    hashed = kept(sets.select(F.col(key).cast("long").alias("id"), F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))).alias("items")).where(F.size("items") > 0), "jaccard-sets")
+    plain = dict(sets.dtypes)[items] == "array<bigint>"
+    hashed = kept(sets.select(F.col(key).cast("long").alias("id"), F.array_distinct(F.col(items) if plain else F.transform(items, lambda x: F.xxhash64(x))).alias("items")).where(F.size("items") > 0), "jaccard-sets")
     total = hashed.agg(F.sum(F.size("items"))).first()[0] or 0
-    counts = hashed.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
-    frequent = counts.where((F.col("df") > total * _FREQUENT) & (F.col("df") > 1)).orderBy("df", "item").select("item").collect()
-    held = spark.sparkContext.broadcast(np.array([r.item for r in frequent], np.int64))
+    sampled = hashed.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // _SAMPLE_ITEMS) or 1)) == 0)
+    counts = sampled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
+    frequent = counts.where((F.col("df") > min(total, _SAMPLE_ITEMS) * _FREQUENT) & (F.col("df") > 1)).orderBy(F.desc("df"), "item").limit(int(2 / _FREQUENT)).collect()
+    held = spark.sparkContext.broadcast(np.array([r.item for r in reversed(frequent)], np.int64))
 
-    def ordered(batches):
+    def prefixes(batches):
         own = held.value
         by_item = np.argsort(own)
         known = own[by_item]
@@ -58,23 +63,66 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 rank = np.where(known[at] == flat, by_item[at] + 1, 0)
-            order = np.lexsort((flat, rank, np.repeat(np.arange(len(sizes)), sizes)))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "items": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[order]))})
-
-    ranked = kept(hashed.mapInArrow(ordered, "id long, items array<bigint>"), "jaccard-ranked")
-    n = F.size("items")
-    most = (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
-    ready = ranked.select("id", n.alias("n"), F.posexplode(F.slice("items", 1, most)).alias("place", "item"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, rank, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            most = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            take = place < most[row]
+            ids = batch.column("id").to_numpy()
+            yield pa.RecordBatch.from_pydict({"id": ids[row[take]], "n": sizes[row[take]].astype(np.int32), "place": place[take].astype(np.int32), "item": flat[order][take]})
+
+    ready = hashed.mapInArrow(prefixes, "id long, n int, place int, item long")
     a, b = ready.alias("a"), ready.alias("b")
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    can = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) - 1 >= least
+    can = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= least
     near = (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & can
     pairs = kept(a.join(b, near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "jaccard-candidates")
-    left, right = ranked.select(F.col("id").alias("a"), F.col("items").alias("_left")), ranked.select(F.col("id").alias("b"), F.col("items").alias("_right"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_left", "_right")).alias("both"), (F.size("_left") + F.size("_right")).alias("sum"))
-    found = sized.where(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
-    return found.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
+    return _verified(pairs, hashed, threshold)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those pairs(a, b), a < b, of sets(id, items) that reach the threshold.
+
+    A pair's unit is the least candidate of its smaller id, itself included, so that a group whose members are all candidates
+    of each other is one unit. Each set goes once to a unit that has pairs of it; units of many sets are cut into
+    pairs of blocks. A task holds two blocks and streams their pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("unit"))
+    placed = kept(pairs.join(lowest, "a").select("unit", "a", "b"), "jaccard-placed")
+    sizes = placed.select("unit", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("unit").agg(F.ceil(F.count("*") / _BLOCK_SETS).cast("int").alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.col("blocks")).cast("int")
+    i, j = block("a"), block("b")
+    tiles = kept(placed.join(sizes, "unit").select(F.xxhash64("unit", F.least(i, j), F.greatest(i, j)).alias("tile"), "a", "b"), "jaccard-tiles")
+    needed = tiles.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = needed.join(sets, "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items")
+    rows = rows.unionByName(tiles.select("tile", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("array<bigint>").alias("items")))
+
+    def check(batches):
+        at, held = None, {}
+        for batch in batches:
+            a, b, role, tile = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("role").to_pylist(), batch.column("tile").to_pylist()
+            items = batch.column("items")
+            found = [], [], []
+            for k, t in enumerate(tile):
+                if t != at:
+                    at, held = t, {}
+                if role[k] == 0:
+                    held[a[k]] = np.sort(items[k].values.to_numpy())
+                    continue
+                x, y = held[a[k]], held[b[k]]
+                if len(x) > len(y):
+                    x, y = y, x
+                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if shared >= threshold * (len(x) + len(y) - shared):
+                    for out, value in zip(found, (a[k], b[k], shared / (len(x) + len(y) - shared))):
+                        out.append(value)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "similarity": pa.array(found[2], pa.float64())})
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(check, "a long, b long, similarity double")
 
 
 def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int = 1 << 18) -> DataFrame:

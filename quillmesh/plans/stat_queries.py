@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions import text as tx
 from quillmesh.operators import evaluation as ev
 from quillmesh.operators import ops, quality, similarity
 from quillmesh.operators import rules as rl
@@ -113,23 +114,23 @@ p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.ite
 
 
 def _sets(spark, sf_dir):
-    from quillmesh.functions import text as tx
-
+    """(id, shingles) of the first document of each normalised text, shingles as hashes; texts meet by digest."""
     n = F.trim(F.regexp_replace(F.lower(F.col("text")), r"\s+", " "))
-    u = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n")).groupBy("n").agg(F.min("id").alias("id"))
-    return u.select("id", F.array_distinct(tx.shingles(F.col("n"))).alias("shingles"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n"))
+    firsts = similarity.kept(rows.groupBy(F.sha2(F.col("n").cast("binary"), 256)).agg(F.min("id").alias("id")).select("id"), "first-texts")
+    return rows.join(firsts, "id", "left_semi").select("id", F.transform(tx.shingles(F.col("n")), lambda x: F.xxhash64(x)).alias("shingles"))
 
 
 @query(f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.7")
 def jaccard_pairs(spark, sf_dir):
     """Pairs of distinct texts of all documents whose word shingles agree."""
-    return similarity.jaccard_pairs(similarity.kept(_sets(spark, sf_dir)), 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.jaccard_pairs(_sets(spark, sf_dir), 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def leader_clusters(spark, sf_dir):
     """Each distinct text joins the first leader it is like; a walk in order of ids."""
-    s = similarity.kept(_sets(spark, sf_dir))
+    s = _sets(spark, sf_dir)
     return similarity.leaders(similarity.jaccard_pairs(s, 0.7).select("a", "b"), s.select("id"))
 
 
