@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from quillmesh.functions import text as tx
 
 _PHONE = r"(?:\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})|(?:\+\d{1,3}[-.\s]?)?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"
 _TWO_URLS = r"(?:https?://|www\.|t\.me|bit\.ly).*(?:https?://|www\.|t\.me|bit\.ly)"
+_WORD = r"\p{L}\p{N}_"
+_EDGE = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+_URL_PIECES = ("http://", "https://", "www.", "t.me", "bit.ly")
 
 
 @dataclass(frozen=True)
@@ -26,24 +31,32 @@ class Check:
     cap: float = 1.0
     cased: bool = False
     count: str | None = None  # counts matches of this instead
+    pieces: tuple[str, ...] = ()  # each match contains one of these, in lower case,
+    digits: bool = False  # or a digit
 
     def needles(self) -> list[str]:
-        """For a plain list of words: a piece of each that its matches contain in lower case; else nothing."""
+        """Pieces one of which is in every text that matches, in lower case; none where no such pieces are known.
+
+        For a plain list of words: the longest literal piece of each; of some patterns they are given beside it.
+        """
+        if self.pieces:
+            return sorted(self.pieces)
         m = re.fullmatch(r"\\b\(\?:((?:[^()\[\]{}+]|\.\*)*)\)\\b", self.pattern)
         pieces = [max(re.split(r"[^\w ]", re.sub(r"\w\\?\?", " ", x.lower())), key=len).strip() for x in m[1].split("|")] if m else []
         return sorted(set(pieces)) if pieces and all(pieces) else []
 
-    def matches(self, text: Column, lower: Column) -> Column:
-        """Matches; where a word list's pieces are all absent the pattern isn't tried."""
-        found = self._matches(text)
-        needles = self.needles()
-        chain = F.lit(False)
-        for x in needles:
-            chain = chain | F.contains(lower, F.lit(x))
-        return F.when(chain, found).otherwise(0) if needles else found
+    @property
+    def gated(self) -> bool:
+        return self.digits or bool(self.needles())
+
+    def matches(self, text: Column, may: Column) -> Column:
+        """Matches; not tried where `may` says that there can be none."""
+        return F.when(may, self._matches(text)).otherwise(0) if self.gated else self._matches(text)
 
     def _matches(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(("(?dmU)" if self.cased else "(?diuUm)") + self.pattern))
+        """Marks, such as those of emoji, are no part of words here, unlike in Java's own \\b and \\w."""
+        pattern = self.pattern.replace(r"\b", _EDGE).replace(r"\w", _WORD)
+        return F.regexp_count(text, F.lit(("(?dmU)" if self.cased else "(?diuUm)") + pattern))
 
     def score(self, text: Column, matches: Column) -> Column:
         if not self.step:
@@ -60,9 +73,9 @@ COMMERCIAL = (
     Check("promotion", "Commercial promotion", r"\b(?:акция|скидка|распродажа|sale|discount|promotion|limited time|special offer|предложение|специальное|бесплатно|free|bonus|gift|подарок|бонус)\b", 0.7, 0.1, 0.95),
     Check("service_offer", "Service offer", r"\b(?:услуги|услуга|service|services|предлагаю|offer|предложение|available|доступно|оказываю|выполню|сделаю|делаю)\b", 0.5, 0.1, 0.85),
     Check("contact_info", "Contact request (commercial context)", r"\b(?:пиши|write|dm|pm|contact|связь|связаться|звоните|позвони|call|whatsapp|messenger|тг|т\.?м\.?е\.?)\b", 0.5, 0.1, 0.85),
-    Check("price_mention", "Price or money mention", r"\b(?:\$\d+|\d+\s*\$|\d+\s*(?:руб|rub|usd|eur|€|₽)|цена|стоимость|price|cost|стоит|от\s*\d+|\d+\s*за)\b", 0.5, 0.1, 0.85),
-    Check("multiple_urls", "Multiple URLs (commercial spam indicator)", _TWO_URLS, 0.5, 0.15, 0.9),
-    Check("messenger_link", "Telegram link (commercial spam indicator)", r"(?:https?://)?(?:t\.me|messenger\.me)/[^\s]+", 0.5, 0.15, 0.9),
+    Check("price_mention", "Price or money mention", r"\b(?:\$\d+|\d+\s*\$|\d+\s*(?:руб|rub|usd|eur|€|₽)|цена|стоимость|price|cost|стоит|от\s*\d+|\d+\s*за)\b", 0.5, 0.1, 0.85, pieces=("цена", "стоимость", "price", "cost", "стоит"), digits=True),
+    Check("multiple_urls", "Multiple URLs (commercial spam indicator)", _TWO_URLS, 0.5, 0.15, 0.9, pieces=_URL_PIECES),
+    Check("messenger_link", "Telegram link (commercial spam indicator)", r"(?:https?://)?(?:t\.me|messenger\.me)/[^\s]+", 0.5, 0.15, 0.9, pieces=("t.me/", "messenger.me/")),
     Check("excessive_emoji", "Excessive emojis (commercial spam pattern)", ".*".join([tx.EMOJI] * 4), 0.4, 0.03, 0.85, True, tx.EMOJI),
     Check("excessive_caps", "Excessive capitalization", r"[A-ZА-ЯЁ]{10,}", 0.55, cased=True),
     Check("repeated_symbols", "Repeated characters/symbols", tx.REPEATED, 0.55, cased=True),
@@ -71,9 +84,9 @@ COMMERCIAL = (
     Check("phishing_account_issue", "Phishing: Account issue threat", r"\b(?:account suspended|аккаунт заблокирован|account locked|account has been locked|блокировка аккаунта|account deactivated|аккаунт деактивирован|account problem|проблема с аккаунтом|account closure|закрытие аккаунта|unauthorized access|несанкционированный доступ|unlock your account|разблокировать аккаунт)\b", 0.75, 0.1, 0.95),
     Check("phishing_payment_request", "Phishing: Payment request", r"\b(?:payment required|требуется оплата|payment overdue|просрочен платеж|payment failed|платеж не прошел|update payment|обновить платеж|payment information|платежная информация|billing information|платежные данные)\b", 0.75, 0.1, 0.95),
     Check("phishing_credentials", "Phishing: Credentials request", r"\b(?:password|пароль|login|логин|username|имя пользователя|credentials|учетные данные|security code|код безопасности|verification code|код подтверждения|PIN|пин-код|enter your|введите ваш|your password|ваш пароль)\b", 0.65, 0.1, 0.9),
-    Check("phishing_suspicious_link", "Phishing: Suspicious link request", r"(?:click here|нажмите здесь|click link|перейдите по ссылке|follow link|follow this link|open link|откройте ссылку).*(?:http|https|www\.|bit\.ly|t\.me|goo\.gl|tinyurl)", 0.65, 0.1, 0.9),
-    Check("phone", "Phone number (commercial context)", _PHONE, 0.6),
-    Check("short_commercial", "Short commercial phrase", r"^(?:пиши|готов|интересно|write|dm|pm|купить|продать|продам|куплю)\s*[!?]*\s*$", 0.5),
+    Check("phishing_suspicious_link", "Phishing: Suspicious link request", r"(?:click here|нажмите здесь|click link|перейдите по ссылке|follow link|follow this link|open link|откройте ссылку).*(?:http|https|www\.|bit\.ly|t\.me|goo\.gl|tinyurl)", 0.65, 0.1, 0.9, pieces=("click here", "нажмите здесь", "click link", "перейдите по ссылке", "follow link", "follow this link", "open link", "откройте ссылку")),
+    Check("phone", "Phone number (commercial context)", _PHONE, 0.6, digits=True),
+    Check("short_commercial", "Short commercial phrase", r"^(?:пиши|готов|интересно|write|dm|pm|купить|продать|продам|куплю)\s*[!?]*\s*$", 0.5, pieces=("пиши", "готов", "интересно", "write", "dm", "pm", "купить", "продать", "продам", "куплю")),
 )
 
 # Words without which short messages are not commercial.
@@ -87,9 +100,9 @@ SHORT_WORDS = (
 
 # Names, reasons, patterns and weights of the generic pack.
 GENERIC = (
-    Check("url", "Contains URL", r"\b(?:https?://|www\.)[\w\-]+(\.[\w\-]+)+(?:/[\w\-._~:/?#\[\]@!$&'()*+,;=%]*)?", 0.0, 0.35, 0.9),
-    Check("phone", "Contains phone number", _PHONE, 0.0, 0.35, 0.9),
-    Check("email", "Contains email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.0, 0.35, 0.9),
+    Check("url", "Contains URL", r"\b(?:https?://|www\.)[\w\-]+(\.[\w\-]+)+(?:/[\w\-._~:/?#\[\]@!$&'()*+,;=%]*)?", 0.0, 0.35, 0.9, pieces=("http://", "https://", "www.")),
+    Check("phone", "Contains phone number", _PHONE, 0.0, 0.35, 0.9, digits=True),
+    Check("email", "Contains email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.0, 0.35, 0.9, pieces=("@",)),
     Check("crypto_wallet", "Contains cryptocurrency wallet", r"\b(?:0x[a-fA-F0-9]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-z0-9]{39,59})\b", 0.0, 0.35, 0.9),
     Check("scam_phrase", "Contains scam phrase", r"\b(?:click here|urgent|limited time|act now|free money|guaranteed|no risk|congratulations|winner|prize|claim now|click below|verify account|suspended|locked|expire|immediate action)\b", 0.0, 0.35, 0.9),
     Check("excessive_caps", "Excessive capitalization", r"[A-Z]{5,}", 0.0, 0.35, 0.9, True),
@@ -99,8 +112,8 @@ GENERIC = (
     Check("adult_service", "Adult service indicator", r"\b(?:meet up|meet now|встречусь|available|свободна|скучно|пиши|работаю❤️|men should message|впишусь|впишу|ready vcs|open vcs|escort|adult|content available|cp|tn|gv|tf|sl|id|svc)\b", 0.0, 0.35, 0.9),
     Check("repetitive_emoji", "Repetitive emoji or symbol pattern", r"(.)\1{3,}", 0.0, 0.35, 0.9, True),
     Check("sale_promotion", "Sale or promotion", r"\b(?:sale|discount|promotion|limited time|special offer|акция|скидка|распродажа|предложение|специальное)\b", 0.0, 0.35, 0.9),
-    Check("short_spam_phrase", "Short spam phrase", r"^(?:пиши|готов|интересно|write|dm|pm)\s*[!?]*\s*$", 0.0, 0.35, 0.9),
-    Check("multiple_urls", "Multiple URLs detected", _TWO_URLS, 0.0, 0.4, 0.9),
+    Check("short_spam_phrase", "Short spam phrase", r"^(?:пиши|готов|интересно|write|dm|pm)\s*[!?]*\s*$", 0.0, 0.35, 0.9, pieces=("пиши", "готов", "интересно", "write", "dm", "pm")),
+    Check("multiple_urls", "Multiple URLs detected", _TWO_URLS, 0.0, 0.4, 0.9, pieces=_URL_PIECES),
 )
 
 
@@ -108,19 +121,60 @@ def _found(name: str, reason: str, score: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), F.lit(reason).alias("reason"), score.cast("double").alias("score"))
 
 
+def _gate(checks):
+    """A column function of the text in lower case: bit i says that check i may match, found for all checks in one walk of an
+    automaton of their pieces. Checks without pieces, and null texts, have no bits."""
+    needles = [c.needles() for c in checks]
+    digits = sum(1 << i for i, c in enumerate(checks) if c.digits)
+
+    @F.arrow_udf("long")
+    def may(lower: pa.Array) -> pa.Array:
+        automaton = _automaton(tuple(map(tuple, needles)))
+        digit = re.compile(r"\d").search
+        out = []
+        for x in lower:
+            text, bits = x.as_py(), 0
+            if text:
+                for _, own in automaton.iter(text):
+                    bits |= own
+                if digits and digit(text):
+                    bits |= digits
+            out.append(bits)
+        return pa.array(out, pa.int64())
+
+    return may
+
+
+@functools.cache
+def _automaton(needles: tuple[tuple[str, ...], ...]):
+    import ahocorasick
+
+    bits: dict[str, int] = {}
+    for i, own in enumerate(needles):
+        for x in own:
+            bits[x] = bits.get(x, 0) | 1 << i
+    out = ahocorasick.Automaton()
+    for x, own in bits.items():
+        out.add_word(x, own)
+    out.make_automaton()
+    return out
+
+
 def _pack(text: Column, checks, more) -> Column:
     """Array of (name, reason, score) of what matches, in the order of the pack."""
 
     def run(both: Column) -> Column:
-        t, lower = both["t"], both["l"]
+        t, gate = both["t"], both["g"]
 
-        def test(c: Check) -> Column:
-            return tx.let(c.matches(t, lower), lambda n: F.when(n > 0, _found(c.name, c.reason, c.score(t, n))))
+        def test(i: int, c: Check) -> Column:
+            n = c.matches(t, gate.bitwiseAND(F.lit(1 << i)) != 0)
+            return tx.let(n, lambda n: F.when(n > 0, _found(c.name, c.reason, c.score(t, n))))
 
-        tests = [test(c) for c in checks]
+        tests = [test(i, c) for i, c in enumerate(checks)]
         return F.filter(F.array(*tests, *more), lambda x: x.isNotNull())
 
-    return tx.let(F.struct(text.alias("t"), F.translate(F.lower(text), "ſ", "s").alias("l")), run)
+    lower = F.translate(F.lower(text), "ſ", "s")
+    return tx.let(F.struct(text.alias("t"), _gate(checks)(lower).alias("g")), run)
 
 
 def commercial(text: Column) -> Column:
