@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
 from quillmesh.operators import replay
+from quillmesh.operators.validation import judged, problem, retarget  # noqa: F401  a part of rules for its users
 
-COLUMNS = ("id", "external_id", "timestamp", "text", "language", "source", "sender", "is_spam", "tas_action", "user_complaint", "unbanned", "meta", "created_at")
 STATUSES = ("candidate", "shadow", "active", "deprecated")
 
 
@@ -101,89 +100,6 @@ def _context(more: Iterable[str] = ()) -> str:
     return "(" + " OR ".join(contains(n) for n in needles) + ")"
 
 
-# ---- validation -------------------------------------------------------------------------------------------------------
-
-
-def _walk(node):
-    """A plan's or an expression's nodes, itself first."""
-    yield node
-    below = [node.children()] + ([node.innerChildren()] if node.nodeName() == "UnresolvedWith" else [])
-    for children in below:
-        for i in range(children.size()):
-            yield from _walk(children.apply(i))
-
-
-#: The nodes that a rule's parsed query may have.
-_ALLOWED = {"Project", "Filter", "UnresolvedRelation", "SubqueryAlias", "Sort", "GlobalLimit", "LocalLimit", "UnresolvedWith", "Distinct"}
-
-
-def problem(spark: SparkSession, sql: str, columns: Sequence[str] = COLUMNS, table: str = "messages") -> str | None:
-    """Why a rule's SQL must not run, or None.
-
-    Checked on the nodes of the plans: one query of the table alone, without subqueries, over known columns, whose optimised
-    plan has a filter that is more than null checks and constants, and which leaves out some of a few dozen unlike rows. The
-    SQL is run as it is, in a session where the table's name is that of the rows; words inside literals never count.
-    """
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception as error:  # noqa: BLE001  any parser error is the answer
-        return f"cannot be parsed: {str(error).splitlines()[0][:200]}"
-    nodes = list(_walk(plan))
-    if other := [n.nodeName() for n in nodes if n.nodeName() not in _ALLOWED]:
-        return f"only a filter query is allowed, not {other[0]}"
-    relations = [n.tableName().strip("`").lower() for n in nodes if n.nodeName() == "UnresolvedRelation"]
-    named = {n.alias().lower() for n in nodes if n.nodeName() == "SubqueryAlias"}
-    if table not in relations or (bad := [r for r in relations if r != table and r not in named]):
-        return f"only {table} may be read, not {bad[0] if table in relations else 'nothing'}"
-    for node in nodes:
-        found = node.expressions()
-        for i in range(found.size()):
-            if any(e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "UnresolvedSubquery") for e in _walk(found.apply(i))):
-                return "subqueries are not allowed"
-    kinds = {"is_spam": F.col("id") % 2 > 0, "user_complaint": F.col("id") % 3 > 1, "unbanned": F.col("id") % 5 > 2, "timestamp": F.timestamp_seconds(F.col("id") * 40_000_000), "created_at": F.timestamp_seconds(F.col("id") * 40_000_000), "id": F.col("id"), "sender": F.col("id")}
-    varied = F.when(F.col("id") == 0, "").otherwise(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, F.col("id").cast("int")))
-    apart = spark.newSession()
-    rows = apart.range(33)
-    rows.select(*[kinds.get(c, varied).alias(c) for c in columns]).createOrReplaceTempView(table)
-    try:
-        query = apart.sql(sql)
-        optimized = list(_walk(query._jdf.queryExecution().optimizedPlan()))
-        filters = [n.condition() for n in optimized if n.nodeName() == "Filter"]
-        if not any(_tests_something(c) for c in filters) or query.count() == 33:
-            return "matches everything or nothing"
-    except Exception as error:  # noqa: BLE001
-        return f"does not resolve: {str(error).splitlines()[0][:200]}"
-    return None
-
-
-def _tests_something(condition) -> bool:
-    """Whether a condition's conjuncts hold more than null checks and constants."""
-    kind = condition.getClass().getSimpleName()
-    if kind == "And":
-        return _tests_something(condition.left()) or _tests_something(condition.right())
-    return kind not in ("IsNotNull", "IsNull", "Literal") and not condition.foldable()
-
-
-def retarget(spark: SparkSession, sql: str, table: str = "messages") -> str:
-    """A rule's SQL with a missing FROM put in and wrong tables replaced, where the parser finds them; literals stay."""
-    out = sql.strip().rstrip(";")
-    spans = re.finditer(r"'(?:[^'\\]|\\.|'')*'|(?P<word>\b(?:from|where)\b)", out, re.I | re.S)
-    words = [(m.group().lower(), m.start()) for m in spans if m["word"]]
-    if words and not any(w == "from" for w, _ in words):
-        at = words[0][1]
-        return f"{out[:at].rstrip()} FROM {table} {out[at:]}"
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(out)
-    places = [n.origin() for n in _walk(plan) if n.nodeName() == "UnresolvedRelation"]
-    for start, stop in sorted(((o.startIndex().get(), o.stopIndex().get()) for o in places), reverse=True):
-        out = out[:start] + re.sub(r"^[`\w.]+", table, out[start : stop + 1]) + out[stop + 1 :]
-    return out
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate for a query: a guard against costly rules over files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 # ---- replay -----------------------------------------------------------------------------------------------------------
 
 

@@ -56,6 +56,24 @@ def rule_flat_or_replay(spark, sf_dir):
     return rl.flat_or(messages(spark, sf_dir), needles)
 
 
+#: Rules as they may arrive: a clause, and whether it may be run.
+_ARRIVING = [("contains(lower(text), 'trash')", True), ("text RLIKE '.*'", False), ("coalesce(reflect('java.lang.System', 'getProperty', text), 'q') = '3'", False), ("lower(text) LIKE '%free%' AND NOT coalesce(user_complaint, false)", True), ("rand() < 0.5", False), ("text = text", False), ("length(text) > 2000", True), ("id IN (SELECT id FROM messages)", False)]
+_ARRIVED = ", ".join("({}::BIGINT, {})".format(i, "true" if ok else "false") for i, (_, ok) in enumerate(_ARRIVING, 1))
+
+
+@query(f"""WITH {MESSAGES}, a(rule_id, accepted) AS (VALUES {_ARRIVED}),
+h AS (SELECT 1::BIGINT AS rule_id, id FROM messages WHERE contains(lower(text), 'trash') UNION ALL SELECT 4, id FROM messages WHERE contains(lower(text), 'free') AND NOT coalesce(user_complaint, false) UNION ALL SELECT 7, id FROM messages WHERE length(text) > 2000)
+SELECT a.rule_id, accepted, count(h.id) AS hits FROM a LEFT JOIN h USING (rule_id) GROUP BY a.rule_id, accepted""")
+def rules_judged(spark, sf_dir):
+    """Arriving rules judged from their plans; those accepted are replayed over all messages."""
+    m = messages(spark, sf_dir)
+    arriving = spark.createDataFrame([(i, f"SELECT id, is_spam FROM messages WHERE {c}") for i, (c, _) in enumerate(_ARRIVING, 1)], "rule_id long, sql_expression string")
+    found = rl.judged(arriving, m)
+    taken = {r.rule_id for r in found.where("accepted").collect()}
+    counts = rl.hits(m, [rl.Rule(i, c) for i, (c, _) in enumerate(_ARRIVING, 1) if i in taken]).groupBy("rule_id").agg(F.count("*").alias("hits"))
+    return found.join(counts, "rule_id", "left").select("rule_id", "accepted", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 _THOUSAND = """k AS (SELECT key, row_number() OVER (ORDER BY count(*) DESC, key) - 1 AS place FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key FROM messages) WHERE length(key) >= 4 GROUP BY key QUALIFY place < 1000),
 n AS (SELECT count(*) AS n FROM k), x AS (SELECT k.place AS rule_id, k.key AS a, b.key AS b, CASE WHEN k.place % 2 = 1 THEN c.key ELSE '' END AS c FROM k, n JOIN k b ON b.place = k.place * 7 % n.n JOIN k c ON c.place = (k.place * 13 + 5) % n.n)"""
 
