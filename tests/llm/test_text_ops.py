@@ -212,3 +212,25 @@ def test_tiles_stay_exact():
 def test_search_empty(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string, item_id long"), spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, item_id long")
     assert ranking.search(none, some).collect() == ranking.search(some, none).collect() == ranking.search(none, none).collect() == []
+
+
+# ---- media, packing order of their own -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("piece", [b"%PDF-1 ", b"GIF89aabcdefg,", b"%PDF-1 %%EOF ", b"%PDF-1 startxref "])
+def test_many_magic_bytes_cost_one_search(piece):
+    """A payload of magic bytes alone is checked in time that grows with its length."""
+    import time
+
+    from quillmesh.llm import media
+
+    began = time.perf_counter()
+    assert media.sniffer().find(piece * 60_000 + b"\0" * 64) == []
+    assert time.perf_counter() - began < 8
+
+
+def test_pdf_marks():
+    from quillmesh.llm import media
+
+    find = media.sniffer().find
+    assert find(b"x%PDF-1.4 startxref 9 %%EOF y %PDF-x startxref %%EOF %PDF-2 %%EOF startxref %PDF-3 startxref%%EOF") == [("application/pdf", 1, 26), ("application/pdf", 76, 21)]
