@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quillmesh.sources import files
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -31,7 +32,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = d.join(lab, "doc_id", "left").join(e, F.col("doc_id") == F.col("event_id"), "left").join(p, F.col("doc_id") == F.col("page_id"), "left")
     return joined.select(
         F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("external_id"), F.col("ts").alias("timestamp"),
-        F.when(F.col("url").isNull(), F.col("text")).otherwise(F.concat_ws(" ", "text", "url")).alias("text"), F.col("lang").alias("language"), "source", F.col("user_id").alias("sender"),
+        F.when(F.col("url").isNull(), F.col("text")).otherwise(F.concat(F.col("text"), F.lit(" "), F.col("url"))).alias("text"), F.col("lang").alias("language"), "source", F.col("user_id").alias("sender"),
         F.when(F.col("toxic") == 1, True).when(F.col("toxic") == 0, False).alias("is_spam"),
         F.when(F.col("event_type") == "error", "blocked").otherwise("allowed").alias("tas_action"),
         (F.col("event_type") == "purchase").alias("user_complaint"), (F.col("event_type") == "signup").alias("unbanned"),
@@ -62,54 +63,50 @@ def normalised(rows: DataFrame, as_of, since=None) -> DataFrame:
 
     Rows without text are left out, as are those before `since`.
     """
-    used = {n for names in ALIASES.values() for n in names}
-    meta = [c for c in rows.columns if c.lower() not in used and c not in ("raw_entry", "row_data")]
+    meta = [c for c in rows.columns if c.lower() not in _USED and c not in ("raw_entry", "row_data")]
     pairs = [x for c in meta for x in (F.lit(c), F.col(c).cast("string"))]
     packed = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    return _messages(rows, lambda names: first_of(rows, names), packed, as_of, since)
+
+
+def normalised_entries(entries: DataFrame, as_of, since=None) -> DataFrame:
+    """Entries of files (see sources.files) as message rows: as normalised(), with the fields that each entry has."""
+    value = lambda names: F.coalesce(*[F.col("entry")[n] for n in names])
+    packed = F.map_filter("entry", lambda k, v: v.isNotNull() & ~F.lower(k).isin(*sorted(_USED), "raw_entry", "row_data"))
+    return _messages(entries, value, packed, as_of, since)
+
+
+_USED = {n for names in ALIASES.values() for n in names}
+
+
+def _messages(rows: DataFrame, value, meta: Column, as_of, since) -> DataFrame:
     out = rows.select(
-        first_of(rows, ALIASES["external_id"]).alias("external_id"), timestamp(first_of(rows, ALIASES["timestamp"]), F.lit(as_of)).alias("timestamp"),
-        first_of(rows, ALIASES["text"]).alias("text"), label(first_of(rows, ALIASES["is_spam"])).alias("is_spam"), first_of(rows, ALIASES["tas_action"]).alias("tas_action"),
-        F.coalesce(label(first_of(rows, ALIASES["user_complaint"])), F.lit(False)).alias("user_complaint"), F.coalesce(label(first_of(rows, ALIASES["unbanned"])), F.lit(False)).alias("unbanned"), packed.alias("meta"),
+        value(ALIASES["external_id"]).alias("external_id"), timestamp(value(ALIASES["timestamp"]), F.lit(as_of)).alias("timestamp"),
+        value(ALIASES["text"]).alias("text"), label(value(ALIASES["is_spam"])).alias("is_spam"), value(ALIASES["tas_action"]).alias("tas_action"),
+        F.coalesce(label(value(ALIASES["user_complaint"])), F.lit(False)).alias("user_complaint"), F.coalesce(label(value(ALIASES["unbanned"])), F.lit(False)).alias("unbanned"), meta.alias("meta"),
     ).where("text is not null and trim(text) <> ''")
     return out if since is None else out.where(F.col("timestamp") >= F.lit(since))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines, or files that hold one array, or one object with the rows under logs, data or messages; malformed lines
-    are skipped."""
-    reader = spark.read.option("mode", "DROPMALFORMED")
-    rows = (reader.schema(schema) if schema else reader).json(path)
-    wrapped = [c for c in ("logs", "data", "messages") if c in rows.columns and isinstance(rows.schema[c].dataType, T.ArrayType)]
-    if wrapped or not rows.columns or rows.columns == ["_corrupt_record"]:
-        rows = reader.option("multiLine", True).json(path)
-        for name in [c for c in ("logs", "data", "messages") if c in rows.columns and isinstance(rows.schema[c].dataType, T.ArrayType)][:1]:
-            rows = rows.select(F.explode(name).alias("_one")).select("_one.*")
-    return rows
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def read_storage(spark: SparkSession, folder: str, as_of, since=None) -> DataFrame:
-    """All .json and .csv files of a folder as message rows."""
-    parts = []
-    for kind, read in (("json", read_json), ("jsonl", read_json), ("csv", read_csv)):
-        path = f"{folder.rstrip('/')}/*.{kind}"
-        files = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files):
-            parts.append(normalised(read(spark, path), as_of, since))
-    if not parts:
-        raise ValueError(f"no .json, .jsonl or .csv files in {folder}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Moderators' reports: (report_id, text, is_spam); rows without text or label are left out."""
-    rows = read_csv(spark, path)
+def read_storage(spark: SparkSession, path: str, as_of, since=None, stream: bool = False) -> DataFrame:
+    """A file, or all .json, .jsonl and .csv files of a folder, as message rows; each file is read by what it holds. As a
+    stream, files that come to the folder later are read too."""
+    if any(path.lower().endswith(e) for e in (*files.WHOLE, *files.LINES)):
+        return normalised_entries(files.read_file(spark, path, stream=stream), as_of, since)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*.{" + ",".join(e[1:] for e in (*files.WHOLE, *files.LINES)) + "}")
+    if not stream and not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        raise ValueError(f"no .json, .jsonl or .csv files in {path}")
+    return normalised_entries(files.read_folder(spark, path, stream), as_of, since)
+
+
+def read_reports(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Moderators' reports, CSV files: (report_id, text, is_spam); rows without text or label are left out. As a stream, each
+    file that comes to the folder is read once."""
+    rows = files.columns_of(files.read_file(spark, path, "csv", stream), "Report ID", "Message Content", "Is Spam")
     out = rows.select(F.col("Report ID").alias("report_id"), F.trim("Message Content").alias("text"), label(F.col("Is Spam")).alias("is_spam"))
     return out.where("text <> '' and is_spam is not null")
 
@@ -138,14 +135,13 @@ def platform_messages(records: DataFrame, as_of) -> DataFrame:
 
 
 def recent(rows: DataFrame, as_of, days: int, limit: int | None = None, is_spam: bool | None = None, after_id: int | None = None) -> DataFrame:
-    """Messages of the last days, newest first; the filters reach the scan."""
+    """Messages of the last days; the filters reach the scan. With a limit those that are newest, in that order."""
     out = rows.where(F.col("timestamp") >= F.lit(as_of) - F.make_interval(days=F.lit(days)))
     if is_spam is not None:
         out = out.where(F.col("is_spam") == is_spam)
     if after_id is not None:
         out = out.where(F.col("id") > after_id)
-    out = out.orderBy(F.desc("timestamp"), F.desc("id"))
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
 
 
 def latest(rows: DataFrame) -> DataFrame:
