@@ -42,17 +42,17 @@ def old_blocking_combined(spark, sf_dir):
     return messages(spark, sf_dir).where(blocking.old_combined()).select("id", "is_spam")
 
 
-#: Texts are cut to lengths that the language rules and the score are made for, and get some of their words.
-_SHORTENED = "substr(text, 1, 40) || CASE id % 5 WHEN 0 THEN ' buy!' WHEN 1 THEN ' sell this car!' WHEN 2 THEN ' job!' WHEN 3 THEN ' Продам!' ELSE ' набираю?' END"
+#: Whole texts with some of the words that the language rules and the score look for after them.
+_WORDED = "text || CASE id % 5 WHEN 0 THEN ' buy!' WHEN 1 THEN ' sell this car!' WHEN 2 THEN ' job!' WHEN 3 THEN ' Продам!' ELSE ' набираю?' END"
 
 
-@query(f"WITH {MESSAGES}, s AS (SELECT id, {_SHORTENED} AS text FROM messages) SELECT id, ({blocking.by_language()['ru']}) AS ru, ({blocking.by_language()['en']}) AS en FROM s")
+@query(f"WITH {MESSAGES}, s AS (SELECT id, {_WORDED} AS text FROM messages) SELECT id, ({blocking.by_language()['ru']}) AS ru, ({blocking.by_language()['en']}) AS en FROM s")
 def language_rules(spark, sf_dir):
-    rows = messages(spark, sf_dir).select("id", F.expr(_SHORTENED).alias("text"))
+    rows = messages(spark, sf_dir).select("id", F.expr(_WORDED).alias("text"))
     return rows.select("id", *[F.expr(p).alias(k) for k, p in blocking.by_language().items()])
 
 
-_CONTACT = "substr(text, 1, 200 + id % 200) || CASE id % 6 WHEN 0 THEN ' продаю t.me/shop +7 900 123 45 67' WHEN 1 THEN ' 555-123-4567 discount' WHEN 2 THEN ' 500 руб' WHEN 3 THEN ' работа me@shop.ru' ELSE '' END"
+_CONTACT = "text || CASE id % 6 WHEN 0 THEN ' продаю t.me/shop +7 900 123 45 67' WHEN 1 THEN ' 555-123-4567 discount' WHEN 2 THEN ' 500 руб' WHEN 3 THEN ' работа me@shop.ru' ELSE '' END"
 _PRE = f"""senders AS (SELECT sender, count(*) AS message_count, min(id) AS first_id, avg(CASE WHEN is_spam THEN 0.0 ELSE 1.0 END) AS sender_reputation FROM messages WHERE sender IS NOT NULL GROUP BY sender),
 pre AS (SELECT m.id, t.text, lower(replace(t.text, 'ё', 'е')) AS n, coalesce(m.id = s.first_id, FALSE) AS is_first_message, coalesce(s.message_count, 0) AS message_count, s.sender_reputation, NULL::BIGINT AS message_count_recent_5min
   FROM messages m JOIN (SELECT id, {_CONTACT} AS text FROM messages) t USING (id) LEFT JOIN senders s ON s.sender = m.sender)"""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
 from quillmesh.operators import signals
 from quillmesh.plans.base import MESSAGES, messages, query, table
 from quillmesh.plans.text_queries import SIGNATURE_SQL
-from quillmesh.sources.messages import new_rows
+from quillmesh.session import shared_dir
+from quillmesh.sources.messages import new_rows, read_storage
 
 _SPAM = f"{MESSAGES}, spam AS (SELECT * FROM messages WHERE is_spam), ham AS (SELECT * FROM messages WHERE NOT is_spam)"
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
@@ -131,6 +135,18 @@ def message_buckets(spark, sf_dir):
     return signals.counted(messages(spark, sf_dir), signals.bucket_tags(F.col("text")), "bucket").select("key", "cnt")
 
 
+@query("SELECT conv_id::VARCHAR || '-' || turn AS external_id, text, role = 'user' AS is_spam, CASE WHEN turn % 2 = 0 THEN 'json' ELSE 'csv' END AS form, turn::VARCHAR AS turn FROM conversations WHERE trim(text) <> ''")
+def storage_scan(spark, sf_dir):
+    """All conversations written as files of two forms into one folder, and read back by what each file holds."""
+    c = table(spark, sf_dir, "conversations").withColumn("message_id", F.concat_ws("-", "conv_id", "turn"))
+    folder = f"{shared_dir(spark)}/storage-{uuid.uuid4().hex[:12]}"
+    label = F.when(F.col("role") == "user", "spam").otherwise("ham")
+    c.where("turn % 2 = 0").select("message_id", F.col("text").alias("content"), label.alias("label"), F.lit("json").alias("form"), "turn").write.mode("append").json(folder)
+    c.where("turn % 2 <> 0").select("turn", F.lit("csv").alias("form"), "message_id", label.alias("spam"), "text").write.mode("append").option("header", True).option("escape", '"').csv(folder)
+    rows = read_storage(spark, folder, dt.datetime(2024, 1, 1))
+    return rows.select("external_id", "text", "is_spam", F.col("meta")["form"].alias("form"), F.col("meta")["turn"].alias("turn"))
+
+
 @query(f"WITH {MESSAGES} SELECT external_id, id FROM messages WHERE id % 2 <> 0")
 def ingest_dedupe_antijoin(spark, sf_dir):
     """All messages arrive where those of even ids are stored; what is new goes in."""
