@@ -28,18 +28,64 @@ def usage_report(events: DataFrame, start, end) -> DataFrame:
     return e.rollup("event_type").agg(F.count("*").alias("calls"), F.sum("value").alias("cost")).withColumn("event_type", F.coalesce("event_type", F.lit("all")))
 
 
-def budgets(events: DataFrame, limit: float, period: str = "day", warn: float = 0.8) -> DataFrame:
-    """Each event with the running cost of its key and period, and its state; once exceeded, a period stays so."""
-    w = Window.partitionBy("user_id", F.date_trunc(period, "ts")).orderBy("ts", "event_id")
-    spent = F.sum(F.greatest(F.col("value"), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = events.withColumn("spent", spent)
+#: Width of the time slices into which the events of a key are cut, so that a hot key is many tasks' work.
+SLICE = 3_600_000_000
+
+
+def sliced(events: DataFrame, reach: int, width: int = SLICE) -> tuple[DataFrame, str, str]:
+    """events by slices of time, for windows that look back `reach` microseconds: (rows, slice column, own column).
+
+    Each event is in the slice of its own time and, as a guest (own is false), in the next one if that may look back to it.
+    Slices are `width` wide, or `reach` if that is more, so no event is more than twice there.
+    """
+    width = max(width, reach)
+    at, own, place = (_free(events.columns, x) for x in ("_slice", "_own", "_place"))
+    t = _micros(F.col("ts"))
+    here = F.floor(t / width)
+    guest = F.when(t >= (here + 1) * width - reach, F.struct((here + 1).alias("at"), F.lit(False).alias("own")))
+    places = F.filter(F.array(F.struct(here.alias("at"), F.lit(True).alias("own")), guest), lambda x: x.isNotNull())
+    out = events.withColumn(place, F.explode(places))
+    return out.withColumn(at, F.col(place)["at"]).withColumn(own, F.col(place)["own"]).drop(place), at, own
+
+
+def _free(columns: list[str], name: str) -> str:
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def budgets(events: DataFrame, limit: float, period: str = "day", warn: float = 0.8, width: int = SLICE) -> DataFrame:
+    """Each event with the running cost of its key and period, and its state; once exceeded, a period stays so.
+
+    Costs run within slices of time; what the period's earlier slices have cost comes from their sums, a row a slice.
+    """
+    at, before, start = (_free(events.columns, x) for x in ("_slice", "_before", "_period"))
+    cost = F.greatest(F.col("value"), F.lit(0.0))
+    rows = events.withColumn(start, F.date_trunc(period, "ts")).withColumn(at, F.floor(_micros(F.col("ts")) / width))
+    sums = rows.groupBy("user_id", start, at).agg(F.sum(cost).alias(before))
+    earlier = Window.partitionBy("user_id", start).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0.0)))
+    names = {c: _free([*rows.columns, before], f"_of_{c}") for c in ("user_id", start, at)}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    joined = rows.join(sums.withColumnsRenamed(names), same, "left").drop(*names.values())
+    within = Window.partitionBy("user_id", start, at).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = joined.withColumn("spent", F.sum(cost).over(within) + F.col(before)).drop(start, at, before)
     return out.withColumn("state", F.when(F.col("spent") >= limit, "exceeded").when(F.col("spent") >= warn * limit, "warning").otherwise("ok"))
 
 
-def recent_count(events: DataFrame, key: str, micros: int, name: str = "recent") -> DataFrame:
-    """Each event with how many of its key fall into the time up to it, itself included."""
-    w = Window.partitionBy(key).orderBy(_micros(F.col("ts"))).rangeBetween(-micros, 0)
-    return events.withColumn(name, F.count("*").over(w))
+def recent_count(events: DataFrame, key: str, micros: int, name: str = "recent", width: int = SLICE) -> DataFrame:
+    """Each event with how many of its key fall into the time up to it, itself included. Events without a time count together."""
+    rows, at, own = sliced(events, micros, width)
+    w = Window.partitionBy(key, at).orderBy(_micros(F.col("ts"))).rangeBetween(-micros, 0)
+    return rows.withColumn(name, F.count("*").over(w)).where(own).drop(at, own)
+
+
+def _since_last(events: DataFrame, key: str, micros: int, name: str, width: int) -> DataFrame:
+    """Each event with whether one of its key came less than so long before it (or at its time, with a smaller id)."""
+    rows, at, own = sliced(events, micros, width)
+    before = F.lag("ts").over(Window.partitionBy(key, at).orderBy("ts", "event_id"))
+    return rows.withColumn(name, F.coalesce(_micros(F.col("ts")) - _micros(before) < micros, F.lit(False))).where(own).drop(at, own)
 
 
 def rate_limit(events: DataFrame, most: int, micros: int = 1_000_000) -> DataFrame:
@@ -51,11 +97,9 @@ def bursts(events: DataFrame, suspicious: Column, most: int = 10, seconds: int =
     return recent_count(events.where(suspicious), "user_id", seconds * 1_000_000).withColumn("denied", F.col("recent") > most)
 
 
-def idempotent(events: DataFrame, key: Column, seconds: int = 3600) -> DataFrame:
+def idempotent(events: DataFrame, key: Column, seconds: int = 3600, width: int = SLICE) -> DataFrame:
     """Each event with its hashed key and whether one with that key came within the time before."""
-    out = events.withColumn("request_key", F.sha2(key.cast("binary"), 256))
-    before = F.lag("ts").over(Window.partitionBy("request_key").orderBy("ts", "event_id"))
-    return out.withColumn("repeated", F.coalesce(_micros(F.col("ts")) - _micros(before) < seconds * 1_000_000, F.lit(False)))
+    return _since_last(events.withColumn("request_key", F.sha2(key.cast("binary"), 256)), "request_key", seconds * 1_000_000, "repeated", width)
 
 
 def windowed(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
@@ -79,14 +123,45 @@ def histogram(events: DataFrame, bounds: list[float], value: str = "value") -> D
     return events.groupBy("event_type").agg(F.count("*").alias("total"), F.sum(value).alias("sum"), *aggs).select("event_type", "sum", F.explode(rows).alias("r")).select("event_type", "sum", "r.le", "r.n")
 
 
-def cache_stats(lookups: DataFrame, key: str, micros: int) -> DataFrame:
-    """Hits, misses and rate of a cache that keeps an entry for a time after its last lookup.
+def cache_hits(lookups: DataFrame, key: str, micros: int, capacity: int | None = None, width: int = SLICE) -> DataFrame:
+    """Each lookup (ts, event_id, key) with whether a cache hits that keeps an entry for a time after its last lookup, and of
+    all entries the `capacity` last looked up.
 
-    Each lookup renews its entry, so a hit is a lookup less than the time after the key's last one.
+    Each lookup renews its entry, so one hits if the key's last lookup is recent enough and fewer than `capacity` other keys
+    have been looked up since. Without a capacity keys are told apart by windows. With one, each slice of time is a
+    task that walks its lookups and those of the time before it in order: what is older can't be hit, nor take up room.
     """
-    before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    hit = F.coalesce(_micros(F.col("ts")) - _micros(before) < micros, F.lit(False))
-    return lookups.withColumn("hit", hit).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), (F.count_if("hit") / F.count("*")).alias("hit_rate"))
+    if capacity is None:
+        return _since_last(lookups, key, micros, "hit", width)
+    import pandas as pd
+
+    rows, at, own = sliced(lookups, micros, width)
+    t = _free(rows.columns, "_t")
+    fields = rows.drop(at, own).schema.add("hit", "boolean")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        from collections import OrderedDict
+
+        held: OrderedDict = OrderedDict()  # key: its last lookup, the oldest first
+        hits = []
+        pdf = pdf.sort_values([t, "event_id"])
+        for k, now in zip(pdf[key].tolist(), pdf[t].tolist()):
+            while held and now - next(iter(held.values())) >= micros:
+                held.popitem(last=False)
+            hits.append(held.pop(k, None) is not None)
+            held[k] = now
+            if len(held) > capacity:
+                held.popitem(last=False)
+        return pdf.assign(hit=hits)[pdf[own]].drop(columns=[t, at, own])
+
+    timed = rows.where(F.col("ts").isNotNull()).withColumn(t, _micros(F.col("ts")))
+    return timed.groupBy(at).applyInPandas(walk, fields)
+
+
+def cache_stats(lookups: DataFrame, key: str, micros: int, capacity: int | None = None) -> DataFrame:
+    """Hits, misses and rate of the cache of cache_hits()."""
+    out = cache_hits(lookups, key, micros, capacity)
+    return out.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), (F.count_if("hit") / F.count("*")).alias("hit_rate"))
 
 
 def older_than(rows: DataFrame, as_of, days: int, column: str = "ts") -> DataFrame:

@@ -207,6 +207,15 @@ def cache_hit_rate(spark, sf_dir):
     return ops.cache_stats(table(spark, sf_dir, "events"), "user_id", 7_200_000_000).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
+@query("""WITH e AS (SELECT event_id, ts, user_id, row_number() OVER (ORDER BY ts, event_id) AS p FROM events), l AS (SELECT *, lag(p) OVER w AS q, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY p)),
+h AS (SELECT l.event_id, l.gap < 7200000000 AND (SELECT count(DISTINCT r.user_id) FROM e r WHERE r.p > l.q AND r.p < l.p) < 20 AS hit FROM l)
+SELECT event_id, coalesce(hit, FALSE) AS hit FROM h""")
+def cache_of_twenty(spark, sf_dir):
+    """Lookups of users in a cache that holds the twenty last ones for two hours."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    return ops.cache_hits(e, "user_id", 7_200_000_000, 20).select("event_id", "hit")
+
+
 @query("WITH t AS (SELECT max(ts) AS now FROM events) SELECT event_id FROM events, t WHERE ts < now - INTERVAL 2 DAY")
 def retention_cleanup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
