@@ -37,10 +37,10 @@ def warnings(sql: str) -> list[str]:
     """What may go wrong with a rule: numbers that are contacts, or short messages."""
     out = []
     if re.search(r"(?i)(?:REGEXP|RLIKE|LIKE).*(?:[+\d\s()-]{10,}|\\d\{\d)", sql):
-        out.append("May flag legitimate contacts - review before production use")
+        out.append("looks for numbers, which are people's contacts too")
     short = re.search(r"(?i)(?:CHAR_)?LEN(?:GTH)?\s*\(\s*TEXT\s*\)\s*<\s*(\d+)", sql)
     if short and int(short[1]) < 20:
-        out.append("May flag legitimate short messages - review precision before use")
+        out.append(f"takes in messages of fewer than {short[1]} characters whatever they say")
     return out
 
 
@@ -55,15 +55,36 @@ def risk(sql: str, evaluation: dict | None = None) -> tuple[str, list[str]]:
     return ("high" if len(found) >= 2 else "medium"), found
 
 
+#: What the messages of a pattern have in common, by the mark in its description; {} is the word after the mark.
+SHARED = (("url pattern", "one address: {}"), ("keyword", "one group of words: {}"), ("signature cluster", "their wording, apart from numbers and links"))
+
+
 def similarity_reason(description: Column) -> Column:
-    """Why a pattern's messages are alike, from its description."""
-    after = lambda mark: F.regexp_extract(description, rf"{mark}\s*(\S+)", 1)
-    return (
-        F.when(F.contains(description, F.lit("URL pattern:")), F.concat(F.lit("Messages contain the same suspicious URL: "), after("URL pattern:")))
-        .when(F.contains(description, F.lit("Keyword:")), F.concat(F.lit("Messages contain the same keyword pattern: "), after("Keyword:")))
-        .when(F.contains(F.lower(description), F.lit("signature cluster")), "Messages share similar text structure and key phrases")
-        .otherwise(F.replace(F.replace(description, F.lit("found in"), F.lit("appears in")), F.lit("spam messages"), F.lit("similar spam messages")))
-    )
+    """What the messages of a pattern share, from its description; the description itself where it has no known mark."""
+    out = None
+    for mark, words in SHARED:
+        before, _, after = words.partition("{}")
+        said = F.concat(F.lit(before), F.regexp_extract(description, rf"(?i){mark}:?\s*(\S*)", 1), F.lit(after)) if "{}" in words else F.lit(words)
+        test = F.contains(F.lower(description), F.lit(mark))
+        out = F.when(test, said) if out is None else out.when(test, said)
+    return out.otherwise(description)
+
+
+def decisions(rules: DataFrame) -> DataFrame:
+    """rules(rule_id, sql_expression, precision, hits_total, ham_hits) with what is decided on each, as columns: kind
+    (dangerous, requires_review, auto_safe), why, warnings (how many), risk (low, medium, high) and insight_only.
+
+    The same decisions as quality.rule_safety, warnings and risk take on one rule, for tables of any size; a rule without
+    an evaluation has nulls there, and a null expression is dangerous.
+    """
+    sql = F.coalesce(F.col("sql_expression"), F.lit(""))
+    numbers = F.regexp_like(sql, F.lit(r"(?i)(?:REGEXP|RLIKE|LIKE).*(?:[+\d\s()-]{10,}|\\d\{\d)"))
+    length = F.regexp_extract(sql, r"(?i)(?:CHAR_)?LEN(?:GTH)?\s*\(\s*TEXT\s*\)\s*<\s*(\d+)", 1)
+    short = F.coalesce(F.try_to_number(length, F.lit("999999999")) < 20, F.lit(False))
+    out = quality.with_safety(rules).withColumn("warnings", numbers.cast("int") + short.cast("int"))
+    risk = F.when(F.col("kind") == "auto_safe", "low").when((F.col("kind") == "dangerous") | (F.col("warnings") >= 2), "high").otherwise("medium")
+    insight = (F.col("kind") == "dangerous") | F.col("why").isin("one test", "alternatives")
+    return out.withColumn("risk", risk).withColumn("insight_only", insight)
 
 
 def explanation(sql: Column) -> Column:

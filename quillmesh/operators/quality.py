@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators import rules as rl
@@ -145,13 +145,77 @@ def rule_safety(sql: str, evaluation: dict | None = None, llm_risk: str | None =
     return "requires_review", "no review model"
 
 
+def with_safety(rules: DataFrame) -> DataFrame:
+    """rules(rule_id, sql_expression, precision, hits_total, ham_hits) with kind and why, the decisions of rule_safety() without
+    a review model, as columns."""
+    sql = F.coalesce(F.col("sql_expression"), F.lit(""))
+    upper = F.upper(sql)
+    found = F.concat(F.regexp_extract_all(sql, F.lit(r"(?i)LIKE\s+'%([^%]+)%'"), F.lit(1)), F.regexp_extract_all(sql, F.lit(r"(?i)contains\(\s*lower\(text\),\s*'((?:[^'\\]|\\.)*)'\)"), F.lit(1)))
+    n, first, both, ors = F.size("_n"), F.get("_n", F.lit(0)), F.contains(upper, F.lit(" AND ")), F.regexp_count(upper, F.lit(" OR "))
+    safe = F.array(*[F.lit(x) for x in SAFE_LITERALS])
+    known = (n > 0) & F.forall("_n", lambda x: F.exists(safe, lambda s: F.contains(x, s)))
+    plain = (F.size(F.regexp_extract_all(first, F.lit(r"\S+"), F.lit(0))) <= 1) & (F.length(first) < 10) & ~F.regexp_like(first, F.lit("[./@:?=&]"))
+    shadow = F.coalesce((F.col("precision") >= 0.95) & (F.col("hits_total") >= 10), F.lit(False))
+    rate = F.try_divide(F.coalesce(F.col("ham_hits").cast("double"), F.lit(0.0)), F.col("hits_total"))
+    cases = [
+        (sql == "", "dangerous", "no expression"), (F.exists("_n", lambda x: F.length(x) < 3), "dangerous", "short words"), (F.exists("_n", lambda x: x.isin(*STOP_WORDS)), "dangerous", "common words"),
+        ((n == 1) & ~both & ~known & plain, "dangerous", "one common word"), (F.regexp_like(upper, F.lit("WHERE (1=1|TRUE)")), "dangerous", "everything"), ((ors >= 3) & ~both, "requires_review", "alternatives"),
+        (ors > 7, "requires_review", "many alternatives"), ((n == 1) & ~both & ~known, "requires_review", "one test"), (shadow & (rate <= 0.01), "auto_safe", "shadow runs"),
+        (shadow, "requires_review", "false positives"), (known & (both | (n == 1)), "auto_safe", "known words"),
+    ]
+    kind, why = F.lit("requires_review"), F.lit("no review")
+    for test, k, w in reversed(cases):
+        kind, why = F.when(test, k).otherwise(kind), F.when(test, w).otherwise(why)
+    return rules.withColumn("_n", F.transform(found, F.lower)).withColumn("kind", kind).withColumn("why", why).drop("_n")
+
+
+# Words that a rule of alternatives is too broad with, texts that are spam alone, and words too common to be a rule.
+RISKY_TEXT = (r"%\b(if|for|on|in|at|to|of|the|a|an)\b%", r"%\b(group|price|contact|service|message)\b%", r"%\b(verify|check|account|security)\b%", r"%\b(buy|sell|sale)\b%", r"%\b(job|work|salary|income)\b%")
+SAFE_TEXT = (r"phishing-link\.org", r"fake-.*\.com", r"scam-.*\.net", r"spam-link\.com", r"suspended.*verify.*now", r"urgent.*verify.*account")
+COMMON_ALONE = ("if", "for", "on", "in", "at", "to", "of", "the", "a", "an", "is", "are", "was", "were")
+SPAM_DOMAIN = r"http[s]?://[^/\s]*(?:phishing|fake|scam|spam)"
+SQL_WORD = r"\b(UPDATE|DELETE|INSERT|DROP|ALTER|CREATE)\b"
+
+
 def static_quality(rules: DataFrame) -> DataFrame:
-    """Of rule text: literals, alternatives, and a risk of false positives by them."""
-    needles = rl.tx.like_literals(F.col("sql_expression"))
-    ors = F.regexp_count(F.upper("sql_expression"), F.lit(" OR "))
-    shortest = F.array_min(F.transform(needles, F.length))
-    risk = F.when((shortest < 4) | (ors > 5), "high").when((shortest < 6) | (ors > 2), "medium").otherwise("low")
-    return rules.select("rule_id", F.size(needles).alias("literals"), ors.alias("alternatives"), shortest.alias("shortest"), risk.alias("fp_risk"))
+    """rules(rule_id, sql_expression, ...) with adequacy, quality (low, medium, high), fp_risk (also critical) and issues, all of the
+    rule's text alone.
+
+    The tests go in this order, later ones over earlier: alternatives of risky words without AND; known spam texts; one
+    common word alone; phone patterns; needles under three characters; AND; addresses of spam; no SELECT at the start; words
+    that change tables, outside quotes. A null expression is one without SELECT.
+    """
+    sql = F.coalesce(F.col("sql_expression"), F.lit(""))
+    upper = F.upper(sql)
+    has = lambda pattern: F.regexp_like(sql, F.lit("(?i)" + pattern))
+    needles = F.regexp_extract_all(sql, F.lit(r"(?i)LIKE\s+'%([^%]+)%'"), F.lit(1))
+    ors, both = F.regexp_count(upper, F.lit(" OR ")), F.contains(upper, F.lit(" AND "))
+    risky = has("|".join(RISKY_TEXT)) & ~both
+    alone = (F.size(needles) == 1) & F.lower(F.get(needles, F.lit(0))).isin(*COMMON_ALONE)
+    phone = F.contains(upper, F.lit("REGEXP")) & F.contains(F.lower(sql), F.lit("phone"))
+    short = F.exists(needles, lambda x: F.length(x) < 3)
+    select, words = F.startswith(upper, F.lit("SELECT")), F.regexp_extract_all(upper, F.lit(SQL_WORD), F.lit(1))
+    # a word between quotes anywhere excuses the statement, as one in a string literal does
+    quoted = F.exists(words, lambda w: F.regexp_like(upper, F.concat(F.lit("['\"].*"), w, F.lit(".*['\"]"))))
+    unsafe = (F.size(words) > 0) & ~quoted
+    safe, spam = has("|".join(SAFE_TEXT)), has(SPAM_DOMAIN)
+    risk = F.when(risky & (ors > 5), "high").when(risky & (ors > 3), "medium").otherwise("low")
+    for test, value in ((safe, "low"), (alone, "high"), (phone, "medium")):
+        risk = F.when(test, value).otherwise(risk)
+    risk = F.when(short & (risk == "low"), "high").otherwise(risk)
+    risk = F.when(both & (risk == "medium"), "low").otherwise(risk)
+    for test, value in ((spam, "low"), (unsafe, "critical")):
+        risk = F.when(test, value).otherwise(risk)
+    adequacy = F.when(spam, "high").when(alone, "low").when(safe, "high").otherwise("medium")
+    worth = F.when(unsafe | ~select, "low").when(spam | both | safe, "high").otherwise("medium")
+    issues = [F.when(risky & (ors > 5), "alternatives"), F.when(alone, "one common word"), F.when(phone, "phone numbers"), F.when(short, "short needle"), F.when(~select, "no SELECT"), F.when(unsafe, "changes tables")]
+    return rules.withColumns({"adequacy": adequacy, "quality": worth, "fp_risk": risk, "issues": F.filter(F.array(*issues), lambda x: x.isNotNull())})
+
+
+def risk_distribution(rules: DataFrame) -> DataFrame:
+    """(fp_risk, rules, share) of static_quality()."""
+    per = static_quality(rules).groupBy("fp_risk").agg(F.count("*").alias("rules"))
+    return per.withColumn("share", F.col("rules") / F.sum("rules").over(Window.partitionBy()))  # a row a risk
 
 
 #: The profiles that take in rules of a tier.

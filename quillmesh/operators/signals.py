@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import packs
 from quillmesh.functions import text as tx
+from quillmesh.operators.evaluation import _around
+from quillmesh.session import kept
 
 # Words too common to be patterns alone.
 COMMON_WORDS = (
@@ -67,10 +69,27 @@ def signature_clusters(spam: DataFrame, least: int = 5, examples: int = 5) -> Da
 
 
 def suspicious(counts: DataFrame, total_spam: Column, threshold: float, minimum: int = 1) -> DataFrame:
-    """Signals by share of spam messages, the best threshold part of them (one at least): with rank and score."""
-    scored = counts.withColumn("score", F.try_divide(F.col("cnt").cast("double"), total_spam))
-    n = counts.count()
-    return scored.orderBy(F.desc("score"), F.asc("signal_type"), F.asc("key")).limit(max(minimum, int(n * threshold)))
+    """Signals by share of spam messages, the best threshold part of them (one at least), with their score; equal shares by the
+    md5 of the key, then of its type.
+
+    The cut is found from counts of counts, and among equals from the digests around it, so no task sorts all signals.
+    """
+    digest = F.md5(F.concat_ws(" ", "key", "signal_type").cast("binary"))
+    scored = kept(counts.withColumn("score", F.try_divide(F.col("cnt").cast("double"), total_spam)).withColumn("_at", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")), "signals")
+    take = max(minimum, int(scored.count() * threshold))
+    sizes = scored.groupBy("cnt").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.orderBy(F.desc("cnt"))) - F.col("n")  # a row a distinct count
+    cut = sizes.withColumn("above", above).where(F.col("above") < take).orderBy("cnt").limit(1).first()
+    if cut is None:
+        return scored.drop("_at")
+    equal, left = scored.where(F.col("cnt") == cut.cnt), take - cut.above
+    out = scored.where(F.col("cnt") > cut.cnt)
+    if left >= cut.n:
+        out = out.unionByName(equal)
+    else:
+        last = _around(equal, [], "_at", left / cut.n).where((F.col("_after") < left) & (F.col("_upto") >= left)).first()
+        out = out.unionByName(equal.where(F.col("_at") <= last._v))
+    return out.drop("_at")
 
 
 def messages_with(messages: DataFrame, needles: DataFrame, keys: Column, tags: Column | None = None) -> DataFrame:

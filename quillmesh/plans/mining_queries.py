@@ -41,7 +41,7 @@ def signature_clusters(spark, sf_dir):
 
 
 @query(f"""WITH {MESSAGES}, k AS (SELECT split_part(split_part(url, '://', 2), '/', 1) AS key, count(*) AS cnt FROM pages GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM messages WHERE is_spam)
-SELECT key, cnt, round(cnt / n.n, 6) AS score FROM k, n ORDER BY cnt / n.n DESC, key LIMIT (SELECT greatest(1, floor(count(*) * 0.25)::BIGINT) FROM k)""")
+SELECT key, cnt, round(cnt / n.n, 6) AS score FROM k, n ORDER BY cnt / n.n DESC, md5(key || ' url') LIMIT (SELECT greatest(1, floor(count(*) * 0.25)::BIGINT) FROM k)""")
 def suspicious_patterns(spark, sf_dir):
     total = _spam(spark, sf_dir).count()
     hosts = table(spark, sf_dir, "pages").groupBy(tx.domain(F.col("url")).alias("key")).agg(F.count("*").alias("cnt")).withColumn("signal_type", F.lit("url"))
