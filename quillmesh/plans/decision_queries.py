@@ -12,7 +12,7 @@ from quillmesh.plans.base import MESSAGES, messages, query
 _MINED = """k AS (SELECT key, row_number() OVER (ORDER BY count(*) DESC, key) - 1 AS i FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key FROM messages) GROUP BY key QUALIFY i < 300),
 w AS (SELECT list(key ORDER BY i) AS w, count(*) AS n FROM k),
 p AS (SELECT i AS rule_id, CASE i % 3 WHEN 0 THEN [key] WHEN 1 THEN [key, w[i * 7 % n + 1]] ELSE [key, w[(i + 1) % n + 1], w[(i + 2) % n + 1], w[(i + 3) % n + 1]] END AS needles FROM k, w),
-rules AS (SELECT rule_id, needles, 'SELECT id, is_spam FROM messages WHERE ' || array_to_string(list_transform(needles, lambda x: 'lower(text) LIKE ''%' || x || '%'''), CASE rule_id % 3 WHEN 1 THEN ' AND ' ELSE ' OR ' END) AS sql_expression FROM p),
+rules AS (SELECT rule_id, needles, 'SELECT id, is_spam FROM messages WHERE ' || CASE rule_id % 3 WHEN 1 THEN array_to_string(list_transform(needles, lambda x: 'lower(text) LIKE ''%' || x || '%'''), ' AND ') ELSE array_to_string(list_transform(needles, lambda x: 'lower(text) LIKE ''%' || x || '%'''), ' OR ') END AS sql_expression FROM p),
 h AS (SELECT rule_id, count(*)::BIGINT AS hits_total, count(*) FILTER (is_spam)::BIGINT AS spam_hits, count(*) FILTER (NOT is_spam)::BIGINT AS ham_hits
   FROM rules JOIN (SELECT id, is_spam, lower(text) AS l FROM messages) m ON CASE WHEN rule_id % 3 = 1 THEN contains(l, needles[1]) AND contains(l, needles[2]) ELSE len(list_filter(needles, lambda x: contains(l, x))) > 0 END GROUP BY rule_id),
 r AS (SELECT rules.*, coalesce(hits_total, 0) AS hits_total, coalesce(ham_hits, 0) AS ham_hits, spam_hits::DOUBLE / hits_total AS precision FROM rules LEFT JOIN h USING (rule_id))"""
