@@ -27,6 +27,7 @@ def shingle_table(rows: DataFrame, n: int = 3) -> DataFrame:
 _FREQUENT = 1 / 50_000
 _SAMPLE_ITEMS = 2_000_000  # items of the sets whose frequent items are counted
 _BLOCK_SETS = 2_000  # sets of a unit that a task holds at once, twice over
+_FEW_ROWS = 2_000_000  # rows of two longs that are broadcast, some 100 MB at the most; more are shuffled
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles") -> DataFrame:
@@ -40,17 +41,33 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
     Prefixes are joined by item; a pair goes on only if it can still share enough after the item's places in both. Sets meet
     for verification in units (see _verified), so that a group of copies moves as often as it has blocks, not pairs.
     """
-    import numpy as np
-    import pyarrow as pa
+    hashed = _hashed(sets, key, items)
+    ready = _prefixes(hashed, threshold, _frequent(hashed))
+    return _verified(_candidates(ready, ready, threshold), hashed, threshold)
 
-    spark = sets.sparkSession
+
+def _hashed(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """(id, items) of the sets that hold something, items as distinct longs; written once."""
     plain = dict(sets.dtypes)[items] == "array<bigint>"
-    hashed = kept(sets.select(F.col(key).cast("long").alias("id"), F.array_distinct(F.col(items) if plain else F.transform(items, lambda x: F.xxhash64(x))).alias("items")).where(F.size("items") > 0), "jaccard-sets")
+    values = F.array_distinct(F.col(items) if plain else F.transform(items, lambda x: F.xxhash64(x)))
+    return kept(sets.select(F.col(key).cast("long").alias("id"), values.alias("items")).where(F.size("items") > 0), "jaccard-sets")
+
+
+def _frequent(hashed: DataFrame) -> list[int]:
+    """The frequent items of a sample of sets, the rarest first."""
     total = hashed.agg(F.sum(F.size("items"))).first()[0] or 0
     sampled = hashed.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // _SAMPLE_ITEMS) or 1)) == 0)
     counts = sampled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
-    frequent = counts.where((F.col("df") > min(total, _SAMPLE_ITEMS) * _FREQUENT) & (F.col("df") > 1)).orderBy(F.desc("df"), "item").limit(int(2 / _FREQUENT)).collect()
-    held = spark.sparkContext.broadcast(np.array([r.item for r in reversed(frequent)], np.int64))
+    found = counts.where((F.col("df") > min(total, _SAMPLE_ITEMS) * _FREQUENT) & (F.col("df") > 1)).orderBy(F.desc("df"), "item").limit(int(2 / _FREQUENT)).collect()
+    return [r.item for r in reversed(found)]
+
+
+def _prefixes(hashed: DataFrame, threshold: float, frequent: list[int]) -> DataFrame:
+    """(id, n, place, item): of each set of n items the first ones in the common order, as many as a pair must share one of."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = hashed.sparkSession.sparkContext.broadcast(np.array(frequent, np.int64))
 
     def prefixes(batches):
         own = held.value
@@ -71,13 +88,16 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_pydict({"id": ids[row[take]], "n": sizes[row[take]].astype(np.int32), "place": place[take].astype(np.int32), "item": flat[order][take]})
 
-    ready = hashed.mapInArrow(prefixes, "id long, n int, place int, item long")
-    a, b = ready.alias("a"), ready.alias("b")
+    return hashed.mapInArrow(prefixes, "id long, n int, place int, item long")
+
+
+def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b), a of left and b of right, a < b, that share an item of their prefixes and can share enough after it."""
+    a, b = left.alias("a"), right.alias("b")
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     can = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= least
     near = (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & can
-    pairs = kept(a.join(b, near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "jaccard-candidates")
-    return _verified(pairs, hashed, threshold)
+    return kept(a.join(b, near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "jaccard-candidates")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -97,7 +117,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.col("blocks")).cast("int")
     i, j = block("a"), block("b")
     tiles = kept(placed.join(sizes, "unit").select(F.xxhash64("unit", F.least(i, j), F.greatest(i, j)).alias("tile"), "a", "b"), "jaccard-tiles")
-    needed = tiles.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = kept(tiles.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-needed")
+    needed = F.broadcast(needed) if needed.count() <= _FEW_ROWS else needed
     rows = needed.join(sets, "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items")
     rows = rows.unionByName(tiles.select("tile", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("array<bigint>").alias("items")))
 
@@ -125,6 +146,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(check, "a long, b long, similarity double")
 
 
+def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles", parts: int = 7) -> DataFrame:
+    """(id, leader): walking the sets by ascending id, one joins the first earlier leader of at least that similarity, else it
+    leads. One row an id; empty and null sets lead themselves.
+
+    Ids are walked in ranges, each about as large as all before: a range first meets the leaders so far, of lower ids all, and
+    joins the least like it. Only what is left, and so is near no earlier leader, is compared among itself and walked
+    (see leaders). A group of copies is thus pairs of its leader with each, not of all with all, but for the range it first
+    shows up in. Ranges' ends are approximate quantiles, on which only the speed depends.
+    """
+    hashed = _hashed(sets, key, items)
+    frequent = _frequent(hashed)
+    ends = hashed.agg(F.percentile_approx("id", [2.0**-k for k in range(parts - 1, 0, -1)], 1000)).first()[0] or []
+    ends = [None, *sorted(set(ends)), None]
+    done, led = [], []
+    for low, high in zip(ends, ends[1:]):
+        some = hashed if low is None else hashed.where(F.col("id") > low)
+        some = some if high is None else some.where(F.col("id") <= high)
+        own = kept(_prefixes(some, threshold, frequent), "leader-prefixes")
+        rest = some.select("id")
+        if led:
+            met = _verified(_candidates(reduce(DataFrame.unionByName, led), own, threshold), hashed, threshold)
+            found = kept(met.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "leader-found")
+            done.append(found)
+            rest = rest.join(found, "id", "left_anti")
+            own = _replaced(own, kept(own.join(found, "id", "left_anti"), "leader-prefixes"))
+        pairs = _verified(_candidates(own, own, threshold), hashed, threshold)
+        walked = kept(leaders(pairs.select("a", "b"), rest), "leader-walked")
+        done.append(walked)
+        led.append(_replaced(own, kept(own.join(walked.where("id = leader").select("id"), "id", "left_semi"), "leader-prefixes")))
+    empty = sets.where(F.coalesce(F.size(items), F.lit(0)) <= 0).select(F.col(key).cast("long").alias("id"))
+    return reduce(DataFrame.unionByName, [*done, empty.select("id", F.col("id").alias("leader"))])
+
+
 def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int = 1 << 18) -> DataFrame:
     """(id, leader): walking ids upwards, one joins the first earlier leader it is similar to, else it leads. One row an id.
 

@@ -130,8 +130,7 @@ def jaccard_pairs(spark, sf_dir):
 @query()
 def leader_clusters(spark, sf_dir):
     """Each distinct text joins the first leader it is like; a walk in order of ids."""
-    s = _sets(spark, sf_dir)
-    return similarity.leaders(similarity.jaccard_pairs(s, 0.7).select("a", "b"), s.select("id"))
+    return similarity.leader_clusters(_sets(spark, sf_dir), 0.7)
 
 
 @query(f"""WITH {MESSAGES}, t AS (SELECT id, is_spam, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM messages WHERE is_spam IS NOT NULL), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),

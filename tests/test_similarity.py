@@ -84,3 +84,21 @@ def test_nearest_goes_below_its_steps(spark):
     got = similarity.nearest(rows, others).collect()
     assert [r.id for r in got] == [0, 1, 2] and all(abs(r.similarity - 1 / 71) < 1e-9 for r in got)
     assert [r.id for r in similarity.nearest(rows.where("id > 3"), others).collect()] == [4]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 6])
+def test_leader_clusters_in_ranges(spark, parts):
+    """Ranges of ids give what one walk gives; groups of copies, near ones, and chains; ids out of order."""
+    import random
+
+    rng = random.Random(12)
+    base = [[f"g{g}w{j}" for j in range(12)] for g in range(6)]
+    sets = [(rng.randrange(10**9) * 300 + i, [x for x in rng.choice(base) if rng.random() < 0.93] + [f"o{rng.randrange(4)}"]) for i in range(260)] + [(-5, []), (-4, None), (-3, ["alone"])]
+    jac = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want, led = {}, []
+    for i, x in sorted(sets, key=lambda r: r[0]):
+        near = [j for j, y in led if x and y and jac(x, y) >= 0.7]
+        want[i] = near[0] if near else i
+        led += [] if near else [(i, x)]
+    got = similarity.leader_clusters(spark.createDataFrame(sets, "id long, shingles array<string>").repartition(3), 0.7, parts=parts).collect()
+    assert len(got) == len(sets) and {r.id: r.leader for r in got} == want and len(led) < 60
