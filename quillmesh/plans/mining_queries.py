@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
-from quillmesh.operators import signals
+from quillmesh.operators import runs, signals, vectors
 from quillmesh.plans.base import MESSAGES, messages, query, table
 from quillmesh.plans.text_queries import SIGNATURE_SQL
 from quillmesh.session import shared_dir
@@ -135,6 +135,33 @@ def message_buckets(spark, sf_dir):
     return signals.counted(messages(spark, sf_dir), signals.bucket_tags(F.col("text")), "bucket").select("key", "cnt")
 
 
+@query(f"WITH {MESSAGES}, k AS (SELECT unnest({_WORDS}) AS key, id FROM messages) SELECT key, count(*) AS cnt, (SELECT count(*) FROM messages) AS processed, 'completed' AS status FROM k GROUP BY key HAVING count(*) >= 5")
+def mining_resumed(spark, sf_dir):
+    """Words of all messages counted by a run in batches of ids that stops after the first and is resumed from its stored state."""
+    m = messages(spark, sf_dir).select("id", "text")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    stored = runs.Runs(spark, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex[:12]}")
+    run, batch = stored.start("full"), -(-m.count() // 3)
+    runs.mine(stored, run, m, words, batch, most=1)
+    state = runs.mine(stored, run, m, words, batch)
+    return stored.counts(state).where("cnt >= 5").select("key", "cnt", F.lit(state["processed"]).cast("long").alias("processed"), F.lit(state["status"]).alias("status"))
+
+
+def _letters(texts):
+    return [[len(t), t.count("e"), t.count(" ")] for t in texts]
+
+
+@query("SELECT conv_id * 1000 + turn AS id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks, 0::BIGINT AS embedded_again FROM conversations WHERE text IS NOT NULL")
+def stored_vectors(spark, sf_dir):
+    """Vectors of all conversations by a stored cache: half of them are embedded first, then the rest, then none."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    folder = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex[:12]}"
+    vectors.embedded(rows.where("id % 2 = 0"), folder, _letters)
+    vectors.embedded(rows, folder, _letters)
+    found, again = vectors.embedded(rows, folder, _letters)
+    return found.select("id", *[F.get("vector", F.lit(i)).alias(c) for i, c in enumerate(("chars", "e", "blanks"))], F.lit(again).cast("long").alias("embedded_again"))
+
+
 @query("SELECT conv_id::VARCHAR || '-' || turn AS external_id, text, role = 'user' AS is_spam, CASE WHEN turn % 2 = 0 THEN 'json' ELSE 'csv' END AS form, turn::VARCHAR AS turn FROM conversations WHERE trim(text) <> ''")
 def storage_scan(spark, sf_dir):
     """All conversations written as files of two forms into one folder, and read back by what each file holds."""

@@ -52,9 +52,13 @@ def signal_totals(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).groupBy("signal_type", "key").agg(F.sum("cnt").alias("cnt"))
 
 
-def limiter(stream: DataFrame, most: int, seconds: float = 1.0) -> DataFrame:
+def limiter(stream: DataFrame, most: int, seconds: float = 1.0, late: str = "10 seconds") -> DataFrame:
     """An exact sliding window for each key in which denied events don't count: admission depends on earlier admissions,
-    so the admitted times of the last window are the key's state; it ends a while after the key falls silent."""
+    so the admitted times of the last window are the key's state.
+
+    Time is the events' own: the state ends when the watermark, `late` behind the latest event, has passed the window, however
+    long the stream pauses; events behind the watermark are left out.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -73,7 +77,7 @@ def limiter(stream: DataFrame, most: int, seconds: float = 1.0) -> DataFrame:
                 times.append(now)
             out.append((event_id, key[0], denied))
         state.update((times,))
-        state.setTimeoutDuration(max(1000, int(seconds * 2000)))
+        state.setTimeoutTimestamp(max(int((max(times) + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "denied"])
 
-    return stream.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, denied boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", late).select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, denied boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
