@@ -41,6 +41,18 @@ def training_rows(patterns: DataFrame, rules: DataFrame, evaluations: DataFrame)
     return joined.select("pattern_id", "rule_id", prompt.alias("prompt"), F.col("sql_expression").alias("answer"), "precision", "recall")
 
 
+def write_training(rows: DataFrame, folder: str) -> None:
+    """Accepted training examples (namespace, text, label, accepted; see sources.messages.training_set) as JSON lines, a folder
+    for each namespace."""
+    rows.where("accepted").select("namespace", "text", "label").write.partitionBy("namespace").json(folder)
+
+
+def read_training(spark: SparkSession, folder: str, namespace: str | None = None) -> DataFrame:
+    """(namespace, text, label) of an export, of one namespace if given: only its folder is read."""
+    out = spark.read.schema("text string, label string, namespace string").json(folder)
+    return out if namespace is None else out.where(F.col("namespace") == namespace)
+
+
 def write_package(rules: DataFrame, folder: str) -> None:
     """A deployment package as text files by Spark: statements of safe rules, statements of those that look for nothing apart
     and commented out, entries as JSON lines, statements that take the rules back, and one line of metadata (rules by status).

@@ -242,6 +242,17 @@ def filtered(rules: DataFrame, evaluations: DataFrame, min_precision: float | No
     return out if status is None else out.where(F.col("status") == status)
 
 
+def of_kind(rules: DataFrame, patterns: DataFrame, kind: str | None = None, language: str | None = None) -> DataFrame:
+    """Rules by the type of their pattern and by the language that their text asks for: a rule that names none is for all."""
+    out = rules.join(patterns.select("pattern_id", "pattern_type"), "pattern_id", "left")
+    if kind is not None:
+        out = out.where(F.col("pattern_type") == kind)
+    if language is not None:
+        asked = F.regexp_extract("sql_expression", r"(?i)language\s*=\s*'([a-z]+)'", 1)
+        out = out.where((asked == "") | (F.lower(asked) == language.lower()))
+    return out
+
+
 def by_metric(rules: DataFrame, evaluations: DataFrame, metric: str = "coverage") -> DataFrame:
     """Rules by their last precision or coverage, best first; those never evaluated count as 0."""
     joined = rules.join(latest(evaluations).select("rule_id", metric), "rule_id", "left")

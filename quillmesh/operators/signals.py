@@ -110,6 +110,12 @@ def bucket_tags(text: Column) -> Column:
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
+def missed_buckets(messages: DataFrame, found: DataFrame) -> DataFrame:
+    """Tags of the spam that no rule has found, with how many messages have them: found(id) are the messages that one has."""
+    missed = messages.where("is_spam").join(found.select("id").distinct(), "id", "left_anti")
+    return counted(missed, bucket_tags(F.col("text")), "bucket")
+
+
 def analyzer_keys(text: Column) -> Column:
     """Keys of the report analyzer: each pattern found and each nonzero count."""
     f = tx.features(text)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quillmesh.operators import advice, quality
+from quillmesh.functions import text as tx
+from quillmesh.operators import advice, exports, quality, signals
+from quillmesh.operators import evaluation as ev
 from quillmesh.operators import rules as rl
-from quillmesh.plans.base import MESSAGES, messages, query
+from quillmesh.plans.base import MESSAGES, RULE_CTES, RULES, messages, query, table
+from quillmesh.plans.mining_queries import BUCKETS
+from quillmesh.plans.text_queries import SIGNATURE_SQL
+from quillmesh.session import shared_dir
+from quillmesh.sources.messages import training_set
 
 # Rules of the messages' own words: of the 300 most widespread, each alone, with a second one, or as one of five alternatives.
 _MINED = """k AS (SELECT key, row_number() OVER (ORDER BY count(*) DESC, key) - 1 AS i FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS key FROM messages) GROUP BY key QUALIFY i < 300),
@@ -73,3 +81,51 @@ def compiled_rules(spark, sf_dir):
     """A rule of each mined type, compiled and replayed over all messages."""
     made = [rl.compile_rule(i, name, needles) for i, (name, needles) in _TYPES.items()]
     return rl.hits(messages(spark, sf_dir), made).groupBy("rule_id").agg(F.count("*").alias("hits"), F.count_if("is_spam").alias("spam_hits"))
+
+
+# ---- profiles and samples ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {RULE_CTES}, missed AS (SELECT * FROM messages WHERE is_spam AND id NOT IN (SELECT id FROM h)), {BUCKETS.replace('@rows', 'missed')} SELECT key, count(*) AS cnt FROM k WHERE key IS NOT NULL GROUP BY key")
+def missed_spam_buckets(spark, sf_dir):
+    """What the spam that no rule finds is like."""
+    m = messages(spark, sf_dir)
+    return signals.missed_buckets(m, rl.hits(m, RULES)).select("key", "cnt")
+
+
+@query(f"WITH {RULE_CTES}, e AS (SELECT rule_id, (list(id ORDER BY id))[1:10] AS ids FROM h GROUP BY rule_id) SELECT rule_id, len(ids)::BIGINT AS n, array_to_string(ids, ' ') AS ids FROM e")
+def pattern_example_ids(spark, sf_dir):
+    """The first ten messages of each rule."""
+    firsts = signals.examples_of(rl.hits(messages(spark, sf_dir), RULES), "rule_id", "id", 10)
+    ids = F.array_sort(F.collect_list("id"))
+    return firsts.groupBy("rule_id").agg(F.count("*").alias("n"), F.array_join(ids.cast("array<string>"), " ").alias("ids"))
+
+
+@query(f"""WITH {MESSAGES}, r AS (SELECT id, is_spam, row_number() OVER (PARTITION BY is_spam ORDER BY md5(id::VARCHAR), id) AS place FROM messages WHERE is_spam IS NOT NULL)
+SELECT id, is_spam FROM r WHERE place <= CASE WHEN is_spam THEN 12 ELSE 28 END""")
+def scenario_sample(spark, sf_dir):
+    """Forty messages, three tenths of them spam."""
+    return ev.scenario(messages(spark, sf_dir).select("id", "is_spam"), 40, 0.3).select("id", "is_spam")
+
+
+@query(rf"WITH {MESSAGES}, w AS (SELECT unnest(regexp_extract_all({SIGNATURE_SQL}, '\S+')) AS key FROM messages) SELECT key, count(*) AS cnt FROM w WHERE {' OR '.join(f"contains(key, '{x}')" for x in tx.SIGNATURE_WORDS)} GROUP BY key")
+def signature_key_words(spark, sf_dir):
+    words = messages(spark, sf_dir).select(F.explode(tx.key_words(F.col("text"))).alias("key"))
+    return words.groupBy("key").agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {MESSAGES}, {_MINED} SELECT rule_id, array_to_string(needles, ' ') AS literals, 'Matches messages that contain ' || array_to_string(needles, ' or ') AS said FROM rules")
+def rule_literals(spark, sf_dir):
+    """The literals that the rules' texts look for, and the rules in words."""
+    rules = _mined(spark, sf_dir)
+    return rules.select("rule_id", F.array_join(tx.like_literals(F.col("sql_expression")), " ").alias("literals"), advice.explanation(F.col("sql_expression")).alias("said"))
+
+
+@query("SELECT source AS namespace, trim(text) AS text, toxic::VARCHAR AS label FROM documents JOIN labels USING (doc_id) WHERE trim(text) <> '' AND toxic IS NOT NULL AND source = (SELECT min(source) FROM documents)")
+def training_export(spark, sf_dir):
+    """Training examples of all documents exported by source, and the first source's read back from its folder alone."""
+    d = table(spark, sf_dir, "documents")
+    rows = training_set(d.join(table(spark, sf_dir, "labels"), "doc_id"), F.col("source"), label_column="toxic")
+    folder = f"{shared_dir(spark)}/training-{uuid.uuid4().hex[:12]}"
+    exports.write_training(rows, folder)
+    return exports.read_training(spark, folder, d.agg(F.min("source")).first()[0])

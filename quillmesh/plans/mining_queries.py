@@ -128,9 +128,12 @@ def safer_phrase(spark, sf_dir):
     return signals.safer_phrases(messages(spark, sf_dir), "trash", 2)
 
 
-@query(f"""WITH {MESSAGES}, t AS (SELECT length(text) AS n, len(regexp_extract_all(text, '!')) AS e, len(regexp_extract_all(text, '(?i)https?://|www\\.|t\\.me|bit\\.ly')) AS u, len(regexp_extract_all(text, '{tx.PHONE_MARK}')) AS p, len(regexp_extract_all(text, '\\?')) AS q, len(regexp_extract_all(text, '\\p{{Lu}}'))::DOUBLE / greatest(length(text), 1) AS c FROM messages),
-k AS (SELECT unnest([CASE WHEN n < 20 THEN 'very_short' END, CASE WHEN n >= 20 AND n < 50 THEN 'short' END, CASE WHEN n > 500 THEN 'very_long' END, CASE WHEN u > 0 THEN 'urls_' || u END, CASE WHEN p > 0 THEN 'phones_' || p END, CASE WHEN c > 0.3 THEN 'high_caps' END, CASE WHEN e > 2 THEN 'many_exclamations' END, CASE WHEN q > 2 THEN 'many_questions' END]) AS key FROM t)
-SELECT key, count(*) AS cnt FROM k WHERE key IS NOT NULL GROUP BY key""")
+#: Tags of the messages in @rows.
+BUCKETS = f"""t AS (SELECT length(text) AS n, len(regexp_extract_all(text, '!')) AS e, len(regexp_extract_all(text, '(?i)https?://|www\\.|t\\.me|bit\\.ly')) AS u, len(regexp_extract_all(text, '{tx.PHONE_MARK}')) AS p, len(regexp_extract_all(text, '\\?')) AS q, len(regexp_extract_all(text, '\\p{{Lu}}'))::DOUBLE / greatest(length(text), 1) AS c FROM @rows),
+k AS (SELECT unnest([CASE WHEN n < 20 THEN 'very_short' END, CASE WHEN n >= 20 AND n < 50 THEN 'short' END, CASE WHEN n > 500 THEN 'very_long' END, CASE WHEN u > 0 THEN 'urls_' || u END, CASE WHEN p > 0 THEN 'phones_' || p END, CASE WHEN c > 0.3 THEN 'high_caps' END, CASE WHEN e > 2 THEN 'many_exclamations' END, CASE WHEN q > 2 THEN 'many_questions' END]) AS key FROM t)"""
+
+
+@query(f"WITH {MESSAGES}, {BUCKETS.replace('@rows', 'messages')} SELECT key, count(*) AS cnt FROM k WHERE key IS NOT NULL GROUP BY key")
 def message_buckets(spark, sf_dir):
     return signals.counted(messages(spark, sf_dir), signals.bucket_tags(F.col("text")), "bucket").select("key", "cnt")
 

@@ -70,3 +70,28 @@ def test_costs_and_jaccard(spark):
     assert advice.costs(10, 5, False, False) == {"llm_calls": 0, "embedding_calls": 0, "estimated_cost_usd": 0}
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], [])], "x array<string>, y array<string>")
     assert [r.j for r in df.select(tx.jaccard(F.col("x"), F.col("y")).alias("j")).collect()][0] == pytest.approx(1 / 3)
+
+
+def test_rules_of_kind(spark):
+    from quillmesh.operators import rules as rl
+
+    rules = spark.createDataFrame([(1, 10, HEAD + "language = 'RU' AND text LIKE '%a%'"), (2, 10, HEAD + "text LIKE '%a%'"), (3, 11, HEAD + "x"), (4, None, HEAD + "language='en'")], "rule_id long, pattern_id long, sql_expression string")
+    patterns = spark.createDataFrame([(10, "keyword"), (11, "url")], "pattern_id long, pattern_type string")
+    ids = lambda *a: sorted(r.rule_id for r in rl.of_kind(rules, patterns, *a).collect())
+    assert (ids(), ids("keyword"), ids("keyword", "ru"), ids(None, "en"), ids("url", "en")) == ([1, 2, 3, 4], [1, 2], [1, 2], [2, 3, 4], [3])
+
+
+def test_report(spark):
+    from quillmesh.operators import exports
+
+    assert exports.report({"new_rules": 3, "by": {"a": 1}}) == '# Pattern report\n\n- **new rules**: 3\n- **by**: {"a": 1}\n'
+
+
+def test_csv_messages(spark):
+    import datetime as dt
+
+    from quillmesh.sources import messages as src
+
+    rows = spark.createDataFrame([("2024-01-02", "a", "spam"), ("nonsense", "b", "0"), (None, "", "1"), ("1700000000", None, "1")], "at string, said string, kind string")
+    now = dt.datetime(2024, 5, 1)
+    assert {(r.timestamp, r.text, r.is_spam) for r in src.csv_messages(rows, "at", "said", "kind", now).collect()} == {(dt.datetime(2024, 1, 2), "a", True), (now, "b", False)}
