@@ -243,7 +243,7 @@ def _walked(open_: DataFrame, most: int) -> DataFrame:
     return rooted.join(small, "root", "left_semi").groupBy("root").applyInPandas(walk, "id long, leader long")
 
 
-def _units(vectors):
+def _unit_rows(vectors):
     """Vectors of an Arrow array as unit rows of float64; those of length zero stay zero."""
     import numpy as np
 
@@ -289,7 +289,7 @@ def cells(vectors: DataFrame, least: float, cell_rows: int = 2_000, most: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sims = _units(part.column("v")) @ own.T
+                sims = _unit_rows(part.column("v")) @ own.T
                 home = sims.argmax(axis=1)
                 each = np.arange(len(home))
                 guest = (sims[each, home][:, None] - sims) <= reach * gaps[home]
@@ -301,19 +301,9 @@ def cells(vectors: DataFrame, least: float, cell_rows: int = 2_000, most: int =
     return rows.mapInArrow(deal, "id long, v array<double>, cell int, home boolean")
 
 
-def cosine_pairs(vectors: DataFrame, least: float, cell_rows: int = 2_000, guest_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, cosine) of pairs at or above `least`, a < b. Exact; ids are distinct longs, null vectors are left out, and all
-    vectors are of one length.
-
-    Each vector meets those of its own pivot's cell and of the cells in reach (see cells). A cell above `cell_rows` is cut into
-    blocks of that size, and what comes to a block into runs of `guest_rows`, each a task's work: it holds the block as
-    a matrix and streams the others past it. How much the cells save depends on the data: close pairs of clustered vectors
-    meet in few cells; where `least` is low and vectors point everywhere, each must meet nearly all others.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    dealt = kept(cells(vectors, least, cell_rows, key=key, vector=vector), "cosine-cells")
+def _units(dealt: DataFrame, cell_rows: int, guest_rows: int) -> DataFrame:
+    """Rows of cells() as units of work (cell, block, run, role, ...): a cell above `cell_rows` is cut into blocks of that size, and
+    what comes to a block into runs of `guest_rows`. Role 0 is the block itself, 1 what streams past it."""
     count = dealt.groupBy("cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests"))
     parts = kept(count.select("cell", F.greatest(F.lit(1), F.ceil(F.col("own") / cell_rows)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil((F.col("own") + F.col("guests")) / guest_rows)).cast("int").alias("runs")), "cosine-parts")
     mine = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
@@ -324,41 +314,116 @@ def cosine_pairs(vectors: DataFrame, least: float, cell_rows: int = 2_000, guest
     earlier = F.when(block > 0, every(F.greatest(block - 1, F.lit(0)), lambda b: place(b, run, 1))).otherwise(F.array().cast("array<struct<block:int,run:int,role:int>>"))
     visits = every(F.col("blocks") - 1, lambda b: place(b, run, 1))
     placed = dealt.join(F.broadcast(parts), "cell")  # a row a cell, of which there are at most 1,024
-    units = placed.select("cell", "id", "v", F.explode(F.when(F.col("home"), F.concat(stays, earlier)).otherwise(visits)).alias("p")).select("cell", "p.block", "p.run", "p.role", "id", "v")
+    units = placed.withColumn("p", F.explode(F.when(F.col("home"), F.concat(stays, earlier)).otherwise(visits)))
+    out = units.select("cell", "p.block", "p.run", "p.role", *[c for c in dealt.columns if c not in ("cell", "home")])
+    return out.repartition("cell", "block", "run").sortWithinPartitions("cell", "block", "run", "role")
 
-    def close(a_ids, a, b_ids, b, inside):
-        for at in range(0, len(b), 1024):
-            sims = a @ b[at : at + 1024].T
-            x, y = np.nonzero(sims >= least)
-            p, q, c = a_ids[x], b_ids[at + y], sims[x, y]
-            keep = p < q if inside else p != q
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "cosine": c[keep]})
+
+def _meetings(batches, least: float, mark: str | None = None):
+    """(left, right, near) of rows of _units(), each pair of vectors in one meeting: left and right are (ids, marks), near the
+    matrix of pairs at or above `least`. A part of a block that meets itself has each of its pairs once, above the diagonal."""
+    import numpy as np
+
+    at, block, whole = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block", "run", "role")], axis=1)
+        cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s == e:
+                continue
+            unit, role = tuple(keys[s][:3].tolist()), int(keys[s][3])
+            if unit != at:
+                at, block, whole = unit, [], None
+            ids, m = batch.column("id").slice(s, e - s).to_numpy(), _unit_rows(batch.column("v").slice(s, e - s))
+            marks = batch.column(mark).slice(s, e - s).to_numpy(zero_copy_only=False) if mark else ids
+            if role == 0:
+                if unit[2] == 0:
+                    for other in block:
+                        yield other[:2], (ids, marks), other[2] @ m.T >= least, other[2], m
+                    yield (ids, marks), (ids, marks), np.triu(m @ m.T >= least, 1), m, m
+                block.append((ids, marks, m))
+            elif block:
+                if whole is None:
+                    whole = tuple(np.concatenate(x) for x in zip(*block))
+                for k in range(0, len(ids), 1024):
+                    part = m[k : k + 1024]
+                    yield whole[:2], (ids[k : k + 1024], marks[k : k + 1024]), whole[2] @ part.T >= least, whole[2], part
+
+
+def cosine_pairs(vectors: DataFrame, least: float, cell_rows: int = 2_000, guest_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, cosine) of pairs at or above `least`, a < b. Exact; ids are distinct longs, null vectors are left out, and all
+    vectors are of one length.
+
+    Each vector meets those of its own pivot's cell and of the cells in reach (see cells), in units (see _units): a task holds a
+    block as a matrix and streams the others past it. How much the cells save depends on the data: close pairs of clustered
+    vectors meet in few cells; where `least` is low and vectors point everywhere, each must meet nearly all others.
+    """
+    import numpy as np
+    import pyarrow as pa
 
     def compare(batches):
-        at, ids, block, ready = None, [], [], None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block", "run", "role")], axis=1)
-            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts, cuts[1:]):
-                if s == e:
-                    continue
-                unit, role, m, own = tuple(keys[s][:3].tolist()), int(keys[s][3]), _units(batch.column("v").slice(s, e - s)), batch.column("id").slice(s, e - s).to_numpy()
-                if unit != at:
-                    at, ids, block, ready = unit, [], [], None
-                if role == 0:
-                    if unit[2] == 0:
-                        for earlier_ids, earlier_m in zip(ids, block):
-                            yield from close(earlier_ids, earlier_m, own, m, False)
-                        yield from close(own, m, own, m, True)
-                    ids.append(own)
-                    block.append(m)
-                elif ids:
-                    if ready is None:
-                        ready = np.concatenate(ids), np.concatenate(block)
-                    yield from close(*ready, own, m, False)
-
-    sort = ("cell", "block", "run")
-    return units.repartition(*sort).sortWithinPartitions(*sort, "role").mapInArrow(compare, "a long, b long, cosine double")
+        for left, right, near, x, y in _meetings(batches, least):
+            i, j = np.nonzero(near)
+            a, b = left[0][i], right[0][j]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.einsum("ij,ij->i", x[i], y[j])})
+
+    dealt = kept(cells(vectors, least, cell_rows, key=key, vector=vector), "cosine-cells")
+    return _units(dealt, cell_rows, guest_rows).mapInArrow(compare, "a long, b long, cosine double")
+
+
+def dbscan_vectors(vectors: DataFrame, least: float, neighbours: int = 3, cell_rows: int = 2_000, guest_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, cluster, core) of DBSCAN over vectors whose cosine is at least `least`; as dbscan() of cosine_pairs(), without ever
+    making the pairs.
+
+    The cells are met three times: for each vector's number of neighbours; for edges that connect cores, of which a meeting
+    gives one less than it connects at the most; and for the least cluster that a border vector reaches.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    dealt = kept(cells(vectors, least, cell_rows, key=key, vector=vector), "cosine-cells")
+
+    def degrees(batches):
+        for left, right, near, *_ in _meetings(batches, least):
+            for ids, n in ((left[0], near.sum(axis=1)), (right[0], near.sum(axis=0))):
+                yield pa.RecordBatch.from_pydict({"id": ids[n > 0], "n": n[n > 0].astype(np.int64)})
+
+    def links(batches):
+        for left, right, near, *_ in _meetings(batches, least, "mark"):
+            near = near & left[1].astype(bool)[:, None] & right[1].astype(bool)
+            label, out = np.arange(len(near)), []
+            where = {int(x): i for i, x in enumerate(left[0])} if left[0] is right[0] else {}
+            for j in np.flatnonzero(near.any(axis=0)).tolist():
+                own, first = np.unique(label[near[:, j]], return_index=True)
+                touched = np.flatnonzero(near[:, j])[first]
+                me = where.get(int(right[0][j]))
+                if me is not None:  # a part of a block with itself: j is a row too
+                    touched = touched[label[touched] != label[me]]
+                    own = np.append(own, label[me])
+                out += [(left[0][i], right[0][j]) for i in touched.tolist()]
+                label[np.isin(label, own)] = own[0]
+            ends = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+    def reached(batches):
+        far = np.iinfo(np.int64).max
+        for left, right, near, *_ in _meetings(batches, least, "mark"):
+            for (ids, own), (_, other), close in ((left, right, near), (right, left, near.T)):
+                lowest = np.where(close, other, far).min(axis=1, initial=far)
+                take = (own == far) & (lowest < far)
+                yield pa.RecordBatch.from_pydict({"id": ids[take], "cluster": lowest[take]})
+
+    def met(run, schema, marks=None):
+        rows = dealt if marks is None else dealt.join(marks, "id", "left").withColumn("mark", F.coalesce("mark", F.lit((1 << 63) - 1 if run is reached else 0)))
+        return _units(rows, cell_rows, guest_rows).mapInArrow(run, schema)
+
+    everyone = dealt.where("home").select("id")
+    n = met(degrees, "id long, n long").groupBy("id").agg((F.sum("n") + 1).alias("n"))
+    cores = kept(everyone if neighbours <= 1 else n.where(F.col("n") >= neighbours).select("id"), "dbscan-cores")
+    edges = kept(met(links, "a long, b long", cores.withColumn("mark", F.lit(1).cast("long"))), "dbscan-links")
+    found = components(edges, cores)
+    border = met(reached, "id long, cluster long", found.select("id", F.col("root").alias("mark"))).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return found.select("id", F.col("root").alias("cluster"), F.lit(True).alias("core")).unionByName(border.select("id", "cluster", F.lit(False).alias("core")))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -91,8 +91,7 @@ def cosine_pairs(spark, sf_dir):
 ce AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM cores) AND b IN (SELECT id FROM cores)), reach AS (SELECT id, id AS root FROM cores UNION SELECT ce.b, reach.root FROM reach JOIN ce ON ce.a = reach.id), l AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id)
 SELECT id, cluster, TRUE AS core FROM l UNION ALL SELECT e.a, min(l.cluster), FALSE FROM e JOIN l ON l.id = e.b WHERE e.a NOT IN (SELECT id FROM cores) GROUP BY e.a""")
 def dbscan_clusters(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    return similarity.dbscan(similarity.cosine_pairs(v, 0.4).select("a", "b"), v.select(F.col("vec_id").alias("id")))
+    return similarity.dbscan_vectors(table(spark, sf_dir, "embeddings"), 0.4)
 
 
 @query("WITH p AS (SELECT x.label AS cluster, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT cluster::BIGINT AS cluster, round(avg(c), 5) AS avg_cosine, avg(c) >= 0.3 AS good FROM p GROUP BY cluster")

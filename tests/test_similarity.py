@@ -102,3 +102,14 @@ def test_leader_clusters_in_ranges(spark, parts):
         led += [] if near else [(i, x)]
     got = similarity.leader_clusters(spark.createDataFrame(sets, "id long, shingles array<string>").repartition(3), 0.7, parts=parts).collect()
     assert len(got) == len(sets) and {r.id: r.leader for r in got} == want and len(led) < 60
+
+
+@pytest.mark.parametrize("neighbours,cell_rows,guest_rows", [(3, 2000, 200_000), (4, 9, 20), (1, 15, 7)])
+def test_dbscan_without_pairs(spark, neighbours, cell_rows, guest_rows):
+    """The clusters of the pairs, from meetings alone."""
+    rows = [*clustered(150, 9, 0.42), *clustered(30, 30, 0.1, seed=8)[:30], (900, [0.0] * 24)]
+    rows = [(i, v) for i, (_, v) in enumerate(rows)]
+    pairs = spark.createDataFrame(sorted(brute(rows, 0.85)), "a long, b long")
+    want = {tuple(r) for r in similarity.dbscan(pairs, spark.range(len(rows)), neighbours).collect()}
+    got = [tuple(r) for r in similarity.dbscan_vectors(frame(spark, rows), 0.85, neighbours, cell_rows, guest_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({c for _, c, _ in want}) > 3 and (neighbours == 1 or any(not core for *_, core in want))
