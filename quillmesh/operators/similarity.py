@@ -4,25 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
 from quillmesh.session import dropped, kept
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def shingle_table(rows: DataFrame, n: int = 3) -> DataFrame:
-    """One row a distinct signature: its least id, and its distinct shingles."""
-    one = tx.signature_text(F.col("text"))
-    s = rows.select("id", one.alias("norm")).groupBy("norm").agg(F.min("id").alias("id"))
-    return s.select("id", F.md5(F.col("norm").cast("binary")).alias("signature"), F.array_distinct(tx.shingles(F.col("norm"), n)).alias("shingles"))
-
-
 #: Items in this share of a sample's places, or in more, are told apart from rare ones: there are fewer of them than its inverse.
 _FREQUENT = 1 / 50_000
 _SAMPLE_ITEMS = 2_000_000  # items of the sets whose frequent items are counted
@@ -146,16 +134,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(check, "a long, b long, similarity double")
 
 
-def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles", parts: int = 7) -> DataFrame:
+def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles", parts: int | None = None) -> DataFrame:
     """(id, leader): walking the sets by ascending id, one joins the first earlier leader of at least that similarity, else it
     leads. One row an id; empty and null sets lead themselves.
 
     Ids are walked in ranges, each about as large as all before: a range first meets the leaders so far, of lower ids all, and
     joins the least like it. Only what is left, and so is near no earlier leader, is compared among itself and walked
     (see leaders). A group of copies is thus pairs of its leader with each, not of all with all, but for the range it first
-    shows up in. Ranges' ends are approximate quantiles, on which only the speed depends.
+    shows up in. Ranges' ends are approximate quantiles, on which only the speed depends, as it does on their number `parts`: by
+    itself as many as leave some thousand sets in the first, seven at the most.
     """
     hashed = _hashed(sets, key, items)
+    parts = parts or min(7, 1 + (hashed.count() // 4000).bit_length())
     frequent = _frequent(hashed)
     ends = hashed.agg(F.percentile_approx("id", [2.0**-k for k in range(parts - 1, 0, -1)], 1000)).first()[0] or []
     ends = [None, *sorted(set(ends)), None]

@@ -95,3 +95,15 @@ def test_csv_messages(spark):
     rows = spark.createDataFrame([("2024-01-02", "a", "spam"), ("nonsense", "b", "0"), (None, "", "1"), ("1700000000", None, "1")], "at string, said string, kind string")
     now = dt.datetime(2024, 5, 1)
     assert {(r.timestamp, r.text, r.is_spam) for r in src.csv_messages(rows, "at", "said", "kind", now).collect()} == {(dt.datetime(2024, 1, 2), "a", True), (now, "b", False)}
+
+
+def test_mined_rules_go_into_shadow(spark):
+    """New candidates are evaluated on the messages and decided on: precise ones are safe, the others are for review."""
+    from quillmesh.operators import lifecycle
+    from quillmesh.operators import rules as rl
+
+    rows = [(i, "exclusive dinosaur offer here" if i < 40 else "an ordinary message of the day", i < 40) for i in range(100)]
+    messages = spark.createDataFrame(rows, "id long, text string, is_spam boolean")
+    made = [rl.Rule.literal(1, ["exclusive dinosaur"], ["offer here"]), rl.Rule.literal(2, ["ordinary message"], ["of the day"])]
+    got = {r.rule_id: (r.status, r.safety) for r in lifecycle.mined_to_shadow(messages, made, None).collect()}
+    assert got == {1: ("shadow", "auto_safe"), 2: ("shadow", "requires_review")}
