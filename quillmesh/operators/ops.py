@@ -58,9 +58,11 @@ def _free(columns: list[str], name: str) -> str:
 def budgets(events: DataFrame, limit: float, period: str = "day", warn: float = 0.8, width: int = SLICE) -> DataFrame:
     """Each event with the running cost of its key and period, and its state; once exceeded, a period stays so.
 
-    Costs run within slices of time; what the period's earlier slices have cost comes from their sums, a row a slice.
+    Costs run within slices of time; what the period's earlier slices have cost comes from their sums, a row a slice. Doubles
+    added in another order differ in their last digits, which decides where a sum is just the limit. So the slices of a period up
+    to the one that exceeds the limit run as one, added in the order of time; later ones are above it in any order.
     """
-    at, before, start = (_free(events.columns, x) for x in ("_slice", "_before", "_period"))
+    at, before, start, run = (_free(events.columns, x) for x in ("_slice", "_before", "_period", "_run"))
     cost = F.greatest(F.col("value"), F.lit(0.0))
     rows = events.withColumn(start, F.date_trunc(period, "ts")).withColumn(at, F.floor(_micros(F.col("ts")) / width))
     sums = rows.groupBy("user_id", start, at).agg(F.sum(cost).alias(before))
@@ -69,8 +71,10 @@ def budgets(events: DataFrame, limit: float, period: str = "day", warn: float =
     names = {c: _free([*rows.columns, before], f"_of_{c}") for c in ("user_id", start, at)}
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     joined = rows.join(sums.withColumnsRenamed(names), same, "left").drop(*names.values())
-    within = Window.partitionBy("user_id", start, at).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumn("spent", F.sum(cost).over(within) + F.col(before)).drop(start, at, before)
+    above = F.col(before) > limit + 1e-6 * abs(limit)
+    joined = joined.withColumn(run, F.when(above, F.col(at)))
+    within = Window.partitionBy("user_id", start, run).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = joined.withColumn("spent", F.sum(cost).over(within) + F.when(above, F.col(before)).otherwise(0.0)).drop(start, at, before, run)
     return out.withColumn("state", F.when(F.col("spent") >= limit, "exceeded").when(F.col("spent") >= warn * limit, "warning").otherwise("ok"))
 
 

@@ -52,6 +52,17 @@ def test_budgets(spark, width):
     assert len(got) == len(rows) and len({d for _, d in spent}) > 1
 
 
+def test_budgets_at_the_limit(spark):
+    """Sums of doubles depend on their order: at the limit it is that of time, whatever the slices; above it slices run apart."""
+    values = [0.1, 0.2, 0.3, 0.7, 0.3, 0.2, 0.1]
+    rows = [(i, START + dt.timedelta(seconds=(0, 5, 7, 12, 14, 21, 22)[i]), 1, v) for i, v in enumerate(values)]
+    limit = 0.1 + 0.2 + 0.3
+    assert limit > 0.1 + (0.2 + 0.3)
+    got = {r.event_id: (r.spent, r.state) for r in ops.budgets(frame(spark, rows), limit, warn=0.9, width=5 * SECOND).collect()}
+    assert [got[i][1] for i in range(7)] == ["ok", "ok", *["exceeded"] * 5] and got[2][0] == limit
+    assert all(abs(got[i][0] - sum(values[: i + 1])) < 1e-9 for i in range(7))
+
+
 @pytest.mark.parametrize("capacity", [2, 3, 10, 1000])
 def test_cache_of_a_capacity(spark, capacity):
     """Slices give what one cache over all lookups gives."""
