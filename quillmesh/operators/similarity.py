@@ -27,11 +27,12 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
     n - ceil(threshold * n) + 1 of each. Rare items come first, in the order of their hashes, then the frequent ones by their
     counts: those are fewer than 50,000, so broadcast, and counted on a sample of sets, on which only the speed depends.
     Prefixes are joined by item; a pair goes on only if it can still share enough after the item's places in both. Sets meet
-    for verification in units (see _verified), so that a group of copies moves as often as it has blocks, not pairs.
+    for verification in units (see _meet), so that a group of copies moves as often as it has blocks, not pairs; most candidates
+    fall by sketches before that (see _sketches), and only sets of the others move.
     """
     hashed = _hashed(sets, key, items)
     ready = _prefixes(hashed, threshold, _frequent(hashed))
-    return _verified(_candidates(ready, ready, threshold), hashed, threshold)
+    return _verified(_candidates(ready, ready, threshold), hashed, _sketches(hashed), threshold)
 
 
 def _hashed(sets: DataFrame, key: str, items: str) -> DataFrame:
@@ -88,14 +89,78 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     return kept(a.join(b, near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "jaccard-candidates")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of those pairs(a, b), a < b, of sets(id, items) that reach the threshold.
+def _sketches(hashed: DataFrame) -> DataFrame:
+    """(id, n, bits): of each set of n items 2 n to 4 n bits, a power of two; a bit tells whether an odd number of items falls on it.
+    Bits in which two sets differ are no more than the items in which they do. Written once, a thirtieth or so of the sets."""
+    import numpy as np
+    import pyarrow as pa
+
+    def sketch(batches):
+        for batch in batches:
+            items = batch.column("items")
+            ends = items.offsets.to_numpy().astype(np.int64)
+            flat = items.values.to_numpy()
+            n = np.diff(ends)
+            wide = np.maximum(64, 1 << np.ceil(np.log2(2 * n)).astype(np.int64))
+            at = 0
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), side="right")) - 1)
+                own = wide[at:to]
+                starts = np.cumsum(own) - own
+                mixed = (flat[ends[at] : ends[to]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+                where = np.repeat(starts, n[at:to]) + (mixed.astype(np.int64) & np.repeat(own - 1, n[at:to]))
+                odd = np.bincount(where, minlength=int(own.sum())) & 1
+                data = np.packbits(odd.astype(np.uint8), bitorder="little")
+                offsets = np.append(starts, own.sum()) // 8
+                bits = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(at, to - at), "n": pa.array(n[at:to].astype(np.int32)), "bits": bits})
+                at = to
+
+    return kept(hashed.mapInArrow(sketch, "id long, n int, bits binary"), "jaccard-sketches")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those candidate pairs(a, b), a < b, of sets(id, items) that reach the threshold. The sketches meet first,
+    and leave out what differs in too many bits; the sets of the rest are compared. pairs are deleted."""
+    import numpy as np
+
+    def possible(x, y):
+        (n, p), (m, q) = x, y
+        while len(p) > len(q):
+            p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+        while len(q) > len(p):
+            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+        shared = (n + m - int(np.bitwise_count(p ^ q).sum())) // 2
+        return shared / (n + m - shared) if shared >= threshold * (n + m - shared) - 1e-9 else None
+
+    def similarity(x, y):
+        if len(x) > len(y):
+            x, y = y, x
+        shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return shared / (len(x) + len(y) - shared) if shared >= threshold * (len(x) + len(y) - shared) else None
+
+    def drawn(batch):
+        n, bits = batch.column("n").to_pylist(), batch.column("bits")
+        return lambda k: (n[k], np.frombuffer(bits[k].as_buffer(), np.uint64))
+
+    def listed(batch):
+        items = batch.column("items")
+        return lambda k: np.sort(items[k].values.to_numpy())
+
+    met, used = _meet(pairs, sketches, drawn, possible)
+    near = kept(met.select("a", "b"), "jaccard-near")
+    dropped(pairs, *used)
+    return _meet(near, sets, listed, similarity)[0]
+
+
+def _meet(pairs: DataFrame, sets: DataFrame, read, compare) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b, similarity) of those pairs(a, b), a < b, that compare() gives one, and the tables that this reads. sets has an id and
+    columns of which read(batch) makes what is compared, by row.
 
     A pair's unit is the least candidate of its smaller id, itself included, so that a group whose members are all candidates
     of each other is one unit. Each set goes once to a unit that has pairs of it; units of many sets are cut into
     pairs of blocks. A task holds two blocks and streams their pairs.
     """
-    import numpy as np
     import pyarrow as pa
 
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -105,33 +170,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(F.lit("block"), c), F.col("blocks")).cast("int")
     i, j = block("a"), block("b")
     tiles = kept(placed.join(sizes, "unit").select(F.xxhash64("unit", F.least(i, j), F.greatest(i, j)).alias("tile"), "a", "b"), "jaccard-tiles")
+    dropped(placed)
     needed = kept(tiles.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-needed")
-    needed = F.broadcast(needed) if needed.count() <= _FEW_ROWS else needed
-    rows = needed.join(sets, "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items")
-    rows = rows.unionByName(tiles.select("tile", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("array<bigint>").alias("items")))
+    few = needed.count() <= _FEW_ROWS
+    held = [c for c in sets.columns if c != "id"]
+    rows = (F.broadcast(needed) if few else needed).join(sets, "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), *held)
+    rows = rows.unionByName(tiles.select("tile", F.lit(1).alias("role"), "a", "b"), allowMissingColumns=True)
 
     def check(batches):
         at, held = None, {}
         for batch in batches:
             a, b, role, tile = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("role").to_pylist(), batch.column("tile").to_pylist()
-            items = batch.column("items")
+            own = read(batch)
             found = [], [], []
             for k, t in enumerate(tile):
                 if t != at:
                     at, held = t, {}
                 if role[k] == 0:
-                    held[a[k]] = np.sort(items[k].values.to_numpy())
+                    held[a[k]] = own(k)
                     continue
-                x, y = held[a[k]], held[b[k]]
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if shared >= threshold * (len(x) + len(y) - shared):
-                    for out, value in zip(found, (a[k], b[k], shared / (len(x) + len(y) - shared))):
-                        out.append(value)
+                value = compare(held[a[k]], held[b[k]])
+                if value is not None:
+                    for out, x in zip(found, (a[k], b[k], value)):
+                        out.append(x)
             yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "similarity": pa.array(found[2], pa.float64())})
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(check, "a long, b long, similarity double")
+    return rows.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(check, "a long, b long, similarity double"), [tiles, needed]
 
 
 def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: str = "shingles", parts: int | None = None) -> DataFrame:
@@ -146,7 +210,7 @@ def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: s
     """
     hashed = _hashed(sets, key, items)
     parts = parts or min(7, 1 + (hashed.count() // 4000).bit_length())
-    frequent = _frequent(hashed)
+    frequent, sketches = _frequent(hashed), _sketches(hashed)
     ends = hashed.agg(F.percentile_approx("id", [2.0**-k for k in range(parts - 1, 0, -1)], 1000)).first()[0] or []
     ends = [None, *sorted(set(ends)), None]
     done, led = [], []
@@ -156,12 +220,12 @@ def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: s
         own = kept(_prefixes(some, threshold, frequent), "leader-prefixes")
         rest = some.select("id")
         if led:
-            met = _verified(_candidates(reduce(DataFrame.unionByName, led), own, threshold), hashed, threshold)
+            met = _verified(_candidates(reduce(DataFrame.unionByName, led), own, threshold), hashed, sketches, threshold)
             found = kept(met.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "leader-found")
             done.append(found)
             rest = rest.join(found, "id", "left_anti")
             own = _replaced(own, kept(own.join(found, "id", "left_anti"), "leader-prefixes"))
-        pairs = _verified(_candidates(own, own, threshold), hashed, threshold)
+        pairs = _verified(_candidates(own, own, threshold), hashed, sketches, threshold)
         walked = kept(leaders(pairs.select("a", "b"), rest), "leader-walked")
         done.append(walked)
         led.append(_replaced(own, kept(own.join(walked.where("id = leader").select("id"), "id", "left_semi"), "leader-prefixes")))

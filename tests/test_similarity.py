@@ -77,6 +77,22 @@ def test_jaccard_of_frequent_items(spark, monkeypatch):
     assert got == want and (902, 903) in got and len(got) > 20
 
 
+def test_sketches_leave_few_sets_to_move(spark, monkeypatch):
+    """Candidates by a common prefix item that are far apart fall by their sketches; none that reaches the threshold does."""
+    import random
+
+    rng = random.Random(6)
+    sets = [(i, ["hot", *{f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 20, 90]))}]) for i in range(120)]
+    sets += [(1000 + i, [x for x in s if rng.random() < 0.9] + [f"n{i}"]) for i, s in sets[:60]]
+    written, keep = {}, similarity.kept
+    monkeypatch.setattr(similarity, "kept", lambda df, name="kept": written.setdefault(name, []).append(keep(df, name)) or written[name][-1])
+    monkeypatch.setattr(similarity, "dropped", lambda *frames: None)
+    got = {(r.a, r.b): r.similarity for r in similarity.jaccard_pairs(spark.createDataFrame(sets, "id long, shingles array<string>"), 0.6).collect()}
+    jac = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    assert got == {(a, b): jac(x, y) for a, x in sets for b, y in sets if a < b and jac(x, y) >= 0.6} and len(got) > 30
+    assert len(got) <= written["jaccard-near"][0].count() < 1.3 * len(got) < 0.5 * written["jaccard-candidates"][0].count()
+
+
 def test_nearest_goes_below_its_steps(spark):
     """Where too few rows are alike, the limit is halved until enough are found or none is left."""
     rows = spark.createDataFrame([(i, " ".join(f"a{i}x{j}" for j in range(30)) + " shared") for i in range(5)] + [(9, "nothing in common")], "id long, text string")
