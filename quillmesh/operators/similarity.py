@@ -30,16 +30,16 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
     for verification in units (see _meet), so that a group of copies moves as often as it has blocks, not pairs; most candidates
     fall by sketches before that (see _sketches), and only sets of the others move.
     """
-    hashed = _hashed(sets, key, items)
+    hashed = _hashed(sets, key, items).where(F.size("items") > 0)
     ready = _prefixes(hashed, threshold, _frequent(hashed))
     return _verified(_candidates(ready, ready, threshold), hashed, _sketches(hashed), threshold)
 
 
 def _hashed(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """(id, items) of the sets that hold something, items as distinct longs; written once."""
+    """(id, items) of the sets, items as distinct longs, none for null; written once."""
     plain = dict(sets.dtypes)[items] == "array<bigint>"
     values = F.array_distinct(F.col(items) if plain else F.transform(items, lambda x: F.xxhash64(x)))
-    return kept(sets.select(F.col(key).cast("long").alias("id"), values.alias("items")).where(F.size("items") > 0), "jaccard-sets")
+    return kept(sets.select(F.col(key).cast("long").alias("id"), F.coalesce(values, F.array().cast("array<bigint>")).alias("items")), "jaccard-sets")
 
 
 def _frequent(hashed: DataFrame) -> list[int]:
@@ -208,7 +208,8 @@ def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: s
     shows up in. Ranges' ends are approximate quantiles, on which only the speed depends, as it does on their number `parts`: by
     itself as many as leave some thousand sets in the first, seven at the most.
     """
-    hashed = _hashed(sets, key, items)
+    whole = _hashed(sets, key, items)
+    hashed = whole.where(F.size("items") > 0)
     parts = parts or min(7, 1 + (hashed.count() // 4000).bit_length())
     frequent, sketches = _frequent(hashed), _sketches(hashed)
     ends = hashed.agg(F.percentile_approx("id", [2.0**-k for k in range(parts - 1, 0, -1)], 1000)).first()[0] or []
@@ -229,8 +230,8 @@ def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: s
         walked = kept(leaders(pairs.select("a", "b"), rest), "leader-walked")
         done.append(walked)
         led.append(_replaced(own, kept(own.join(walked.where("id = leader").select("id"), "id", "left_semi"), "leader-prefixes")))
-    empty = sets.where(F.coalesce(F.size(items), F.lit(0)) <= 0).select(F.col(key).cast("long").alias("id"))
-    return reduce(DataFrame.unionByName, [*done, empty.select("id", F.col("id").alias("leader"))])
+    empty = whole.where(F.size("items") == 0).select("id", F.col("id").alias("leader"))
+    return reduce(DataFrame.unionByName, [*done, empty])
 
 
 def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int = 1 << 18) -> DataFrame:
