@@ -80,12 +80,12 @@ def _prefixes(hashed: DataFrame, threshold: float, frequent: list[int]) -> DataF
     return hashed.mapInArrow(prefixes, "id long, n int, place int, item long")
 
 
-def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b), a of left and b of right, a < b, that share an item of their prefixes and can share enough after it."""
+def _candidates(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = True) -> DataFrame:
+    """Distinct (a, b), a of left and b of right, a < b if `ordered`, that share an item of their prefixes and can share enough after it."""
     a, b = left.alias("a"), right.alias("b")
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     can = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= least
-    near = (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & can
+    near = (F.col("a.item") == F.col("b.item")) & ((F.col("a.id") < F.col("b.id")) if ordered else F.lit(True)) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & can
     return kept(a.join(b, near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "jaccard-candidates")
 
 
@@ -120,7 +120,7 @@ def _sketches(hashed: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of those candidate pairs(a, b), a < b, of sets(id, items) that reach the threshold. The sketches meet first,
+    """(a, b, similarity) of those candidate pairs(a, b) of sets(id, items), each in one order only, that reach the threshold. The sketches meet first,
     and leave out what differs in too many bits; the sets of the rest are compared. pairs are deleted."""
     import numpy as np
 
@@ -154,7 +154,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, threshold:
 
 
 def _meet(pairs: DataFrame, sets: DataFrame, read, compare) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b, similarity) of those pairs(a, b), a < b, that compare() gives one, and the tables that this reads. sets has an id and
+    """(a, b, similarity) of those pairs(a, b) that compare() gives one, and the tables that this reads. sets has an id and
     columns of which read(batch) makes what is compared, by row.
 
     A pair's unit is the least candidate of its smaller id, itself included, so that a group whose members are all candidates
@@ -559,17 +559,21 @@ def nearest(rows: DataFrame, others: DataFrame, k: int = 3, steps: tuple[float,
     limit is halved until one does, or until it is below what sets of the largest sizes have that share one token. Rows
     that share no token with any of the others are never near.
     """
-    sets = rows.select("id", tx.token_set(F.col("text")).alias("s")).where(F.size("s") > 0)
-    other = others.select(tx.token_set(F.col("text")).alias("s")).where(F.size("s") > 0).distinct()
-    key = F.md5(F.array_join("s", " ").cast("binary")).alias("key")
-    place = F.row_number().over(Window.partitionBy("s").orderBy("id"))
-    sets = sets.withColumn("place", place).where(F.col("place") <= k)
-    a = kept(_rarest_first(sets.groupBy("s").agg(F.collect_list("id").alias("ids")).select(key, "s", "ids"), other))
-    b = kept(_rarest_first(other.select(key, "s"), other))
-    most = sum(x.agg(F.max(F.size("tokens"))).first()[0] or 0 for x in (a, b))
+    own, other = _token_sets(rows.select("id", "text"), 0), _token_sets(others.select(F.lit(0).alias("id"), "text"), 1)
+    w = Window.partitionBy("digest").orderBy("id", "no")
+    placed = kept(own.select("digest", "id", "no").withColumn("place", F.row_number().over(w)).withColumn("first", F.first("no").over(w)).where(F.col("place") <= k).drop("digest"), "nearest-ids")
+    a = own.join(placed.where("place = 1").select("no"), "no", "left_semi").select(F.col("no").alias("id"), "items")
+    b = other.join(other.groupBy("digest").agg(F.min("no").alias("no")).select("no"), "no", "left_semi").select(F.col("no").alias("id"), "items")
+    a, b = kept(a, "nearest-sets"), kept(b, "nearest-sets")
+    both = a.unionByName(b)
+    frequent, sketches = _frequent(b), _sketches(both)
+    dropped(own, other)
+    most = sum(x.agg(F.max(F.size("items"))).first()[0] or 0 for x in (a, b))
     steps = list(steps)
     for least in steps:
-        found = kept(_best(a, b, least).join(a.select("key", "ids"), "key").select(F.explode("ids").alias("id"), "similarity").orderBy(F.desc("similarity"), "id").limit(k))
+        pairs = _candidates(_prefixes(a, least, frequent), _prefixes(b, least, frequent), least, ordered=False)
+        best = _verified(pairs, both, sketches, least).groupBy(F.col("a").alias("first")).agg(F.max("similarity").alias("similarity"))
+        found = kept(best.join(placed, "first").select("id", "similarity").orderBy(F.desc("similarity"), "id").limit(k), "nearest-found")
         if found.count() == k or least * most < 1:
             break
         if least == steps[-1]:
@@ -577,23 +581,10 @@ def nearest(rows: DataFrame, others: DataFrame, k: int = 3, steps: tuple[float,
     return found.orderBy(F.desc("similarity"), "id")
 
 
-def _rarest_first(sets: DataFrame, counted: DataFrame) -> DataFrame:
-    """sets with their tokens' hashes, those that are rarest in `counted` first."""
-    rarity = counted.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    flat = sets.select("key", F.explode("s").alias("t")).join(rarity, "t", "left").select("key", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t").alias("x"))
-    ordered = flat.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.xxhash64(x["t"])).alias("tokens"))
-    return sets.drop("s").join(ordered, "key")
-
-
-def _best(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(key, similarity): of each set of a that is at least so like one of b, the greatest similarity."""
-    n = F.size("tokens")
-    prefix = F.slice("tokens", 1, (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int")) if least else F.col("tokens")
-    left = a.select("key", n.alias("n"), F.explode(prefix).alias("t"))
-    right = b.select(F.col("key").alias("other"), n.alias("m"), F.explode(prefix).alias("t"))
-    sized = (F.col("n") >= F.lit(least) * F.col("m")) & (F.col("m") >= F.lit(least) * F.col("n"))
-    pairs = left.join(right, "t").where(sized).select("key", "other").distinct()
-    both = pairs.join(a.select("key", F.col("tokens").alias("x")), "key").join(b.select(F.col("key").alias("other"), F.col("tokens").alias("y")), "other")
-    c = F.size(F.array_intersect("x", "y"))
-    sims = both.select("key", (c / (F.size("x") + F.size("y") - c)).alias("similarity"))
-    return sims.where(F.col("similarity") >= least).groupBy("key").agg(F.max("similarity").alias("similarity"))
+def _token_sets(rows: DataFrame, odd: int) -> DataFrame:
+    """(id, no, digest, items) of the texts that have tokens: hashes of the tokens, a digest of all of them, and a number of the
+    row's own, odd or even as asked for. Written once."""
+    s = rows.select("id", tx.token_set(F.col("text")).alias("s")).where(F.size("s") > 0)
+    digest = F.sha2(F.array_join("s", " ").cast("binary"), 256).alias("digest")
+    items = F.array_distinct(F.transform("s", lambda x: F.xxhash64(x))).alias("items")
+    return kept(s.select("id", (F.monotonically_increasing_id() * 2 + odd).alias("no"), digest, items), "nearest-texts")

@@ -102,6 +102,25 @@ def test_nearest_goes_below_its_steps(spark):
     assert [r.id for r in similarity.nearest(rows.where("id > 3"), others).collect()] == [4]
 
 
+def test_nearest_moves_few_sets(spark, monkeypatch):
+    """The nearest by brute force, with copies, near ones and ids on both sides; only near candidates have their sets moved."""
+    import random
+
+    rng = random.Random(8)
+    words = lambda n: [f"w{min(rng.randrange(200), rng.randrange(200))}" for _ in range(n)]
+    others = [(i, " ".join(words(40))) for i in range(60)]
+    rows = [(i, " ".join(words(40))) for i in range(80)] + [(100 + i, " ".join([x for x in others[i % 3][1].split() if rng.random() < 0.9] + ["new"])) for i in range(4)]
+    rows += [(99, rows[-1][1]), (98, None), (97, "")]
+    sizes, keep = {}, similarity.kept
+    monkeypatch.setattr(similarity, "kept", lambda df, name="kept": (out := keep(df, name), sizes.setdefault(name, []).append(out.count()))[0])
+    make = lambda x: spark.createDataFrame(x, "id long, text string").repartition(3)
+    got = [(r.id, round(r.similarity, 9)) for r in similarity.nearest(make(rows), make(others)).collect()]
+    sim = lambda x, y: len(x & y) / len(x | y)
+    best = {i: max(sim(set(t.split()), set(u.split())) for _, u in others) for i, t in rows if t}
+    assert got == [(i, round(v, 9)) for i, v in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]]
+    assert 0 < sum(sizes["jaccard-near"]) < 0.2 * sum(sizes["jaccard-candidates"])
+
+
 @pytest.mark.parametrize("parts", [1, 3, 6])
 def test_leader_clusters_in_ranges(spark, parts):
     """Ranges of ids give what one walk gives; groups of copies, near ones, and chains; ids out of order."""
