@@ -524,29 +524,61 @@ def cluster_quality(clusters: DataFrame, vectors: DataFrame, key: str = "vec_id"
     return total.select("cluster", "n", F.try_divide(F.col("q") - F.col("n"), F.col("n") * (F.col("n") - 1.0)).alias("avg_cosine"))
 
 
+def _walked_means(rows, least: float, chunk: int = 256) -> list[int]:
+    """The clusters of centroid_clusters() of the rows of a matrix, in their order.
+
+    A chunk of rows meets the means so far in one product of matrices; those that the chunk moves or adds are met one by one.
+    Means within rounding of the closest are measured again, each by itself, so that no result depends on the chunks.
+    """
+    import numpy as np
+
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-300)
+    exact = lambda v, m: float(v @ m / (np.linalg.norm(v) * np.linalg.norm(m) or 1.0))
+    means, units, sizes, own = np.zeros((1024, rows.shape[1])), np.zeros((1024, rows.shape[1])), [], []
+    for at in range(0, len(rows), chunk):
+        part = rows[at : at + chunk]
+        points = unit(part)
+        known = points @ units[: len(sizes)].T
+        moved: list[int] = []
+        fresh = np.zeros_like(part)  # unit means of the moved ones, in that order
+        for i, v in enumerate(part):
+            sims = known[i], fresh[: len(moved)] @ points[i]
+            top = np.max([x.max(initial=-np.inf) for x in sims])  # not a number if one is none
+            close = []
+            if top >= least - 1e-9:
+                close = sorted([*np.flatnonzero(sims[0] >= top - 1e-9).tolist(), *(moved[j] for j in np.flatnonzero(sims[1] >= top - 1e-9).tolist())])
+            values = [exact(v, means[j]) for j in close]
+            k = close[int(np.argmax(values))] if values and max(values) >= least else len(sizes)
+            if k == len(sizes):
+                if k == len(means):
+                    means, units = (np.concatenate([x, np.zeros_like(x)]) for x in (means, units))
+                means[k] = v
+                sizes.append(1)
+            else:
+                means[k] = (means[k] * sizes[k] + v) / (sizes[k] + 1)
+                sizes[k] += 1
+            units[k] = unit(means[k])
+            if k not in moved:
+                moved.append(k)
+                if k < known.shape[1]:
+                    known[:, k] = -np.inf
+            fresh[moved.index(k)] = units[k]
+            own.append(k)
+    return own
+
+
 def centroid_clusters(vectors: DataFrame, block: Column, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(block, id, cluster): in each block, in the order of ids, a vector joins the running mean it is closest to, if that is
     close enough, else it starts one. The order makes this sequential: blocks are its unit of work, to be kept small by their
-    choice, and like vectors of two blocks never join."""
+    choice, and like vectors of two blocks never join. What a block takes grows with its vectors times its means, as products of
+    matrices (see _walked_means)."""
     import numpy as np
     import pandas as pd
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        means, sizes, own = [], [], []
-        for v in pdf.v:
-            v = np.asarray(v, float)
-            sims = [float(v @ m / (np.linalg.norm(v) * np.linalg.norm(m) or 1.0)) for m in means]
-            k = int(np.argmax(sims)) if sims else 0
-            if sims and sims[k] >= least:
-                means[k] = (means[k] * sizes[k] + v) / (sizes[k] + 1)
-                sizes[k] += 1
-            else:
-                means.append(v)
-                sizes.append(1)
-                k = len(means) - 1
-            own.append(k)
-        return pd.DataFrame({"block": pdf.block, "id": pdf.id, "cluster": own})
+        rows = np.array([np.asarray(v, float) for v in pdf.v]).reshape(len(pdf), -1)
+        return pd.DataFrame({"block": pdf.block, "id": pdf.id, "cluster": _walked_means(rows, least)})
 
     return vectors.select(block.cast("long").alias("block"), F.col(key).alias("id"), F.col(vector).alias("v")).groupBy("block").applyInPandas(walk, "block long, id long, cluster long")
 

@@ -148,3 +148,23 @@ def test_dbscan_without_pairs(spark, neighbours, cell_rows, guest_rows):
     want = {tuple(r) for r in similarity.dbscan(pairs, spark.range(len(rows)), neighbours).collect()}
     got = [tuple(r) for r in similarity.dbscan_vectors(frame(spark, rows), 0.85, neighbours, cell_rows, guest_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({c for _, c, _ in want}) > 3 and (neighbours == 1 or any(not core for *_, core in want))
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 256])
+def test_means_walked_in_chunks(chunk):
+    """The walk one by one, whatever the chunks; copies, vectors of length zero, and more means than are first made room for."""
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([np.array([v for _, v in clustered(400, 9, 0.5)]), rng.normal(size=(1100, 24)), np.zeros((3, 24))])
+    rows = np.concatenate([rows, rows[:40]])[rng.permutation(len(rows) + 40)]
+    means, sizes, want = [], [], []
+    for v in rows:
+        sims = [float(v @ m / (np.linalg.norm(v) * np.linalg.norm(m) or 1.0)) for m in means]
+        k = int(np.argmax(sims)) if sims else 0
+        if sims and sims[k] >= 0.75:
+            means[k], sizes[k] = (means[k] * sizes[k] + v) / (sizes[k] + 1), sizes[k] + 1
+        else:
+            k = len(means)
+            means.append(v)
+            sizes.append(1)
+        want.append(k)
+    assert similarity._walked_means(rows, 0.75, chunk) == want and len(means) > 1024 and max(sizes) > 9
