@@ -276,9 +276,11 @@ def sample_run(messages: DataFrame, rules: Sequence[Rule], n: int = 10) -> DataF
 
 def accepted_on_sample(messages: DataFrame, rules: Sequence[Rule], n_spam: int = 20, n_ham: int = 50, least_precision: float = 0.85, most_ham: float = 0.05) -> DataFrame:
     """(rule_id, spam_matches, ham_matches, accepted) on the first spam and ham messages by id: a rule that matches some, with
-    enough precision and few of the ham, is accepted. A sampling operator: its bounds are the feature."""
+    enough precision and few of the ham, is accepted. A sampling operator: its bounds are the feature. The larger bound is a plain
+    number, of which Spark keeps the first rows a task before it shuffles."""
     place = F.row_number().over(Window.partitionBy("is_spam").orderBy("id"))
-    rows = messages.where("is_spam is not null").withColumn("place", place).where(F.col("place") <= F.when(F.col("is_spam"), n_spam).otherwise(n_ham))
+    first = (F.col("place") <= max(n_spam, n_ham)) & (F.col("place") <= F.when(F.col("is_spam"), n_spam).otherwise(n_ham))
+    rows = messages.where("is_spam is not null").withColumn("place", place).where(first)
     c = _counts(rows, rules).withColumnsRenamed({"spam_hits": "spam_matches", "ham_hits": "ham_matches"})
     ham = F.col("total") - F.col("total_spam")
     precise = F.try_divide(F.col("spam_matches").cast("double"), F.col("spam_matches") + F.col("ham_matches")) >= least_precision

@@ -171,3 +171,11 @@ def test_package(spark, tmp_path):
 
 def rl_table(spark, rows):
     return spark.createDataFrame([(*r, 10, "manual", "2024-01-01", 0.9, 0.5, 0.1) for r in rows], "rule_id long, status string, sql_expression string, pattern_id long, origin string, created_at string, precision double, recall double, coverage double")
+
+
+def test_sample_is_cut_before_it_is_shuffled(spark):
+    """The first rows of each label are found in each task, so no task reads all texts of one label."""
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id", "id % 5 = 0 as is_spam", "repeat('free words ', 3) as text").repartition(8, "id")
+    out = rl.accepted_on_sample(rows, [rl.Rule(1, rl.contains("free"))])
+    assert [(r.spam_matches, r.ham_matches, r.accepted) for r in out.collect()] == [(20, 50, False)]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
