@@ -106,3 +106,23 @@ def test_redact_struct(spark):
     df = spark.createDataFrame([(("me@x.org", [("10.0.0.1", 5), (None, None)], {"k": "http://a.b/c", "n": None}),), ((None, None, None),)], T.StructType([T.StructField("s", kind)]))
     got = [r.x.asDict(True) for r in df.select(pii.redact_struct(F.col("s"), kind).alias("x")).collect()]
     assert got == [{"a": "***@x.org", "b": [{"c": "10.0.0.xxx", "n": 5}, {"c": None, "n": None}], "m": {"k": "http://a.b/***", "n": None}}, {"a": None, "b": None, "m": None}]
+
+
+def test_lists_of_words_by_first_letter(spark):
+    """Words tried by their first letter match as Python's list of them does: order, edges, cases, marks, and longer words."""
+    import re
+
+    checks = [c for c in (*packs.COMMERCIAL, *packs.GENERIC) if c.listed()]
+    words = [re.sub(r"\\.\??|\[.*\]\??", " ", w) for c in checks for w in c.pattern[5:-3].split("|")]
+    texts = [f"{a}{x}{b}" for x in words for a, b in ((" ", " "), ("x", ""), ("", "x"), ("-", "\u0301"), ("\u2764", "."), ("", " " + x.upper()))]
+    texts += [" ".join(words), " ".join(words).upper(), "for sale forsale saleforsale", "PIN pin pIn", "дистанционн работа, онлайн и работ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: list(r[2:]) for r in rows.select("i", "t", *[c._matches(F.col("t")).alias(f"c{k}") for k, c in enumerate(checks)]).collect()}
+    want = {i: [sum(1 for _ in re.finditer(c.pattern, t, re.I | re.M)) for c in checks] for i, t in enumerate(texts)}
+    assert got == want and len(checks) >= 12
+
+
+def test_five_words(spark):
+    texts = [None, "", " ", "a b c d", " a\u00a0b\u2003c\td\ne ", "a b c d ", "x" * 50_000, " a b\u200bc d\n\n", "\x0b1 2 3 4 5 6", "a " * 900]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select((F.size(tx.words(F.col("t"))) >= 5).alias("want"), F.col("t").isNull().alias("null"), packs._five_words(F.col("t")).alias("got")).collect()
+    assert [r.got for r in rows] == [None if r.null else r.want for r in rows] and {r.want for r in rows} >= {True, False}
