@@ -33,6 +33,9 @@ class Check:
     count: str | None = None  # counts matches of this instead
     pieces: tuple[str, ...] = ()  # each match contains one of these, in lower case,
     digits: bool = False  # or a digit
+    twice: bool = False  # two pieces at least
+    emoji: bool = False  # or an emoji
+    starts: str = ""  # characters that a match begins with, as those of a class
 
     def needles(self) -> list[str]:
         """Pieces one of which is in every text that matches, in lower case; none where no such pieces are known.
@@ -47,16 +50,19 @@ class Check:
 
     @property
     def gated(self) -> bool:
-        return self.digits or bool(self.needles())
+        return self.digits or self.emoji or bool(self.needles())
 
     def matches(self, text: Column, may: Column) -> Column:
-        """Matches; not tried where `may` says that there can be none."""
+        """Matches, of which one is enough where no score depends on their number; not tried where `may` says that there can be none."""
         return F.when(may, self._matches(text)).otherwise(0) if self.gated else self._matches(text)
 
     def _matches(self, text: Column) -> Column:
         """Marks, such as those of emoji, are no part of words here, unlike in Java's own \\b and \\w."""
         pattern = self.listed() or self.pattern.replace(r"\b", _EDGE).replace(r"\w", _WORD)
-        return F.regexp_count(text, F.lit(("(?dmU)" if self.cased else "(?diuUm)") + pattern))
+        if self.starts:
+            pattern = f"(?=[{self.starts}])(?:{pattern})"
+        pattern = F.lit(("(?dmU)" if self.cased else "(?diuUm)") + pattern)
+        return F.regexp_count(text, pattern) if self.step and not self.count else F.regexp_like(text, pattern).cast("int")
 
     def listed(self) -> str | None:
         """The pattern of a plain list of words in Java's form, None for other patterns. The next character is looked at before the
@@ -86,10 +92,10 @@ COMMERCIAL = (
     Check("promotion", "Commercial promotion", r"\b(?:акция|скидка|распродажа|sale|discount|promotion|limited time|special offer|предложение|специальное|бесплатно|free|bonus|gift|подарок|бонус)\b", 0.7, 0.1, 0.95),
     Check("service_offer", "Service offer", r"\b(?:услуги|услуга|service|services|предлагаю|offer|предложение|available|доступно|оказываю|выполню|сделаю|делаю)\b", 0.5, 0.1, 0.85),
     Check("contact_info", "Contact request (commercial context)", r"\b(?:пиши|write|dm|pm|contact|связь|связаться|звоните|позвони|call|whatsapp|messenger|тг|т\.?м\.?е\.?)\b", 0.5, 0.1, 0.85),
-    Check("price_mention", "Price or money mention", r"\b(?:\$\d+|\d+\s*\$|\d+\s*(?:руб|rub|usd|eur|€|₽)|цена|стоимость|price|cost|стоит|от\s*\d+|\d+\s*за)\b", 0.5, 0.1, 0.85, pieces=("цена", "стоимость", "price", "cost", "стоит"), digits=True),
-    Check("multiple_urls", "Multiple URLs (commercial spam indicator)", _TWO_URLS, 0.5, 0.15, 0.9, pieces=_URL_PIECES),
+    Check("price_mention", "Price or money mention", r"\b(?:\$\d+|\d+\s*\$|\d+\s*(?:руб|rub|usd|eur|€|₽)|цена|стоимость|price|cost|стоит|от\s*\d+|\d+\s*за)\b", 0.5, 0.1, 0.85, pieces=("цена", "стоимость", "price", "cost", "стоит"), digits=True, starts=r"$\dцсоpc"),
+    Check("multiple_urls", "Multiple URLs (commercial spam indicator)", _TWO_URLS, 0.5, 0.15, 0.9, pieces=_URL_PIECES, twice=True, starts="hwtb"),
     Check("messenger_link", "Telegram link (commercial spam indicator)", r"(?:https?://)?(?:t\.me|messenger\.me)/[^\s]+", 0.5, 0.15, 0.9, pieces=("t.me/", "messenger.me/")),
-    Check("excessive_emoji", "Excessive emojis (commercial spam pattern)", ".*".join([tx.EMOJI] * 4), 0.4, 0.03, 0.85, True, tx.EMOJI),
+    Check("excessive_emoji", "Excessive emojis (commercial spam pattern)", ".*".join([tx.EMOJI] * 4), 0.4, 0.03, 0.85, True, tx.EMOJI, emoji=True),
     Check("excessive_caps", "Excessive capitalization", r"[A-ZА-ЯЁ]{10,}", 0.55, cased=True),
     Check("repeated_symbols", "Repeated characters/symbols", tx.REPEATED, 0.55, cased=True),
     Check("phishing_urgent", "Phishing: Urgent action required", r"\b(?:urgent|срочно|немедленно|immediate|act now|verify now|confirm now|требуется подтверждение|нужна верификация|account suspended|аккаунт заблокирован|account locked|блокировка|suspended|заблокирован)\b", 0.75, 0.1, 0.95),
@@ -98,7 +104,7 @@ COMMERCIAL = (
     Check("phishing_payment_request", "Phishing: Payment request", r"\b(?:payment required|требуется оплата|payment overdue|просрочен платеж|payment failed|платеж не прошел|update payment|обновить платеж|payment information|платежная информация|billing information|платежные данные)\b", 0.75, 0.1, 0.95),
     Check("phishing_credentials", "Phishing: Credentials request", r"\b(?:password|пароль|login|логин|username|имя пользователя|credentials|учетные данные|security code|код безопасности|verification code|код подтверждения|PIN|пин-код|enter your|введите ваш|your password|ваш пароль)\b", 0.65, 0.1, 0.9),
     Check("phishing_suspicious_link", "Phishing: Suspicious link request", r"(?:click here|нажмите здесь|click link|перейдите по ссылке|follow link|follow this link|open link|откройте ссылку).*(?:http|https|www\.|bit\.ly|t\.me|goo\.gl|tinyurl)", 0.65, 0.1, 0.9, pieces=("click here", "нажмите здесь", "click link", "перейдите по ссылке", "follow link", "follow this link", "open link", "откройте ссылку")),
-    Check("phone", "Phone number (commercial context)", _PHONE, 0.6, digits=True),
+    Check("phone", "Phone number (commercial context)", _PHONE, 0.6, digits=True, starts=r"+(\d"),
     Check("short_commercial", "Short commercial phrase", r"^(?:пиши|готов|интересно|write|dm|pm|купить|продать|продам|куплю)\s*[!?]*\s*$", 0.5, pieces=("пиши", "готов", "интересно", "write", "dm", "pm", "купить", "продать", "продам", "куплю")),
 )
 
@@ -114,7 +120,7 @@ SHORT_WORDS = (
 # Names, reasons, patterns and weights of the generic pack.
 GENERIC = (
     Check("url", "Contains URL", r"\b(?:https?://|www\.)[\w\-]+(\.[\w\-]+)+(?:/[\w\-._~:/?#\[\]@!$&'()*+,;=%]*)?", 0.0, 0.35, 0.9, pieces=("http://", "https://", "www.")),
-    Check("phone", "Contains phone number", _PHONE, 0.0, 0.35, 0.9, digits=True),
+    Check("phone", "Contains phone number", _PHONE, 0.0, 0.35, 0.9, digits=True, starts=r"+(\d"),
     Check("email", "Contains email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.0, 0.35, 0.9, pieces=("@",)),
     Check("crypto_wallet", "Contains cryptocurrency wallet", r"\b(?:0x[a-fA-F0-9]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-z0-9]{39,59})\b", 0.0, 0.35, 0.9, digits=True),
     Check("scam_phrase", "Contains scam phrase", r"\b(?:click here|urgent|limited time|act now|free money|guaranteed|no risk|congratulations|winner|prize|claim now|click below|verify account|suspended|locked|expire|immediate action)\b", 0.0, 0.35, 0.9),
@@ -126,7 +132,7 @@ GENERIC = (
     Check("repetitive_emoji", "Repetitive emoji or symbol pattern", r"(.)\1{3,}", 0.0, 0.35, 0.9, True),
     Check("sale_promotion", "Sale or promotion", r"\b(?:sale|discount|promotion|limited time|special offer|акция|скидка|распродажа|предложение|специальное)\b", 0.0, 0.35, 0.9),
     Check("short_spam_phrase", "Short spam phrase", r"^(?:пиши|готов|интересно|write|dm|pm)\s*[!?]*\s*$", 0.0, 0.35, 0.9, pieces=("пиши", "готов", "интересно", "write", "dm", "pm")),
-    Check("multiple_urls", "Multiple URLs detected", _TWO_URLS, 0.0, 0.4, 0.9, pieces=_URL_PIECES),
+    Check("multiple_urls", "Multiple URLs detected", _TWO_URLS, 0.0, 0.4, 0.9, pieces=_URL_PIECES, twice=True, starts="hwtb"),
 )
 
 
@@ -138,18 +144,22 @@ def _gate(checks):
     """A column function of the text in lower case: bit i says that check i may match, found for all checks in one walk of an
     automaton of their pieces. Checks without pieces, and null texts, have no bits."""
     needles = [c.needles() for c in checks]
-    digits = sum(1 << i for i, c in enumerate(checks) if c.digits)
+    digits, emoji, twice = (sum(1 << i for i, c in enumerate(checks) if getattr(c, kind)) for kind in ("digits", "emoji", "twice"))
 
     @F.arrow_udf("long")
     def may(lower: pa.Array) -> pa.Array:
         automaton = _automaton(tuple(map(tuple, needles)))
-        digit = re.compile(r"\d").search
+        digit, face = re.compile(r"\d").search, re.compile(tx.EMOJI).search
         out = []
         for x in lower:
-            text, bits = x.as_py(), 0
+            text, bits, again = x.as_py(), 0, 0
             if text:
                 for _, own in automaton.iter(text):
+                    again |= bits & own
                     bits |= own
+                bits &= again | ~twice
+                if emoji and not text.isascii() and face(text):
+                    bits |= emoji
                 if digits and digit(text):
                     bits |= digits
             out.append(bits)

@@ -67,9 +67,9 @@ def count_of(text: Column, needles) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Line breaks as \\n, runs of blanks as one, no blanks around breaks or at the ends, no empty lines."""
-    out = F.regexp_replace(text, "\r\n?", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" *\n *", "\n"), r"\n+", "\n")
+    out = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    out = F.regexp_replace(F.regexp_replace(out, r"^\s+|\s+$", ""), r"[ \t]{2,}|\t", " ")  # one blank is left as it stands
+    return F.regexp_replace(F.regexp_replace(out, r" \n ?|\n ", "\n"), r"\n{2,}", "\n")
 
 
 def clean_text(text: Column, most: int = 8192) -> Column:
@@ -93,13 +93,13 @@ def features(text: Column) -> dict[str, Column]:
     """The counts and rates of one message."""
     length = F.length(text)
     return {
-        "urls": F.regexp_count(text, F.lit(f"(?i){URL_MARK}")),
-        "phones": F.regexp_count(text, F.lit(PHONE_MARK)),
-        "emails": F.regexp_count(text, F.lit(f"(?i){EMAIL}")),
+        "urls": F.regexp_count(text, F.lit(f"(?i)(?=[hwtb])(?:{URL_MARK})")),
+        "phones": F.regexp_count(text, F.lit(f"(?=[\\d+])(?:{PHONE_MARK})")),
+        "emails": F.when(F.contains(text, F.lit("@")), F.regexp_count(text, F.lit(f"(?i){EMAIL}"))).when(text.isNotNull(), 0),
         "emoji_count": F.regexp_count(text, F.lit(EMOJI)),
         "caps_ratio": F.when(length > 0, F.regexp_count(text, F.lit(r"\p{Lu}")) / length).otherwise(F.lit(0.0)),
-        "exclamation": F.regexp_count(text, F.lit("!")),
-        "question": F.regexp_count(text, F.lit(r"\?")),
+        "exclamation": occurrences(text, "!").cast("int"),
+        "question": occurrences(text, "?").cast("int"),
         "word_count": F.size(words(text)),
         "char_count": length,
         "repeated_chars": F.regexp_like(text, F.lit(REPEATED)),

@@ -126,3 +126,16 @@ def test_five_words(spark):
     texts = [None, "", " ", "a b c d", " a\u00a0b\u2003c\td\ne ", "a b c d ", "x" * 50_000, " a b\u200bc d\n\n", "\x0b1 2 3 4 5 6", "a " * 900]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select((F.size(tx.words(F.col("t"))) >= 5).alias("want"), F.col("t").isNull().alias("null"), packs._five_words(F.col("t")).alias("got")).collect()
     assert [r.got for r in rows] == [None if r.null else r.want for r in rows] and {r.want for r in rows} >= {True, False}
+
+
+def test_gates_leave_out_what_cannot_match(spark):
+    """One link is not two, texts without emoji aren't tried for them; what remains is found as before."""
+    places = {c.name: i for i, c in enumerate(packs.COMMERCIAL)}
+    texts = ["see http://a.b/c", "http://a.b www.c.d", "http://a.b\nwww.c.d", "T.ME/x, Bit.Ly", "plain", "é", "😀 😀 a 😀 😀", "😀"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.g for r in rows.select("i", packs._gate(packs.COMMERCIAL)(F.lower("t")).alias("g")).orderBy("i").collect()]
+    bit = lambda name: [bool(g >> places[name] & 1) for g in got]
+    assert bit("multiple_urls") == [False, True, True, True, False, False, False, False]
+    assert bit("excessive_emoji") == [False] * 6 + [True] * 2
+    names = [[x["name"] for x in r.c] for r in rows.select("i", packs.commercial(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert ["multiple_urls" in n for n in names] == [False, True, False, True] + [False] * 4 and ["excessive_emoji" in n for n in names] == [False] * 6 + [True, False]
