@@ -112,9 +112,17 @@ def has_commercial_context(text: Column) -> Column:
 
 def signature_text(text: Column) -> Column:
     """Lower case with placeholders for links, phones, e-mails and prices, in this order, and single spaces."""
+    def marked(out: Column, pattern: str, mark: str, needles) -> Column:
+        return let(out, lambda t: F.when(any_of(t, needles), F.regexp_replace(t, pattern, mark)).otherwise(t))
+
     out = F.lower(text)
-    for pattern, mark in ((r"https?://[^\s]+", "[URL]"), (r"www\.[^\s]+", "[URL]"), (r"t\.me/[^\s]+", "[MESSENGER]"), (SIGNATURE_PHONE, "[PHONE]"), (EMAIL, "[EMAIL]"), (SIGNATURE_PRICE, "[PRICE]"), (r"(?U)\s+", " ")):
-        out = F.regexp_replace(out, pattern, mark)
+    steps = (
+        (r"https?://[^\s]+", "[URL]", ("://",)), (r"www\.[^\s]+", "[URL]", ("www.",)), (r"t\.me/[^\s]+", "[MESSENGER]", ("t.me/",)), (SIGNATURE_PHONE, "[PHONE]", ("+",)),
+        (EMAIL, "[EMAIL]", ("@",)), (rf"(?=[$\d])(?:{SIGNATURE_PRICE})", "[PRICE]", ("$", "руб", "rub", "usd", "eur")),
+    )
+    for step in steps:  # a pattern is tried where a piece of it is
+        out = marked(out, *step)
+    out = F.regexp_replace(out, r"(?U)\s{2,}|[\s&&[^ ]]", " ")  # one blank is left as it stands
     return F.trim(out)
 
 

@@ -59,10 +59,10 @@ def signals(spam: DataFrame) -> DataFrame:
 def signature_clusters(spam: DataFrame, least: int = 5, examples: int = 5) -> DataFrame:
     """Messages with one signature, from `least` on: signature, cnt and the texts (of 200 characters) of the first ids.
 
-    One scan: each row has its place among those of its signature, of which Spark keeps the first few a task before it
-    shuffles; sizes are counted on the map side. No group is gathered.
+    Signatures are made once and written, with the texts' beginnings. Each row has its place among those of its signature, of
+    which Spark keeps the first few a task before it shuffles; sizes are counted on the map side. No group is gathered.
     """
-    rows = spam.select("id", F.substring("text", 1, 200).alias("example"), tx.signature(F.col("text")).alias("signature"))
+    rows = kept(spam.select("id", F.substring("text", 1, 200).alias("example"), tx.signature(F.col("text")).alias("signature")), "signatures")
     counts = rows.groupBy("signature").agg(F.count("*").alias("cnt"), F.min("id").alias("first_id")).where(F.col("cnt") >= least)
     firsts = examples_of(rows, "signature", "id", examples).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("place", "example"))).alias("e"))
     return counts.join(firsts.select("signature", F.col("e.example").alias("examples")), "signature")

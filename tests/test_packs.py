@@ -139,3 +139,22 @@ def test_gates_leave_out_what_cannot_match(spark):
     assert bit("excessive_emoji") == [False] * 6 + [True] * 2
     names = [[x["name"] for x in r.c] for r in rows.select("i", packs.commercial(F.col("t")).alias("c")).orderBy("i").collect()]
     assert ["multiple_urls" in n for n in names] == [False, True, False, True] + [False] * 4 and ["excessive_emoji" in n for n in names] == [False] * 6 + [True, False]
+
+
+def test_signatures_are_made_once_and_whole(spark):
+    """Placeholders as of the plain chain of patterns, and no pattern in the plan of the clusters."""
+    from quillmesh.operators import signals
+
+    t = F.col("text")
+    plain = F.lower(t)
+    for pattern, mark in ((r"https?://[^\s]+", "[URL]"), (r"www\.[^\s]+", "[URL]"), (r"t\.me/[^\s]+", "[MESSENGER]"), (tx.SIGNATURE_PHONE, "[PHONE]"), (tx.EMAIL, "[EMAIL]"), (tx.SIGNATURE_PRICE, "[PRICE]"), (r"(?U)\s+", " ")):
+        plain = F.regexp_replace(plain, pattern, mark)
+    odd = [None, "", "  \t a b \n\nc ", "5 $ 7$ $8 9 РУБ 3 usd 4\neur", "+1 2 3 a.b@c.de www.x http:// t.me/ T.ME/q", "$", "rub 5rub"]
+    rows = texts(spark).unionByName(spark.createDataFrame([(-9000 - i, x) for i, x in enumerate(odd)], "id long, text string"))
+    assert rows.where(~tx.signature_text(t).eqNullSafe(F.trim(plain))).count() == 0
+    old = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), r"^\s+|\s+$", ""), r"[ \t]+", " ")
+    old = F.regexp_replace(F.regexp_replace(old, r" *\n *", "\n"), r"\n+", "\n")
+    more = spark.createDataFrame([(x,) for x in [*odd, "a \r\n \r b\r", "\n \n \n", "a\t\n \t\nb  c\td", " \n\n a \n b\n "]], "text string")
+    assert rows.select("text").unionByName(more).where(~tx.normalize_text(t).eqNullSafe(old)).count() == 0
+    plan = signals.signature_clusters(rows, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
