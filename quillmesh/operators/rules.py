@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +41,12 @@ class Rule:
     def sql(self) -> str:
         return f"SELECT id, is_spam FROM messages WHERE {self.predicate}"
 
-    def column(self) -> Column:
-        return F.expr(self.predicate)
+    def column(self, lower: Column | None = None) -> Column:
+        """The predicate; of literals alone by the text in lower case, where it is given as a column."""
+        if lower is None or not self.parts:
+            return F.expr(self.predicate)
+        met = [reduce(or_, [F.contains(lower, F.lit(x.lower())) for x in needles]) for needles in self.parts]
+        return reduce(and_, met)
 
 
 def literal(value: str) -> str:
@@ -108,18 +114,20 @@ _ONE_BY_ONE = 64
 
 
 def matches_of(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(id, is_spam, rule_ids) of every message, with the ids of the rules that match it."""
+    """(id, is_spam, rule_ids) of every message, with the ids of the rules that match it. A text is put in lower case once."""
     literals = [r for r in rules if r.parts]
     if len(literals) <= _ONE_BY_ONE:
         literals = []
-    tests = [F.when(r.column(), F.lit(r.rule_id).cast("long")) for r in rules if not literals or not r.parts]
+    messages = messages.withColumn("_lower", F.lower("text"))
+    tests = [F.when(r.column(F.col("_lower")), F.lit(r.rule_id).cast("long")) for r in rules if not literals or not r.parts]
     found = F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<bigint>")
     return replay.matched(messages, literals, found) if literals else messages.select("id", "is_spam", found.alias("rule_ids"))
 
 
 def hits(messages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(rule_id, id, is_spam) of every match: the rules are tested side by side in one scan, and only matches come out."""
-    return matches_of(messages, rules).select("id", "is_spam", F.explode("rule_ids").alias("rule_id"))
+    """(rule_id, id, is_spam) of every match: the rules are tested side by side in one scan, and only matches come out. As an
+    outer explode, since for a plain one Spark first tests all rules to see which rows have none."""
+    return matches_of(messages, rules).select("id", "is_spam", F.explode_outer("rule_ids").alias("rule_id")).where("rule_id is not null")
 
 
 def _counts(messages: DataFrame, rules: Sequence[Rule], batch: int = 100) -> DataFrame:

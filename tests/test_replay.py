@@ -64,3 +64,14 @@ def test_compiled_rules_are_literal():
     r = rl.compile_rule(3, "group_invite", ["join", "группа"], pattern_id=9)
     assert r.parts[0] == ("join", "группа") and "t.me" in r.parts[1] and r.pattern_id == 9 and r.predicate == rl.compile_pattern("group_invite", ["join", "группа"])
     assert rl.compile_rule(4, "phone").parts == ()
+
+
+def test_rules_test_a_text_once(spark):
+    """One lower-casing and one array of tests in the plan of hits; the same matches as of the predicates one by one."""
+    texts = ["Join our GROUP, money", "join us", "Группа канал t.me/x", None, "", "AAAAAAAAAAAA sale", "call +1 234", "JOINſ deal buy"]
+    rows = spark.createDataFrame([(i, i % 2 == 0, t) for i, t in enumerate(texts)], "id long, is_spam boolean, text string")
+    rules = [rl.compile_rule(1, "group_invite", ["Join", "группа"]), rl.compile_rule(2, "keyword", ["sale", "US"]), rl.compile_rule(3, "phone"), rl.compile_rule(4, "excessive_caps")]
+    found = rl.hits(rows, rules)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(_lower") == sum(map(len, (x for r in rules for x in r.parts))) and plan.count("AS _lower") == 1
+    assert {(r.rule_id, r.id) for r in found.collect()} == {(k.rule_id, r.id) for k in rules for r in rows.where(k.predicate).collect()}
