@@ -15,6 +15,8 @@ from quillmesh.session import dropped, kept
 _FREQUENT = 1 / 50_000
 _SAMPLE_ITEMS = 2_000_000  # items of the sets whose frequent items are counted
 _BLOCK_SETS = 2_000  # sets of a unit that a task holds at once, twice over
+_ROWS = 8  # cells that a vector is dealt to, on an average
+_BLOCK_CELLS = 50  # a block of vectors that a task holds is at most so many times a cell as it is meant to be
 _FEW_ROWS = 2_000_000  # rows of two longs that are broadcast, some 100 MB at the most; more are shuffled
 
 
@@ -319,48 +321,69 @@ def _spread(sample, n: int):
     return m[taken]
 
 
+def _visits(m, own, reach: float):
+    """The nearest pivot of each unit row, and which of the later ones' cells it may have a partner in."""
+    import numpy as np
+
+    sims, gaps = m @ own.T, np.maximum(np.sqrt(np.maximum(0.0, 2 - 2 * own @ own.T)), 1e-300)
+    home = sims.argmax(axis=1)
+    guest = (sims[np.arange(len(home)), home][:, None] - sims) <= reach * gaps[home]
+    guest &= np.arange(sims.shape[1]) > home[:, None]
+    return home, guest
+
+
 def cells(vectors: DataFrame, least: float, cell_rows: int = 2_000, most: int = 1_024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v, cell, home): every vector in the cell of its nearest pivot (home), and as a guest in each later cell that may hold
     one of at least that cosine with it.
 
     Pivots are taken among the vectors of smallest hashed ids, each as far as can be from those before, one for some
-    `cell_rows` vectors and `most` at the most; they are broadcast.
+    `cell_rows` vectors and `most` at the most; they are broadcast. Where cells rule out little, there are fewer of them: as few as
+    a sampled vector needs for `_ROWS` rows at the most, or eight, so rows grow as the vectors do.
     Two unit vectors of that cosine are at most r = sqrt(2 - 2 least) apart. Whoever lives in cell j is on j's side of the plane
     midway between the pivots i and j, so a vector of cell i that is farther than r from that plane has no partner in j.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     wanted = min(most, max(8, -(-rows.count() // cell_rows)))
     chosen = rows.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("id"), "id").limit(4 * wanted).collect()  # at most 4,096 vectors
-    pivots = _spread(np.array([r.v for r in chosen], np.float64), wanted) if chosen else np.zeros((1, 1))
-    held = vectors.sparkSession.sparkContext.broadcast(pivots)
+    sample = np.array([r.v for r in chosen], np.float64)
+    pivots = _spread(sample, wanted) if chosen else np.zeros((1, 1))
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    if chosen:
+        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    while len(pivots) > 8 and 1 + _visits(sample, pivots, reach)[1].sum(axis=1).mean() > _ROWS:
+        pivots = pivots[: max(8, len(pivots) // 2)]
+    held = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def deal(batches):
         own = held.value
-        gaps = np.maximum(np.sqrt(np.maximum(0.0, 2 - 2 * own @ own.T)), 1e-300)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sims = _unit_rows(part.column("v")) @ own.T
-                home = sims.argmax(axis=1)
-                each = np.arange(len(home))
-                guest = (sims[each, home][:, None] - sims) <= reach * gaps[home]
-                guest &= np.arange(sims.shape[1]) > home[:, None]
+                home, guest = _visits(_unit_rows(part.column("v")), own, reach)
                 row, cell = np.nonzero(guest)
-                take = np.concatenate([each, row])
+                take = np.concatenate([np.arange(len(home)), row])
                 yield pa.RecordBatch.from_pydict({"id": part.column("id").take(pa.array(take)), "v": part.column("v").take(pa.array(take)), "cell": np.concatenate([home, cell]).astype(np.int32), "home": np.arange(len(take)) < len(home)})
 
-    return rows.mapInArrow(deal, "id long, v array<double>, cell int, home boolean")
+    return rows.mapInArrow(deal, f"id long, v array<{kind}>, cell int, home boolean")
+
 
+def _block_rows(dealt: DataFrame, cell_rows: int) -> int:
+    """Vectors of a block: `_BLOCK_CELLS` cells' as they are meant to be, fewer where they are long, for some 64 MB of doubles."""
+    longest = dealt.agg(F.max(F.size("v"))).first()[0] or 1
+    return max(cell_rows, min(_BLOCK_CELLS * cell_rows, (8 << 20) // max(1, longest)))
 
-def _units(dealt: DataFrame, cell_rows: int, guest_rows: int) -> DataFrame:
-    """Rows of cells() as units of work (cell, block, run, role, ...): a cell above `cell_rows` is cut into blocks of that size, and
-    what comes to a block into runs of `guest_rows`. Role 0 is the block itself, 1 what streams past it."""
+
+def _units(dealt: DataFrame, block_rows: int, guest_rows: int, units: int = 32) -> DataFrame:
+    """Rows of cells() as units of work (cell, block, run, role, ...): a cell above `block_rows` is cut into blocks of that size, and
+    what comes to a block into runs of `guest_rows`; into more where cells are few, for some `units` in all. Role 0 is the block
+    itself, 1 what streams past it."""
+    fewest = -(-units // max(1, dealt.select("cell").distinct().count()))
     count = dealt.groupBy("cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests"))
-    parts = kept(count.select("cell", F.greatest(F.lit(1), F.ceil(F.col("own") / cell_rows)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil((F.col("own") + F.col("guests")) / guest_rows)).cast("int").alias("runs")), "cosine-parts")
+    parts = kept(count.select("cell", F.greatest(F.lit(1), F.ceil(F.col("own") / block_rows)).cast("int").alias("blocks"), F.greatest(F.lit(fewest), F.ceil((F.col("own") + F.col("guests")) / guest_rows)).cast("int").alias("runs")), "cosine-parts")
     mine = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
     place = lambda block, run, role: F.struct(block.alias("block"), run.alias("run"), F.lit(role).alias("role"))
     every = lambda n, f: F.transform(F.sequence(F.lit(0), n), f)
@@ -371,7 +394,8 @@ def _units(dealt: DataFrame, cell_rows: int, guest_rows: int) -> DataFrame:
     placed = dealt.join(F.broadcast(parts), "cell")  # a row a cell, of which there are at most 1,024
     units = placed.withColumn("p", F.explode(F.when(F.col("home"), F.concat(stays, earlier)).otherwise(visits)))
     out = units.select("cell", "p.block", "p.run", "p.role", *[c for c in dealt.columns if c not in ("cell", "home")])
-    return out.repartition("cell", "block", "run").sortWithinPartitions("cell", "block", "run", "role")
+    n = parts.agg(F.sum(F.col("blocks") * F.col("runs"))).first()[0] or 1  # by number, as units that are small in bytes still take long
+    return out.repartition(min(4 * n, max(n, 2_000)), "cell", "block", "run").sortWithinPartitions("cell", "block", "run", "role")
 
 
 def _meetings(batches, least: float, mark: str | None = None):
@@ -379,30 +403,23 @@ def _meetings(batches, least: float, mark: str | None = None):
     matrix of pairs at or above `least`. A part of a block that meets itself has each of its pairs once, above the diagonal."""
     import numpy as np
 
-    at, block, whole = None, [], None
+    at, block = None, []
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block", "run", "role")], axis=1)
         cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
-        for s, e in zip(cuts, cuts[1:]):
-            if s == e:
-                continue
+        for s, e in [(k, min(k + 2048, e)) for s, e in zip(cuts, cuts[1:]) for k in range(s, e, 2048)]:
             unit, role = tuple(keys[s][:3].tolist()), int(keys[s][3])
             if unit != at:
-                at, block, whole = unit, [], None
+                at, block = unit, []
             ids, m = batch.column("id").slice(s, e - s).to_numpy(), _unit_rows(batch.column("v").slice(s, e - s))
             marks = batch.column(mark).slice(s, e - s).to_numpy(zero_copy_only=False) if mark else ids
+            if role == 1 or unit[2] == 0:
+                for other in block:
+                    yield other[:2], (ids, marks), other[2] @ m.T >= least, other[2], m
             if role == 0:
                 if unit[2] == 0:
-                    for other in block:
-                        yield other[:2], (ids, marks), other[2] @ m.T >= least, other[2], m
                     yield (ids, marks), (ids, marks), np.triu(m @ m.T >= least, 1), m, m
                 block.append((ids, marks, m))
-            elif block:
-                if whole is None:
-                    whole = tuple(np.concatenate(x) for x in zip(*block))
-                for k in range(0, len(ids), 1024):
-                    part = m[k : k + 1024]
-                    yield whole[:2], (ids[k : k + 1024], marks[k : k + 1024]), whole[2] @ part.T >= least, whole[2], part
 
 
 def cosine_pairs(vectors: DataFrame, least: float, cell_rows: int = 2_000, guest_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -423,7 +440,7 @@ def cosine_pairs(vectors: DataFrame, least: float, cell_rows: int = 2_000, guest
             yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": np.einsum("ij,ij->i", x[i], y[j])})
 
     dealt = kept(cells(vectors, least, cell_rows, key=key, vector=vector), "cosine-cells")
-    return _units(dealt, cell_rows, guest_rows).mapInArrow(compare, "a long, b long, cosine double")
+    return _units(dealt, _block_rows(dealt, cell_rows), guest_rows).mapInArrow(compare, "a long, b long, cosine double")
 
 
 def dbscan_vectors(vectors: DataFrame, least: float, neighbours: int = 3, cell_rows: int = 2_000, guest_rows: int = 200_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -437,10 +454,11 @@ def dbscan_vectors(vectors: DataFrame, least: float, neighbours: int = 3, cell_r
     import pyarrow as pa
 
     dealt = kept(cells(vectors, least, cell_rows, key=key, vector=vector), "cosine-cells")
+    block_rows = _block_rows(dealt, cell_rows)
 
     def degrees(batches):
         for left, right, near, *_ in _meetings(batches, least):
-            for ids, n in ((left[0], near.sum(axis=1)), (right[0], near.sum(axis=0))):
+            for ids, n in ((left[0], np.count_nonzero(near, axis=1)), (right[0], np.count_nonzero(near, axis=0))):
                 yield pa.RecordBatch.from_pydict({"id": ids[n > 0], "n": n[n > 0].astype(np.int64)})
 
     def links(batches):
@@ -463,14 +481,16 @@ def dbscan_vectors(vectors: DataFrame, least: float, neighbours: int = 3, cell_r
     def reached(batches):
         far = np.iinfo(np.int64).max
         for left, right, near, *_ in _meetings(batches, least, "mark"):
-            for (ids, own), (_, other), close in ((left, right, near), (right, left, near.T)):
-                lowest = np.where(close, other, far).min(axis=1, initial=far)
+            i, j = np.nonzero(near)
+            for (ids, own), (_, other), x, y in ((left, right, i, j), (right, left, j, i)):
+                lowest = np.full(len(ids), far)
+                np.minimum.at(lowest, x, other[y])
                 take = (own == far) & (lowest < far)
                 yield pa.RecordBatch.from_pydict({"id": ids[take], "cluster": lowest[take]})
 
     def met(run, schema, marks=None):
         rows = dealt if marks is None else dealt.join(marks, "id", "left").withColumn("mark", F.coalesce("mark", F.lit((1 << 63) - 1 if run is reached else 0)))
-        return _units(rows, cell_rows, guest_rows).mapInArrow(run, schema)
+        return _units(rows, block_rows, guest_rows).mapInArrow(run, schema)
 
     everyone = dealt.where("home").select("id")
     n = met(degrees, "id long, n long").groupBy("id").agg((F.sum("n") + 1).alias("n"))

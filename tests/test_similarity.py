@@ -168,3 +168,16 @@ def test_means_walked_in_chunks(chunk):
             sizes.append(1)
         want.append(k)
     assert similarity._walked_means(rows, 0.75, chunk) == want and len(means) > 1024 and max(sizes) > 9
+
+
+def test_cells_that_rule_out_little_are_few(spark):
+    """Vectors that point everywhere, ten times as many: rows grow as they do, by cells and by units; the pairs are all there."""
+    per = []
+    for n in (200, 2000):
+        rows = clustered(n, n, 1.0, seed=4)
+        dealt = similarity.cells(frame(spark, rows), 0.2, cell_rows=10)
+        units = similarity._units(dealt, similarity._block_rows(dealt, 10), 1_000)
+        per.append((dealt.count() / n, units.count() / n))
+    assert all(b <= 1.5 * a for a, b in zip(*per)) and max(per[1]) <= 20
+    got = [(r.a, r.b) for r in similarity.cosine_pairs(frame(spark, rows), 0.45, 10, 300).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.45)
