@@ -13,6 +13,7 @@ rules decide:
 from __future__ import annotations
 
 import json
+import re
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +34,9 @@ _PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in r
 _BETWEEN = "\x01"  # parts words in calls to files that drop spaces; it has one id there
 _CALL = 500  # words to a string of a call
 #: A word that ends in marks after a letter: both kinds of files part them there.
-_TAIL = r"([A-Za-zß-öø-ÿ])([.,;:!?|%]+)$"
+_TAIL = r"([A-Za-zß-öø-ÿ])([.,;:!?|%$&*#]+)$"
+#: Words of letters alone, or two of them with the end of a sentence and a line between: marked files part them there and nowhere else.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)(?:\.\n([A-Za-zÀ-ÖØ-öø-ÿ]+))?")
 _LONGEST = 48  # characters of a word that is kept
 
 
@@ -79,6 +82,7 @@ class WordMemo:
             self.kind = "dropped" if len(between) == 1 else "whole"
         self.tok.model._resize_cache(0)  # the memo replaces it
         self.added = [t["content"] for t in rules["added_tokens"]]
+        self.direct = self.kind == "marked" and not any(re.fullmatch(r"[A-Za-zÀ-ÖØ-öø-ÿ.\n ]*", t) for t in self.added)
         self.place: dict[str, int] = {}
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16)
         if self.kind == "dropped":  # between two spaces
@@ -116,7 +120,33 @@ class WordMemo:
         return store[_spans(spans[0].ravel(), spans[1].ravel())], spans[1].sum(1)
 
     def _asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """_words by the library: many words to a string, parted by their marks."""
+        """_words by the library: of letters by the file's model itself, as their parts are known, others by _called()."""
+        shapes = list(map(_LETTERS.fullmatch, words)) if self.direct else []
+        if not any(shapes):
+            return self._called(words)
+        direct = np.fromiter((m is not None for m in shapes), bool, len(shapes))
+        parts = [x for m in shapes if m for x in ((" " + m[1],) if m[2] is None else (" " + m[1], m[2]))]
+        tokenize, between = self.tok.model.tokenize, [t.id for x in (".", _BYTES[10]) for t in self.tok.model.tokenize(x)]
+        flat: list[int] = []
+        ends = []
+        for x in "\0".join(parts).encode().decode("latin-1").translate(_BYTES).split(_BYTES[0]):
+            if x[0] != _BYTES[32]:
+                flat += between
+            flat += [t.id for t in tokenize(x)]
+            ends.append(len(flat))
+        firsts = np.fromiter((x[0] == " " for x in parts), bool, len(parts))
+        ends = np.array(ends)[np.append(firsts[1:], True)]  # of words, at the last of their parts
+        ids, sizes = self._called([w for w, m in zip(words, shapes) if not m])
+        every = np.zeros(len(words), np.int64)
+        every[direct], every[~direct] = np.diff(ends, prepend=0), sizes
+        store = np.concatenate([np.array(flat, np.uint16), ids])
+        starts = np.zeros(len(words), np.int64)
+        starts[direct] = np.cumsum(every[direct]) - every[direct]
+        starts[~direct] = len(store) - len(ids) + np.cumsum(sizes) - sizes
+        return store[_spans(starts, every)], every
+
+    def _called(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_words by the library's encoding: many words to a string, parted by their marks."""
         ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), _CALL):
             part = words[at : at + _CALL]
@@ -213,6 +243,16 @@ class WordMemo:
         return store[_spans(starts, lengths)], counts
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level files write bytes: printing ones as they are, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
+
+
 def _strings(values: pa.Array) -> list[str]:
     return values.to_numpy(zero_copy_only=False).tolist()
 

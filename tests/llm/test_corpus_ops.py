@@ -489,3 +489,17 @@ def test_licences(spark, odd):
     assert got[3].notices == "MIT" and got[2].notices is None or got[2].notices == ""
     assert got[0].text_digest == got[6].text_digest and got[4].text_digest == got[5].text_digest
     assert licences.scan(docs.limit(0), licences.known_licences(spark)).count() == 0
+
+
+def test_words_of_letters_by_the_model_itself():
+    """The same ids as of whole texts, while the library's encoding is called for other words only."""
+    memo = tokens.WordMemo(tokens.installed("byte_bpe_50k.json"))
+    rng = np.random.default_rng(6)
+    syllables = ["con", "Qué", "ß", "ñó", "ÿ", "th", "ing", "È", "s", "t", "re", "×", "don't", "ſ", "4", ".\n", ".\n\n", "$$$", "***", "&&&", ".###", "<|endoftext|>", "x<|endoftext|>$", "l'", "ll"]
+    texts = [" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(40)) for _ in range(400)]
+    called, whole = [], memo._called
+    memo._called = lambda words: (called.extend(words), whole(words))[1]
+    ids, counts = memo.ids(pa.array(texts))
+    want = [e.ids for e in memo.tok.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert called and not any(w.isalpha() and w.isascii() or w == "con.\nth" for w in called)
