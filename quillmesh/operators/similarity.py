@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as tx
-from quillmesh.session import dropped, kept
+from quillmesh.session import dropped, kept, small_batches
 
 
-#: Items in this share of a sample's places, or in more, are told apart from rare ones: there are fewer of them than its inverse.
-_FREQUENT = 1 / 50_000
-_SAMPLE_ITEMS = 2_000_000  # items of the sets whose frequent items are counted
+#: Items in this share of all places, or in more, come last of all: there are fewer of them than its inverse.
+_FREQUENT = 1 / 1_000
+_PLACES = 28  # bits of the places at most that say whether an item occurs twice: 32 MB, and half as much for how often
+_EARLIER = 3  # items before it that a row of a prefix has with it, where many sets are much alike
 _BLOCK_SETS = 2_000  # sets of a unit that a task holds at once, twice over
 _ROWS = 8  # cells that a vector is dealt to, on an average
 _BLOCK_CELLS = 50  # a block of vectors that a task holds is at most so many times a cell as it is meant to be
@@ -26,17 +27,23 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "id", items: str
 
     Items stand for their 64-bit hashes (longs for themselves), so of different items with one hash a set counts one. Prefix
     filtering: with items in a common order, two sets that are similar enough share an item among the first
-    n - ceil(threshold * n) + 1 of each. Rare items come first, in the order of their hashes, then the frequent ones by their
-    counts: those are fewer than 50,000, so broadcast, and counted on a sample of sets, on which only the speed depends.
-    Prefixes are joined by item; a pair goes on only if it can still share enough after the item's places in both. Sets meet
+    n - ceil(threshold * n) + 1 of each. Rare items come first: all are counted, by places that their hashes fall on (see
+    _counted), and what has a place to itself needs no partner looked for. So few rows of prefixes are joined by item; a pair
+    goes on only if it can still share enough after the item's places in both, and only from an item that no common one comes shortly
+    before in both, so that sets that are much alike don't meet once an item. Sets meet
     for verification in units (see _meet), so that a group of copies moves as often as it has blocks, not pairs; most candidates
     fall by sketches before that (see _sketches), and only sets of the others move.
     """
     hashed = _hashed(sets, key, items).where(F.size("items") > 0)
-    ready = _prefixes(hashed, threshold, _frequent(hashed))
+    ready = _prefixes(hashed, threshold, _counted(hashed))
     return _verified(_candidates(ready, ready, threshold), hashed, _sketches(hashed), threshold)
 
 
+def few(rows: DataFrame) -> bool:
+    """Whether rows of one or two longs are so few that they are broadcast."""
+    return rows.count() <= _FEW_ROWS
+
+
 def _hashed(sets: DataFrame, key: str, items: str) -> DataFrame:
     """(id, items) of the sets, items as distinct longs, none for null; written once."""
     plain = dict(sets.dtypes)[items] == "array<bigint>"
@@ -44,50 +51,103 @@ def _hashed(sets: DataFrame, key: str, items: str) -> DataFrame:
     return kept(sets.select(F.col(key).cast("long").alias("id"), F.coalesce(values, F.array().cast("array<bigint>")).alias("items")), "jaccard-sets")
 
 
-def _frequent(hashed: DataFrame) -> list[int]:
-    """The frequent items of a sample of sets, the rarest first."""
-    total = hashed.agg(F.sum(F.size("items"))).first()[0] or 0
-    sampled = hashed.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // _SAMPLE_ITEMS) or 1)) == 0)
-    counts = sampled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
-    found = counts.where((F.col("df") > min(total, _SAMPLE_ITEMS) * _FREQUENT) & (F.col("df") > 1)).orderBy(F.desc("df"), "item").limit(int(2 / _FREQUENT)).collect()
-    return [r.item for r in reversed(found)]
+def _mixed(items):
+    """Items of a numpy array as unsigned numbers whose first bits are even."""
+    import numpy as np
+
+    return items.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _flat(batch):
+    """All items of a batch of sets, and the number of each set's."""
+    import numpy as np
+
+    return batch.column("items").flatten().to_numpy(), np.diff(batch.column("items").offsets.to_numpy())
 
 
-def _prefixes(hashed: DataFrame, threshold: float, frequent: list[int]) -> DataFrame:
-    """(id, n, place, item): of each set of n items the first ones in the common order, as many as a pair must share one of."""
+def _counted(hashed: DataFrame):
+    """How often items occur, broadcast: (bits, levels), both by the first bits of mixed items. A bit says whether any item of its place
+    occurs twice; a level bounds how often one of its place does, as a power of two, where that is twice or more.
+
+    Items are told apart by 24 bits beyond their part, which are what is shuffled, three bytes an item. Two that fall together count as one, so
+    numbers are too large at the worst. There are places enough for two an item, up to 2^_PLACES."""
     import numpy as np
     import pyarrow as pa
 
-    held = hashed.sparkSession.sparkContext.broadcast(np.array(frequent, np.int64))
+    small_batches(hashed.sparkSession)
+    total = hashed.agg(F.sum(F.size("items"))).first()[0] or 0
+    wide = min(_PLACES, max(18, (2 * total).bit_length()))
+    cut = wide - 18  # bits of a part's number; a part has 2^18 places
+    last = max(1.0, total * _FREQUENT)
+
+    def deal(batches):
+        for batch in batches:
+            own = np.sort(_mixed(_flat(batch)[0]) >> np.uint64(64 - cut - 24))
+            ends = np.searchsorted(own, np.arange(1, (1 << cut) + 1, dtype=np.uint64) << np.uint64(24))
+            data = own.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]
+            starts = np.append(0, ends[:-1])
+            parts = np.flatnonzero(ends > starts)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(parts.astype(np.int32)), "low": pa.array([data[starts[k] : ends[k]].T.tobytes() for k in parts], pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(3, -1) for x in table.column("low")], axis=1).astype(np.uint32)
+        items, n = np.unique(low[0] | low[1] << np.uint32(8) | low[2] << np.uint32(16), return_counts=True)
+        items, n = items[n > 1], n[n > 1]
+        bits, levels = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.uint8)
+        bits[items >> np.uint32(6)] = 1
+        if len(items):
+            at = items >> np.uint32(10)
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            levels[at[first]] = np.maximum.reduceat(np.where(n > last, 64, np.ceil(np.log2(n))), first).astype(np.uint8)
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    found = hashed.select("items").mapInArrow(deal, "part int, low binary").groupBy("part").applyInArrow(count, "part int, bits binary, levels binary")
+    bits, levels = np.zeros((1 << cut, 1 << 15), np.uint8), np.zeros((1 << cut, 1 << 14), np.uint8)
+    for r in found.collect():  # 48 MB at the most
+        bits[r.part], levels[r.part] = np.frombuffer(r.bits, np.uint8), np.frombuffer(r.levels, np.uint8)
+    return hashed.sparkSession.sparkContext.broadcast((bits.ravel(), levels.ravel()))
+
+
+def _prefixes(hashed: DataFrame, threshold: float, counted, earlier: int = _EARLIER) -> DataFrame:
+    """(id, n, place, item, e1, ...): of each set of n items the first ones in the common order, as many as a pair must share one of,
+    without those that occur once; with each, `earlier` items before it that this leaves, the nearest first, null where there are no more."""
+    import numpy as np
+    import pyarrow as pa
 
     def prefixes(batches):
-        own = held.value
-        by_item = np.argsort(own)
-        known = own[by_item]
+        bits, levels = counted.value
+        wide = (8 * len(bits)).bit_length() - 1
         for batch in batches:
-            flat = batch.column("items").flatten().to_numpy()
-            sizes = np.diff(batch.column("items").offsets.to_numpy())
-            rank = np.zeros(len(flat), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                rank = np.where(known[at] == flat, by_item[at] + 1, 0)
+            flat, sizes = _flat(batch)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((flat, rank, row))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = (_mixed(flat) >> np.uint64(64 - wide)).astype(np.int64)
+            twice = (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            once = sizes - np.bincount(row[twice], minlength=len(sizes))  # these come first, and meet no other set
             most = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-            take = place < most[row]
-            ids = batch.column("id").to_numpy()
-            yield pa.RecordBatch.from_pydict({"id": ids[row[take]], "n": sizes[row[take]].astype(np.int32), "place": place[take].astype(np.int32), "item": flat[order][take]})
-
-    return hashed.mapInArrow(prefixes, "id long, n int, place int, item long")
+            twice &= (most > once)[row]
+            flat, row, level = flat[twice], row[twice], levels[place[twice] >> 4]
+            order = np.lexsort((flat, level, row))
+            starts = np.searchsorted(row, np.arange(len(sizes)))
+            nth = np.arange(len(flat)) - starts[row]
+            take = np.flatnonzero(nth + once[row] < most[row])
+            item, of, nth = flat[order][take], row[take], nth[take]
+            out = {"id": batch.column("id").to_numpy()[of], "n": sizes[of].astype(np.int32), "place": (nth + once[of]).astype(np.int32), "item": item}
+            for k in range(1, earlier + 1):  # a set's rows are the first of it, so they stand together
+                out[f"e{k}"] = pa.array(np.append(np.zeros(min(k, len(item)), np.int64), item[:-k]), mask=nth < k)
+            yield pa.RecordBatch.from_pydict(out)
+
+    more = "".join(f", e{k} long" for k in range(1, earlier + 1))
+    return hashed.select("id", "items").mapInArrow(prefixes, "id long, n int, place int, item long" + more)
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = True) -> DataFrame:
-    """Distinct (a, b), a of left and b of right, a < b if `ordered`, that share an item of their prefixes and can share enough after it."""
+    """Distinct (a, b), a of left and b of right, a < b if `ordered`, that share an item of their prefixes and can share enough after it.
+    They meet at the first such item, and at others only if none of the items shortly before is one."""
     a, b = left.alias("a"), right.alias("b")
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     can = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= least
-    near = (F.col("a.item") == F.col("b.item")) & ((F.col("a.id") < F.col("b.id")) if ordered else F.lit(True)) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & can
+    before = reduce(lambda x, y: x | y, [F.col(f"a.{x}") == F.col(f"b.{y}") for x in left.columns for y in right.columns if x[0] == y[0] == "e"], F.lit(False))
+    near = (F.col("a.item") == F.col("b.item")) & ((F.col("a.id") < F.col("b.id")) if ordered else F.lit(True)) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & can & ~F.coalesce(before, F.lit(False))
     return kept(a.join(b, near).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), "jaccard-candidates")
 
 
@@ -174,9 +234,8 @@ def _meet(pairs: DataFrame, sets: DataFrame, read, compare) -> tuple[DataFrame,
     tiles = kept(placed.join(sizes, "unit").select(F.xxhash64("unit", F.least(i, j), F.greatest(i, j)).alias("tile"), "a", "b"), "jaccard-tiles")
     dropped(placed)
     needed = kept(tiles.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-needed")
-    few = needed.count() <= _FEW_ROWS
     held = [c for c in sets.columns if c != "id"]
-    rows = (F.broadcast(needed) if few else needed).join(sets, "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), *held)
+    rows = (F.broadcast(needed) if few(needed) else needed).join(sets, "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), *held)
     rows = rows.unionByName(tiles.select("tile", F.lit(1).alias("role"), "a", "b"), allowMissingColumns=True)
 
     def check(batches):
@@ -213,14 +272,14 @@ def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: s
     whole = _hashed(sets, key, items)
     hashed = whole.where(F.size("items") > 0)
     parts = parts or min(7, 1 + (hashed.count() // 4000).bit_length())
-    frequent, sketches = _frequent(hashed), _sketches(hashed)
+    counted, sketches = _counted(hashed), _sketches(hashed)
     ends = hashed.agg(F.percentile_approx("id", [2.0**-k for k in range(parts - 1, 0, -1)], 1000)).first()[0] or []
     ends = [None, *sorted(set(ends)), None]
     done, led = [], []
     for low, high in zip(ends, ends[1:]):
         some = hashed if low is None else hashed.where(F.col("id") > low)
         some = some if high is None else some.where(F.col("id") <= high)
-        own = kept(_prefixes(some, threshold, frequent), "leader-prefixes")
+        own = kept(_prefixes(some, threshold, counted), "leader-prefixes")
         rest = some.select("id")
         if led:
             met = _verified(_candidates(reduce(DataFrame.unionByName, led), own, threshold), hashed, sketches, threshold)
@@ -618,12 +677,12 @@ def nearest(rows: DataFrame, others: DataFrame, k: int = 3, steps: tuple[float,
     b = other.join(other.groupBy("digest").agg(F.min("no").alias("no")).select("no"), "no", "left_semi").select(F.col("no").alias("id"), "items")
     a, b = kept(a, "nearest-sets"), kept(b, "nearest-sets")
     both = a.unionByName(b)
-    frequent, sketches = _frequent(b), _sketches(both)
+    counted, sketches = _counted(both), _sketches(both)
     dropped(own, other)
     most = sum(x.agg(F.max(F.size("items"))).first()[0] or 0 for x in (a, b))
     steps = list(steps)
     for least in steps:
-        pairs = _candidates(_prefixes(a, least, frequent), _prefixes(b, least, frequent), least, ordered=False)
+        pairs = _candidates(_prefixes(a, least, counted, 0), _prefixes(b, least, counted, 0), least, ordered=False)
         best = _verified(pairs, both, sketches, least).groupBy(F.col("a").alias("first")).agg(F.max("similarity").alias("similarity"))
         found = kept(best.join(placed, "first").select("id", "similarity").orderBy(F.desc("similarity"), "id").limit(k), "nearest-found")
         if found.count() == k or least * most < 1:

@@ -113,11 +113,14 @@ p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.ite
 
 
 def _sets(spark, sf_dir):
-    """(id, shingles) of the first document of each normalised text, shingles as hashes; texts meet by digest."""
+    """(id, shingles) of the first document of each normalised text, shingles as hashes; texts meet by digest, and move only where
+    neither the first ones nor the others are few."""
     n = F.trim(F.regexp_replace(F.lower(F.col("text")), r"\s+", " "))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n")).where("id is not null")
     firsts = similarity.kept(rows.groupBy(F.sha2(F.col("n").cast("binary"), 256)).agg(F.min("id").alias("id")).select("id"), "first-texts")
-    return rows.join(firsts, "id", "left_semi").select("id", F.transform(tx.shingles(F.col("n")), lambda x: F.xxhash64(x)).alias("shingles"))
+    others = similarity.kept(rows.select("id").join(firsts, "id", "left_anti"), "other-texts")
+    own = rows.join(F.broadcast(others), "id", "left_anti") if similarity.few(others) else rows.join(F.broadcast(firsts) if similarity.few(firsts) else firsts, "id", "left_semi")
+    return own.select("id", F.transform(tx.shingles(F.col("n")), lambda x: F.xxhash64(x)).alias("shingles"))
 
 
 @query(f"WITH {_SETS} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.7")

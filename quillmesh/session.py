@@ -41,6 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches hold some 8 MB at most from now on: the session's setting is lowered to that, never raised."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get(name, "64m").strip().lower()).groups()
+    if int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] > most:
+        spark.conf.set(name, str(most))
+
+
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """df computed once: written as Parquet to the shared folder and read back, so that its plan is cut and lost executors do
     no harm."""

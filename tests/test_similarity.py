@@ -181,3 +181,38 @@ def test_cells_that_rule_out_little_are_few(spark):
     assert all(b <= 1.5 * a for a, b in zip(*per)) and max(per[1]) <= 20
     got = [(r.a, r.b) for r in similarity.cosine_pairs(frame(spark, rows), 0.45, 10, 300).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 0.45)
+
+
+def test_only_what_may_be_similar_meets(spark, monkeypatch):
+    """Rare items decide who meets, however many there are: candidates are nearly the pairs themselves, and much alike sets meet a few times, not
+    once an item; what only one set holds is not dealt out. Pairs are those of all with all, also where items share their places."""
+    import random
+
+    rng = random.Random(14)
+    sets = [(i, [f"c{min(rng.randrange(400), rng.randrange(400))}" for _ in range(20)] + [f"u{i}x{j}" for j in range(20)]) for i in range(1500)]
+    sets += [(5000 + 100 * g + i, [x for x in sets[g][1] if rng.random() < 0.95] + [f"n{g}x{i}"]) for g in range(4) for i in range(30)]
+    df = spark.createDataFrame(sets, "id long, shingles array<string>").repartition(3)
+    jac = lambda x, y: len(x & y) / len(x | y)
+    sets = [(i, set(x)) for i, x in sets]
+    want = {(a, b): jac(x, y) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if len(x & y) > 19 and jac(x, y) >= 0.7}
+    written, keep = {}, similarity.kept
+    monkeypatch.setattr(similarity, "kept", lambda df, name="kept": written.setdefault(name, []).append(keep(df, name)) or written[name][-1])
+    monkeypatch.setattr(similarity, "dropped", lambda *frames: None)
+    assert {(r.a, r.b): r.similarity for r in similarity.jaccard_pairs(df, 0.7).collect()} == want and len(want) > 1000
+    assert len(want) <= written["jaccard-candidates"][0].count() < 2 * len(want)
+    hashed = written["jaccard-sets"][0]
+    ready = similarity._prefixes(hashed, 0.7, similarity._counted(hashed)).toPandas()
+    assert len(ready) < 0.4 * sum(len(x) - -(-7 * len(x) // 10) + 1 for _, x in sets)
+    meetings = ready.merge(ready, on="item").query("id_x < id_y")
+    for i in range(1, 4):
+        for j in range(1, 4):
+            meetings = meetings[meetings[f"e{i}_x"].isna() | (meetings[f"e{i}_x"] != meetings[f"e{j}_y"])]
+    assert len(want) <= len(meetings) < 3 * len(want)
+    counted = similarity._counted
+
+    def crowded(hashed):  # as if every place held an item that occurs twice, at some level
+        bits, levels = counted(hashed).value
+        return spark.sparkContext.broadcast((bits | 255, levels * 0 + (np.arange(len(levels)) % 3).astype(np.uint8)))
+
+    monkeypatch.setattr(similarity, "_counted", crowded)
+    assert {(r.a, r.b): r.similarity for r in similarity.jaccard_pairs(df, 0.7).collect()} == want
