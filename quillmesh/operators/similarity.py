@@ -18,6 +18,7 @@ _EARLIER = 3  # items before it that a row of a prefix has with it, where many s
 _BLOCK_SETS = 2_000  # sets of a unit that a task holds at once, twice over
 _ROWS = 8  # cells that a vector is dealt to, on an average
 _BLOCK_CELLS = 50  # a block of vectors that a task holds is at most so many times a cell as it is meant to be
+_FEW_PAIRS = 50_000  # candidates that aren't worth making sketches of all sets
 _FEW_ROWS = 2_000_000  # rows of two longs that are broadcast, some 100 MB at the most; more are shuffled
 
 
@@ -181,9 +182,9 @@ def _sketches(hashed: DataFrame) -> DataFrame:
     return kept(hashed.mapInArrow(sketch, "id long, n int, bits binary"), "jaccard-sketches")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame | None, threshold: float) -> DataFrame:
     """(a, b, similarity) of those candidate pairs(a, b) of sets(id, items), each in one order only, that reach the threshold. The sketches meet first,
-    and leave out what differs in too many bits; the sets of the rest are compared. pairs are deleted."""
+    and leave out what differs in too many bits; the sets of the rest are compared, without sketches those of all. With them, pairs are deleted."""
     import numpy as np
 
     def possible(x, y):
@@ -209,6 +210,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, threshold:
         items = batch.column("items")
         return lambda k: np.sort(items[k].values.to_numpy())
 
+    if sketches is None:
+        return _meet(pairs, sets, listed, similarity)[0]
     met, used = _meet(pairs, sketches, drawn, possible)
     near = kept(met.select("a", "b"), "jaccard-near")
     dropped(pairs, *used)
@@ -263,34 +266,44 @@ def leader_clusters(sets: DataFrame, threshold: float, key: str = "id", items: s
     """(id, leader): walking the sets by ascending id, one joins the first earlier leader of at least that similarity, else it
     leads. One row an id; empty and null sets lead themselves.
 
-    Ids are walked in ranges, each about as large as all before: a range first meets the leaders so far, of lower ids all, and
+    Ids are walked in ranges, each seven times as large as all before: a range first meets the leaders so far, of lower ids all, and
     joins the least like it. Only what is left, and so is near no earlier leader, is compared among itself and walked
     (see leaders). A group of copies is thus pairs of its leader with each, not of all with all, but for the range it first
     shows up in. Ranges' ends are approximate quantiles, on which only the speed depends, as it does on their number `parts`: by
-    itself as many as leave some thousand sets in the first, seven at the most.
+    itself as many as leave some thousand sets in the first, four at the most.
     """
     whole = _hashed(sets, key, items)
     hashed = whole.where(F.size("items") > 0)
-    parts = parts or min(7, 1 + (hashed.count() // 4000).bit_length())
-    counted, sketches = _counted(hashed), _sketches(hashed)
-    ends = hashed.agg(F.percentile_approx("id", [2.0**-k for k in range(parts - 1, 0, -1)], 1000)).first()[0] or []
+    if parts is None:
+        parts, first = 1, hashed.count()
+        while parts < 4 and first > 4000:
+            parts, first = parts + 1, first // 8
+    ready = kept(_prefixes(hashed, threshold, _counted(hashed)), "leader-prefixes")
+    sketches: list[DataFrame] = []
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = _candidates(left, right, threshold)
+        if pairs.count() > _FEW_PAIRS and not sketches:
+            sketches.append(_sketches(hashed))
+        return _verified(pairs, hashed, sketches[0] if sketches else None, threshold)
+
+    ends = hashed.agg(F.percentile_approx("id", [8.0**-k for k in range(parts - 1, 0, -1)], 1000)).first()[0] or []
     ends = [None, *sorted(set(ends)), None]
     done, led = [], []
     for low, high in zip(ends, ends[1:]):
-        some = hashed if low is None else hashed.where(F.col("id") > low)
-        some = some if high is None else some.where(F.col("id") <= high)
-        own = kept(_prefixes(some, threshold, counted), "leader-prefixes")
-        rest = some.select("id")
+        within = (F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if high is None else F.col("id") <= high)
+        own, rest = ready.where(within), hashed.where(within).select("id")
         if led:
-            met = _verified(_candidates(reduce(DataFrame.unionByName, led), own, threshold), hashed, sketches, threshold)
-            found = kept(met.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "leader-found")
+            found = kept(near(reduce(DataFrame.unionByName, led), own).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "leader-found")
             done.append(found)
             rest = rest.join(found, "id", "left_anti")
-            own = _replaced(own, kept(own.join(found, "id", "left_anti"), "leader-prefixes"))
-        pairs = _verified(_candidates(own, own, threshold), hashed, sketches, threshold)
-        walked = kept(leaders(pairs.select("a", "b"), rest), "leader-walked")
+            own = kept(own.join(found, "id", "left_anti"), "leader-open")
+        walked = kept(leaders(near(own, own).select("a", "b"), rest), "leader-walked")
         done.append(walked)
-        led.append(_replaced(own, kept(own.join(walked.where("id = leader").select("id"), "id", "left_semi"), "leader-prefixes")))
+        if high is not None:
+            led.append(kept(own.join(walked.where("id = leader").select("id"), "id", "left_semi"), "leader-prefixes"))
+        dropped(own)
+    dropped(ready, *led, *sketches)
     empty = whole.where(F.size("items") == 0).select("id", F.col("id").alias("leader"))
     return reduce(DataFrame.unionByName, [*done, empty])
 
@@ -302,9 +315,14 @@ def leaders(pairs: DataFrame, ids: DataFrame, rounds: int = 8, walk_pairs: int =
     least of them, and one whose smaller neighbours all follow leads. Settled ids are found in rounds of joins; a round
     settles all that can be, the least open id at least. Long chains alone need many, so after `rounds` rounds, and each
     time that they have doubled, the open components of at most `walk_pairs` pairs are walked in a task each; rounds go on for
-    larger ones until no id is open.
+    larger ones until no id is open. No more pairs than that in all are walked at once.
     """
     pairs = kept(pairs.select("a", "b"), "leader-pairs")
+    if pairs.count() <= walk_pairs:
+        walked = kept(pairs.select("a", "b", F.lit(None).cast("boolean").alias("led")).groupBy().applyInPandas(_walk, "id long, leader long"))
+        if not pairs.where("a >= b").isEmpty() or not walked.join(ids, "id", "left_anti").isEmpty():
+            raise ValueError("pairs must be of ids, the smaller first")
+        return walked.unionByName(ids.join(walked.select("id"), "id", "left_anti").select("id", F.col("id").alias("leader")))
     settled = [kept(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))]
     open_ = _marked(pairs.select("a", "b", F.lit(None).cast("boolean").alias("led")), settled[0])
     n = 0
@@ -341,22 +359,24 @@ def _marked(open_: DataFrame, done: DataFrame) -> DataFrame:
     return kept(rest.join(marks, "a", "left").select("a", "b", F.coalesce("led", "now").alias("led")), "leader-open")
 
 
-def _walked(open_: DataFrame, most: int) -> DataFrame:
-    """(id, leader) of the open ids in components of at most `most` open pairs, walked in order."""
+def _walk(pdf):
+    """(id, leader) of the ids of pairs(a, b, led), without those known to be settled, as a pandas frame."""
     import pandas as pd
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["b", "a"])
-        own: dict[int, int] = {}
-        for a, b, led in zip(pdf.a.tolist(), pdf.b.tolist(), pdf.led.tolist()):
-            if own.setdefault(b, b) == b and (own[a] == a if led is None else led):
-                own[b] = a
-        return pd.DataFrame({"id": list(own), "leader": list(own.values())})
+    pdf = pdf.sort_values(["b", "a"])
+    own: dict[int, int] = {}
+    for a, b, led in zip(pdf.a.tolist(), pdf.b.tolist(), pdf.led.tolist()):
+        if own.setdefault(b, b) == b and (own.setdefault(a, a) == a if led is None else led):
+            own[b] = a
+    return pd.DataFrame({"id": list(own), "leader": list(own.values())})
 
+
+def _walked(open_: DataFrame, most: int) -> DataFrame:
+    """(id, leader) of the open ids in components of at most `most` open pairs, walked in order."""
     root = components(open_.where("led is null"), open_.select(F.col("b").alias("id")).distinct())
     rooted = open_.join(root.select(F.col("id").alias("b"), "root"), "b")
     small = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("root")
-    return rooted.join(small, "root", "left_semi").groupBy("root").applyInPandas(walk, "id long, leader long")
+    return rooted.join(small, "root", "left_semi").groupBy("root").applyInPandas(_walk, "id long, leader long")
 
 
 def _unit_rows(vectors):

@@ -216,3 +216,30 @@ def test_only_what_may_be_similar_meets(spark, monkeypatch):
 
     monkeypatch.setattr(similarity, "_counted", crowded)
     assert {(r.a, r.b): r.similarity for r in similarity.jaccard_pairs(df, 0.7).collect()} == want
+
+
+@pytest.mark.parametrize("few_pairs", [0, 50_000])
+def test_leaders_take_few_tables(spark, monkeypatch, few_pairs):
+    """Prefixes are made once, not once a range; few pairs need no sketches and no rounds. The leaders are those of the walk by brute force."""
+    import random
+
+    rng = random.Random(21)
+    base = [[f"g{g}w{j}" for j in range(15)] for g in range(20)]
+    sets = [(i, [x for x in rng.choice(base) if rng.random() < 0.9] + [f"o{rng.randrange(9)}"]) for i in range(300)]
+    jac = lambda x, y: len(x & y) / len(x | y)
+    want, led = {}, []
+    for i, x in [(i, set(x)) for i, x in sets]:
+        want[i] = next((j for j, y in led if jac(x, y) >= 0.7), i)
+        led += [(i, x)] if want[i] == i else []
+    names, keep = [], similarity.kept
+    monkeypatch.setattr(similarity, "_FEW_PAIRS", few_pairs)
+    monkeypatch.setattr(similarity, "kept", lambda df, name="kept": names.append(name) or keep(df, name))
+    got = similarity.leader_clusters(spark.createDataFrame(sets, "id long, shingles array<string>").repartition(3), 0.7, parts=3).collect()
+    assert len(got) == len(sets) and {r.id: r.leader for r in got} == want and 20 < len(led) < 150
+    assert names.count("jaccard-sketches") == (not few_pairs) and len(names) < (70 if not few_pairs else 45)
+
+
+def test_leaders_of_wrong_pairs(spark):
+    for pairs in ([(2, 1)], [(1, 9)]):
+        with pytest.raises(ValueError):
+            similarity.leaders(spark.createDataFrame(pairs, "a long, b long"), spark.range(4))
